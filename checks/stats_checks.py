@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import pair_checks, views
-from checks.registry import check, sql_np_round, table, with_
+from checks.registry import check, sql_np_round, sql_py_round, table, with_
 from quillgauge.functions import numbers
 from quillgauge.functions.numbers import Z_975, np_round
 from quillgauge.operators import pairs as pz
@@ -371,9 +371,9 @@ _VALUES = (
     "vals",
     """select unnest([a, b]) as "column", metric, kind, value from (
   select a, b, case when group_a = group_b then 'intra' else 'inter' end as kind, 'jaccard' as metric, """
-    + sql_np_round("jaccard", 4) + """ as value from p join jac using (story_id, a, b) union all
+    + sql_py_round("jaccard", 4) + """ as value from p join jac using (story_id, a, b) union all
   select a, b, case when group_a = group_b then 'intra' else 'inter' end, 'tfidf', """
-    + sql_np_round("tfidf", 4) + " from p join tf using (story_id, a, b)) where value is not null",
+    + sql_py_round("tfidf", 4) + " from p join tf using (story_id, a, b)) where value is not null",
 )
 _PAIR_CTES = (pair_checks.V, _AP, pair_checks.TOK, pair_checks.JAC, pair_checks.TERMS, pair_checks.TF, _VALUES)
 _PM = ["mean", "std_dev", "ci_low", "ci_high", "welch_t", "welch_df", "cohen_d"]
@@ -496,12 +496,12 @@ from rf)""",
 )
 RF = (
     "rf",
-    "select feature, mean, std_dev, std_mean, skewness, kurtosis, missing, case when mean > 949 then mean / 1000 end as shapiro_p from pm",
+    "select *, case when mean > 949 then mean / 1000 end as shapiro_p from (select feature, " + r6(**{c: c for c in _FEATS}) + " from pm)",
 )
 
 
 def _ranked(spark, sf):
-    features = stats.feature_moments(_part_features(spark, sf), ["feature"]).withColumn(
+    features = rounded(stats.feature_moments(_part_features(spark, sf), ["feature"]), ["feature"], _FEATS).withColumn(
         "shapiro_p", F.when(F.col("mean") > 949, F.col("mean") / 1000)
     )
     return ranking.add_ranking(features, "feature")

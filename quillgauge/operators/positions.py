@@ -26,19 +26,27 @@ def value_positions(
     keys: list[str],
     value: str,
     sums: dict[str, Column] | None = None,
+    weight: Column | None = None,
     ranges: int = 64,
 ) -> DataFrame:
     """One row per (keys, distinct value): ``cnt``, ``before`` and the group's ``n``.
 
     ``before`` is the number of rows of the group with a smaller value. ``sums`` adds more
-    totals per value (for two-sample ranks). Rows without a value are left out.
+    totals per value (for two-sample ranks); ``weight`` counts a row that often. Rows
+    without a value are left out.
     """
     extra = {name: F.sum(e).alias(name) for name, e in (sums or {}).items()}
     present = df.filter(F.col(value).isNotNull())
-    counted = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"), *extra.values())
+    count = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counted = present.groupBy(*keys, value).agg(count.alias("cnt"), *extra.values())
 
     samples = ranges * 8
-    hashed = counted.select(*keys, value, F.xxhash64(F.lit("order"), value).alias("_h"))
+    # this filter is always true; it keeps every total in the plan, so that both uses of
+    # ``counted`` share one exchange
+    whole = F.col("cnt") > 0
+    for name in extra:
+        whole = whole & F.col(name).isNotNull()
+    hashed = counted.filter(whole).select(*keys, value, F.xxhash64(F.lit("order"), value).alias("_h"))
     picked = hashed.groupBy(*keys, F.pmod(F.xxhash64(value), F.lit(samples)).alias("_c")).agg(
         F.min_by(value, "_h").alias("_v")
     )
@@ -98,17 +106,15 @@ def row_index(df: DataFrame, order: list[str], name: str = "row_index") -> DataF
     return keyed.join(numbered, "_order").drop("_order")
 
 
-def rank_rows(positions: DataFrame, keys: list[str], value: str, heavy: int = 65_536) -> DataFrame:
+def rank_rows(positions: DataFrame, keys: list[str], value: str, chunk: int = 65_536) -> DataFrame:
     """One row per rank ``i`` = 1..n of every group with the value at that rank.
 
-    A value with very many copies is first cut into chunks that are spread over the tasks.
+    A value with very many copies becomes many chunks, which are spread over the tasks.
     """
-    chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("cnt") - 1) / heavy))).alias("_chunk")
-    cols = [*keys, value, "cnt", "before", "n"]
-    light = positions.filter(F.col("cnt") <= heavy).select(*cols, F.lit(0).cast("bigint").alias("_chunk"))
-    bulky = (
-        positions.filter(F.col("cnt") > heavy).select(*cols, chunk).repartition(*[F.col(k) for k in keys], F.col(value), F.col("_chunk"))
-    )
-    first = F.col("before") + 1 + F.col("_chunk") * heavy
-    last = F.col("before") + F.least(F.col("cnt"), (F.col("_chunk") + 1) * heavy)
-    return light.unionByName(bulky).select(*keys, value, "n", F.explode(F.sequence(first, last)).alias("i"))
+    chunks = positions.select(
+        *keys, value, "cnt", "before", "n",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("cnt") - 1) / chunk))).alias("_chunk"),
+    ).repartition(*[F.col(k) for k in keys], F.col(value), F.col("_chunk"))
+    first = F.col("before") + 1 + F.col("_chunk") * chunk
+    last = F.col("before") + F.least(F.col("cnt"), (F.col("_chunk") + 1) * chunk)
+    return chunks.select(*keys, value, "n", F.explode(F.sequence(first, last)).alias("i"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgauge.functions.numbers import py_round
 from quillgauge.operators.stats import group_statistics
 
 
@@ -46,7 +47,7 @@ def _fixed(column: str | Column, digits: int) -> Column:
     """Fixed decimals; a missing number prints as nan."""
     c = F.col(column) if isinstance(column, str) else column
     return F.when(c.isNull() | F.isnan(c), "nan").when(c == float("inf"), "inf").otherwise(
-        F.format_string(f"%.{digits}f", c)
+        F.format_string(f"%.{digits}f", py_round(c, digits))
     )
 
 

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from quillgauge.functions import tails
 from quillgauge.functions.numbers import Z_975, finite, normal_quantile, np_round
+from quillgauge.functions.text import fence
 from quillgauge.operators.positions import quantiles, rank_rows, value_positions
 from quillgauge.operators.skew import salted_join
+from quillgauge.session import materialize
 
 
 def _c(name: str) -> Column:
@@ -43,17 +45,17 @@ def _poly(u: Column, coefficients: list[float]) -> Column:
     return result
 
 
-def shapiro_w(df: DataFrame, keys: list[str], value: str = "value", largest: int | None = None) -> DataFrame:
+def shapiro_w(
+    df: DataFrame, keys: list[str], value: str = "value", largest: int | None = None, weight: Column | None = None
+) -> DataFrame:
     """Shapiro-Wilk W per group (Royston 1995): (keys, n, w); null below three values.
 
     ``largest`` gives null above that many values instead.
     """
-    rows = present(df, value)
-    moments = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), (F.var_pop(value) * F.count(F.lit(1))).alias("_ss"),
-        F.min(value).alias("_min"), F.max(value).alias("_max"),
-    )
-    ranked = rank_rows(value_positions(rows, keys, value), keys, value)
+    at_value = value_positions(present(df, value), keys, value, weight=weight)
+    if largest is not None:
+        at_value = at_value.filter(_c("n") <= largest)
+    ranked = rank_rows(at_value, keys, value)
 
     def score(i: Column) -> Column:
         return normal_quantile((i - 0.375) / (_c("n") + 0.25))
@@ -64,19 +66,22 @@ def shapiro_w(df: DataFrame, keys: list[str], value: str = "value", largest: int
         return F.max(F.when(_c("i") == i, _c(value)))
 
     sums = scored.groupBy(*keys).agg(
+        F.max("n").alias("n"), (F.var_pop(value) * F.max("n")).alias("_ss"),
+        F.min(value).alias("_min"), F.max(value).alias("_max"),
         F.sum(_c("_m") * _c("_m")).alias("_ssq"), F.sum(_c("_m") * _c(value)).alias("_smx"),
         at(F.lit(1)).alias("_x1"), at(F.lit(2)).alias("_x2"),
         at(_c("n") - 1).alias("_y2"), at(_c("n")).alias("_y1"),
     )
     n, u = _c("n").cast("double"), 1.0 / F.sqrt(_c("n").cast("double"))
     # Polynomial coefficients of the outer weights (AS R94).
-    step = moments.join(sums, keys).withColumns({"_m1": score(n), "_m2": score(n - 1)})
-    step = step.withColumns(
+    step = fence(sums, {"_m1": score(n), "_m2": score(n - 1)})
+    step = fence(
+        step,
         {
             "_a1": _poly(u, [0.221157, -0.147981, -2.07119, 4.434685, -2.706056]) + _safe(_c("_m1"), F.sqrt("_ssq")),
             "_a2": _poly(u, [0.042981, -0.293762, -1.752461, 5.682633, -3.582633]) + _safe(_c("_m2"), F.sqrt("_ssq")),
             "_d1": _c("_y1") - _c("_x1"), "_d2": _c("_y2") - _c("_x2"),
-        }
+        },
     )
     a1, a2, m1, m2 = (_c(x) for x in ("_a1", "_a2", "_m1", "_m2"))
     phi = F.when(
@@ -87,24 +92,27 @@ def shapiro_w(df: DataFrame, keys: list[str], value: str = "value", largest: int
     # three values: the weights are -sqrt(1/2), 0, sqrt(1/2)
     b = F.when(_c("n") == 3, _c("_d1") * math.sqrt(0.5)).when(_c("n") > 3, outer + _safe(middle, F.sqrt(F.greatest(phi, F.lit(0.0)))))
     w = F.when(_c("n") < 3, None).when(_c("_min") == _c("_max"), 1.0).otherwise(F.least(_safe(b * b, _c("_ss")), F.lit(1.0)))
-    if largest is not None:
-        w = F.when(_c("n") <= largest, w)
     return step.select(*keys, "n", w.cast("double").alias("w"))
 
 
-def shapiro(df: DataFrame, keys: list[str], value: str = "value", largest: int | None = None) -> DataFrame:
+def shapiro(
+    df: DataFrame, keys: list[str], value: str = "value", largest: int | None = None, weight: Column | None = None
+) -> DataFrame:
     """Shapiro-Wilk per group: (keys, n, w, shapiro_p)."""
-    return shapiro_w(df, keys, value, largest).withColumn("shapiro_p", tails.shapiro_p_udf("w", "n"))
+    return shapiro_w(df, keys, value, largest, weight).withColumn("shapiro_p", tails.shapiro_p_udf("w", "n"))
 
 
 # --- two samples -----------------------------------------------------------------------
 
 
-def rank_sum(df: DataFrame, keys: list[str], is_x: Column, value: str = "value") -> DataFrame:
+def rank_sum(
+    df: DataFrame, keys: list[str], is_x: Column, value: str = "value", weight: Column | None = None
+) -> DataFrame:
     """Mann-Whitney per group: nx, ny, u (of x), ties, mwu_p, mwu_z (no tie correction), delta."""
+    one = F.lit(1) if weight is None else weight
     at = value_positions(
-        present(df, value), keys, value,
-        sums={"_x": F.when(is_x, 1).otherwise(0), "_y": F.when(is_x, 0).otherwise(1)},
+        present(df, value), keys, value, weight=weight,
+        sums={"_x": F.when(is_x, one).otherwise(0), "_y": F.when(is_x, 0).otherwise(one)},
     )
     rank = _c("before") + (_c("cnt") + 1) / 2.0
     cnt = _c("cnt").cast("double")
@@ -131,6 +139,10 @@ def two_sample_moments(df: DataFrame, keys: list[str], is_x: Column, value: str
         F.count(x).alias("nx"), F.count(y).alias("ny"), F.avg(x).alias("mx"), F.avg(y).alias("my"),
         F.var_samp(x).alias("vx"), F.var_samp(y).alias("vy"),
     )
+    return _compare_moments(sums)
+
+
+def _compare_moments(sums: DataFrame) -> DataFrame:
     enough = (_c("nx") >= 2) & (_c("ny") >= 2)
     sx, sy = _c("vx") / _c("nx"), _c("vy") / _c("ny")
     sums = sums.withColumns({"_sx": F.when(enough, sx), "_sy": F.when(enough, sy)})
@@ -246,24 +258,37 @@ def metric_statistics(long: DataFrame, key: str = "metric", value: str = "value"
 
 
 def pair_values(pairs: DataFrame, metrics: list[str]) -> DataFrame:
-    """(column, metric, kind, value) rows: each labelled pair counts for both of its columns."""
+    """(column, metric, kind, value, cnt): each labelled pair counts for both of its columns.
+
+    The similarities have four decimals, so counting equal values before the shuffle leaves
+    at most ten thousand rows per column, metric and kind, whatever the number of stories.
+    """
     long = pairs.withColumn(
         "_m", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), _c(m).alias("value")) for m in metrics]))
     ).select(F.explode(F.array("a", "b")).alias("column"), "kind", "_m.metric", "_m.value")
-    return present(long)
+    return present(long).groupBy("column", "metric", "kind", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def pair_moments(values: DataFrame) -> DataFrame:
     """Per (column, metric): moments of all values, and of the intra and inter samples."""
     keys = ["column", "metric"]
-    both = two_sample_moments(values, keys, _c("kind") == "intra").drop("mx", "my", "vx", "vy")
-    everything = values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_all"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std_dev")
-    )
+    pieces, finished = [], []
+    for n, mean, var, test in (
+        ("n_all", "mean", "_v", F.lit(True)), ("nx", "mx", "vx", _c("kind") == "intra"), ("ny", "my", "vy", _c("kind") == "inter")
+    ):
+        k, v = F.when(test, _c("cnt")), F.when(test, _c("value"))
+        pieces += [
+            F.coalesce(F.sum(k), F.lit(0)).alias(n), F.sum(k * v).alias(f"_s{n}"), F.sum(k * v * v).alias(f"_q{n}"),
+            F.min(v).alias(f"_lo{n}"), F.max(v).alias(f"_hi{n}"),
+        ]
+        average = _safe(_c(f"_s{n}"), _c(n))
+        squares = F.when(_c(f"_lo{n}") == _c(f"_hi{n}"), 0.0).otherwise(_c(f"_q{n}") - _c(f"_s{n}") * average)
+        finished += [_c(n), average.alias(mean), F.when(_c(n) > 1, _safe(squares, _c(n) - 1)).alias(var)]
+    sums = values.groupBy(*keys).agg(*pieces).select(*keys, *finished).withColumn("std_dev", F.sqrt("_v"))
     half = Z_975 * _c("std_dev") / F.sqrt(_c("n_all").cast("double"))
     return (
-        everything.withColumns({"ci_low": _c("mean") - half, "ci_high": _c("mean") + half})
-        .join(both, keys)
+        _compare_moments(sums.withColumns({"ci_low": _c("mean") - half, "ci_high": _c("mean") + half}))
+        .drop("_v", "mx", "my", "vx", "vy")
         .withColumnsRenamed({"nx": "n_intra", "ny": "n_inter"})
     )
 
@@ -276,12 +301,13 @@ def pair_statistics(pairs: DataFrame, metrics: list[str], alpha: float = 0.05, s
     uses the true size ratio unless ``sizes_ratio`` is off (then 1).
     """
     keys = ["column", "metric"]
-    values = pair_values(pairs, metrics)
+    # the small table of counted values is kept once; every test below reads it
+    values = materialize(pair_values(pairs, metrics))
     samples = values.withColumn("sample", F.explode(F.array(F.lit("all"), _c("kind"))))
-    normality = shapiro(samples, [*keys, "sample"]).groupBy(*keys).pivot("sample", ["all", "intra", "inter"]).agg(
+    normality = shapiro(samples, [*keys, "sample"], weight=_c("cnt")).groupBy(*keys).pivot("sample", ["all", "intra", "inter"]).agg(
         F.first("shapiro_p")
     )
-    tests = rank_sum(values, keys, _c("kind") == "intra").select(*keys, "mwu_z", "delta", "mwu_p")
+    tests = rank_sum(values, keys, _c("kind") == "intra", weight=_c("cnt")).select(*keys, "mwu_z", "delta", "mwu_p")
     joined = pair_moments(values).join(normality, keys, "left").join(tests, keys, "left")
     testable = (_c("n_intra") >= 2) & (_c("n_inter") >= 2)
     normal = F.coalesce(
