@@ -188,11 +188,13 @@ def suffix_features(spark, sf):
 @check(
     "snk4_wide_report",
     with_(*code_checks.COUNTED, select="select model_group, story_id, "
-          + ", ".join(f"max(case when variant = '{v}' then {m} end) as {v}_{m}" for v in ("src0", "src1") for m in ("activities", "numberline"))
+          + ", ".join(f"max(case when variant = '{v}' then {m} end)::double as {v}_{m}" for v in ("src0", "src1") for m in ("activities", "numberline"))
           + " from s group by all"),
 )
 def wide_report(spark, sf):
-    metrics = cm.code_metrics(views.diagrams(spark, sf))
+    metrics = cm.code_metrics(views.diagrams(spark, sf)).select(
+        "model_group", "story_id", "variant", F.col("activities").cast("double"), F.col("numberline").cast("double")
+    )
     return readers.to_wide(metrics, ["model_group", "story_id"], ["src0", "src1"], ["activities", "numberline"])
 
 

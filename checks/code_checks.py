@@ -235,7 +235,7 @@ _AVERAGED = {"raw_score": 2, "percentage_score": 1, "negative_score": 2, "functi
 _TOTALS = (
     "g",
     "select variant, grouping(variant) as everything, count(*) as valid_entries, "
-    + ", ".join(f"sum({n})::{'bigint' if n in cm.COUNTS else 'double'} as total_{n}" for n in _SUMMED)
+    + ", ".join(f"sum({n})::bigint as total_{n}" if n in cm.COUNTS else f"sum({n}::decimal(28, 10))::double as total_{n}" for n in _SUMMED)
     + f" from f where {sql_strip('code')} <> '' group by grouping sets ((variant), ())",
 )
 _TOTAL_SELECT = (

@@ -387,12 +387,20 @@ def average_metrics(metrics: DataFrame) -> DataFrame:
 def variant_totals(metrics: DataFrame, code: str = "code", by: str = "variant") -> DataFrame:
     """Totals and averages per variant over non-blank cells, and the grand TOTAL row.
 
-    One ``grouping sets`` aggregate; the five score totals appear only on the TOTAL row.
+    One rollup; the five score totals appear only on the TOTAL row.
     """
     valid = strip(F.coalesce(F.col(code), F.lit(""))) != ""
     summed = [*COUNTS, "negative_score", *SCORES]
+
+    def total(name: str) -> Column:
+        if name in COUNTS:
+            return F.coalesce(F.sum(F.when(valid, F.col(name))), F.lit(0))
+        # decimal sums do not depend on the order of the tasks, so neither do rounded averages
+        exact = F.sum(F.when(valid, F.col(name).cast("decimal(28,10)")))
+        return F.coalesce(exact.cast("double"), F.lit(0.0))
+
     grouped = metrics.rollup(by).agg(
-        *[F.coalesce(F.sum(F.when(valid, F.col(n))), F.lit(0)).alias(f"total_{n}") for n in summed],
+        *[total(n).alias(f"total_{n}") for n in summed],
         F.count(F.when(valid, 1)).alias("valid_entries"),
         F.grouping(by).alias("_all"),
     )

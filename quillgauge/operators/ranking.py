@@ -46,8 +46,10 @@ def top_features(ranked: DataFrame, count: int = 10) -> DataFrame:
 def _fixed(column: str | Column, digits: int) -> Column:
     """Fixed decimals; a missing number prints as nan."""
     c = F.col(column) if isinstance(column, str) else column
+    rounded = py_round(c, digits)
+    sign = F.when((c < 0) & (rounded == 0), "-").otherwise("")  # a small negative prints as -0.00
     return F.when(c.isNull() | F.isnan(c), "nan").when(c == float("inf"), "inf").otherwise(
-        F.format_string(f"%.{digits}f", py_round(c, digits))
+        F.concat(sign, F.format_string(f"%.{digits}f", rounded))
     )
 
 
