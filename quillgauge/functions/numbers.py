@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Z_975 = 1.959963984540054  # 97.5% point of the standard normal distribution
@@ -83,15 +83,23 @@ def _polynomial(coefficients: list[float], x: Column) -> Column:
     return result
 
 
-def normal_quantile(p: Column) -> Column:
-    """Inverse of the standard normal distribution for 0 < p < 1."""
-    q = p - 0.5
-    centre = F.lit(0.180625) - q * q
-    r = F.sqrt(-F.ln(F.least(p, 1 - p)))
-    middle, tail = r - 1.6, r - 5.0
+def normal_quantile(q: Column, r: Column) -> Column:
+    """Inverse normal from q = p - 1/2 and r = sqrt(-ln(min(p, 1 - p))); pass plain columns."""
+    centre, middle, tail = F.lit(0.180625) - q * q, r - 1.6, r - 5.0
     outer = F.when(r <= 5.0, _polynomial(_MIDDLE[0], middle) / _polynomial(_MIDDLE[1], middle)).otherwise(
         _polynomial(_TAIL[0], tail) / _polynomial(_TAIL[1], tail)
     )
     return F.when(
         F.abs(q) <= 0.425, q * _polynomial(_CENTRE[0], centre) / _polynomial(_CENTRE[1], centre)
     ).otherwise(F.when(q < 0, -outer).otherwise(outer))
+
+
+def with_normal_quantile(df: DataFrame, p: Column, name: str) -> DataFrame:
+    """Add the standard normal quantile of ``p`` (0 < p < 1) as column ``name``.
+
+    The two intermediate columns keep the generated code small.
+    """
+    step = df.withColumn("_p", p).withColumns(
+        {"_q": F.col("_p") - 0.5, "_r": F.sqrt(-F.ln(F.least(F.col("_p"), 1 - F.col("_p"))))}
+    )
+    return step.withColumn(name, normal_quantile(F.col("_q"), F.col("_r"))).drop("_p", "_q", "_r")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgauge.functions.text import WORD, WS, fence, let, strip
-from quillgauge.operators.skew import salted_join
+from quillgauge.operators.skew import even_join
 
 SEPARATOR = "/"
 
@@ -139,7 +139,7 @@ def match_prefix(files: DataFrame, stems: DataFrame, exact: bool = False, existi
     """Each stem with every file whose name starts with it: (stem, folder, file, target).
 
     A file offers its prefixes of the lengths that occur among the stems, so the match is an
-    equality join, salted by file name since many files may share a prefix. ``exact`` asks
+    equality join; prefixes that very many files share are salted by file name. ``exact`` asks
     for the whole token before the first underscore or the extension. Targets already in
     ``existing`` (stem, target) are left out.
     """
@@ -153,7 +153,7 @@ def match_prefix(files: DataFrame, stems: DataFrame, exact: bool = False, existi
             files.withColumn("_n", F.explode(lengths)).filter(F.col("_n") <= F.length("file"))
             .withColumn("stem", F.substr(F.col("file"), F.lit(1), F.col("_n"))).drop("_n")
         )
-    found = salted_join(offered, unique, ["stem"], F.struct("folder", "file")).select(
+    found = even_join(offered, unique, ["stem"], F.struct("folder", "file")).select(
         "stem", "folder", "file", F.concat_ws(" ", "folder", "file").alias("target")
     )
     return found if existing is None else found.join(existing, ["stem", "target"], "left_anti")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillgauge.functions.numbers import np_round, py_round
 from quillgauge.functions.text import WORD, WS, fence, let, strip, stripped_lines
+from quillgauge.operators.positions import value_positions
 
 # Weights of the raw score.
 WEIGHTS = {
@@ -366,21 +367,31 @@ def penalty_details(metrics: DataFrame, code: str = "code") -> DataFrame:
 def average_metrics(metrics: DataFrame) -> DataFrame:
     """Mean, population deviation and median of the eleven metrics: 33 (metric, value) rows.
 
-    One pass collects the exact distribution of each metric as counts, so the median is
-    exact and a value that fills a third of all cells is one row.
+    One pass counts the equal values of each metric (a value that fills a third of all cells
+    is one row); all three numbers come from those counts, and the median is exact.
     """
-    from quillgauge.operators.positions import quantiles
-
     names = [*COUNTS, "negative_score"]
     long = metrics.select(
-        F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("v")) for n in names])).alias("_m")
+        F.explode(
+            F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("v")) for n in names])
+        ).alias("_m")
     ).select("_m.name", "_m.v")
-    moments = long.groupBy("name").agg(F.avg("v").alias("avg"), F.stddev_pop("v").alias("std"))
-    medians = quantiles(long, ["name"], "v", {"median": 0.5})
-    return (
-        moments.join(medians, "name")
-        .unpivot(["name"], ["avg", "std", "median"], "stat", "value")
-        .select(F.concat_ws("_", "stat", "name").alias("metric"), np_round(F.col("value"), 4).alias("value"))
+    c = F.col
+
+    def value_at(position: Column) -> Column:
+        return F.max(F.when((c("before") <= position) & (position < c("before") + c("cnt")), c("v")))
+
+    sums = value_positions(long, ["name"], "v").groupBy("name").agg(
+        F.max("n").alias("n"), F.sum(c("v") * c("cnt")).alias("_s"), F.sum(c("v") * c("v") * c("cnt")).alias("_q"),
+        value_at(F.floor((c("n") - 1) / 2)).alias("_lo"), value_at(F.ceil((c("n") - 1) / 2)).alias("_hi"),
+    )
+    mean = c("_s") / c("n")
+    found = sums.select(
+        "name", mean.alias("avg"), F.sqrt(F.greatest(c("_q") / c("n") - mean * mean, F.lit(0.0))).alias("std"),
+        ((c("_lo") + c("_hi")) / 2.0).alias("median"),
+    )
+    return found.unpivot(["name"], ["avg", "std", "median"], "stat", "value").select(
+        F.concat_ws("_", "stat", "name").alias("metric"), np_round(c("value"), 4).alias("value")
     )
 
 

@@ -10,15 +10,17 @@ from quillgauge.functions.numbers import py_round
 from quillgauge.functions.sequences import token_lcs
 from quillgauge.functions.text import fence, space_tokens
 from quillgauge.operators.pairs import vector_cosine
-from quillgauge.operators.skew import salted_join
+from quillgauge.operators.skew import even_join
 
 MINIMUM_CODE = 20  # code shorter than this scores zero throughout
 SMOOTHING_K = 5.0  # BLEU smoothing method 4
 
 
-def join_prompts(variants: DataFrame, stories: DataFrame, how: str = "inner") -> DataFrame:
+def join_prompts(
+    variants: DataFrame, stories: DataFrame, limit: int = 1_000_000, source: DataFrame | None = None
+) -> DataFrame:
     """Variants with the columns of their story; a story with very many variants is salted."""
-    return salted_join(variants, stories, ["story_id"], F.col("variant"), how=how)
+    return even_join(variants, stories, ["story_id"], F.col("variant"), limit, source=source)
 
 
 def basic_quality(code: Column) -> Column:
@@ -79,7 +81,7 @@ def correspondence(
 
     left = prepare(variants, "code", "c", ["story_id", "variant", *([code_vector] if code_vector else [])])
     right = prepare(stories, "prompt", "p", ["story_id", *([prompt_vector] if prompt_vector else [])])
-    rows = join_prompts(left, right.drop("_p"))
+    rows = join_prompts(left, right.drop("_p"), source=variants)
     code = F.col("_c")
     long_enough = F.length(code) >= MINIMUM_CODE
 

@@ -21,19 +21,28 @@ MAX_FEATURES = 8000
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 
 
-def pair_up(df: DataFrame, keys: list[str], carry: list[str], name: str = "variant", tile: int = 64) -> DataFrame:
+def pair_up(
+    df: DataFrame, keys: list[str], carry: list[str], name: str = "variant", tile: int = 64, source: DataFrame | None = None
+) -> DataFrame:
     """Unordered pairs of a story's variants: (keys, a, b, l, r) with a < b by name.
 
     ``l`` and ``r`` are structs of the ``carry`` columns. The pairs are the operator's
     result, so their number is quadratic in the variants of one story; variants are the
-    columns of a report, which bounds it. A story with more than ``tile`` variants is cut
-    into tiles by the hash of the name and joined tile by tile, so no task receives the
-    whole story.
+    columns of a report, which bounds it. The story sizes are checked first, from the key
+    columns alone (of ``source``, the frame ``df`` was derived from). With no story above
+    ``tile`` variants this is one self-join whose two sides share a single shuffle. Else
+    the large stories are cut into tiles by the hash of the name and joined tile by tile, so
+    no task receives a whole large story.
     """
     large = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > tile)
+        (df if source is None else source).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > tile)
         .select(*keys, F.ceil(F.col("_n") / tile).cast("int").alias("_tiles"))
     )
+    if large.isEmpty():
+        rows = df.select(*keys, F.col(name).alias("a"), F.struct(*carry).alias("l"))
+        joined = rows.join(rows.withColumnsRenamed({"a": "b", "l": "r"}), keys).filter(F.col("a") < F.col("b"))
+        return joined.select(*keys, "a", "b", "l", "r")
     marked = salted_join(df, large, keys, F.col(name), how="left")
     tiles = F.coalesce(F.col("_tiles"), F.lit(1))
     side = marked.select(
@@ -157,14 +166,16 @@ def bm25_weights(variants: DataFrame, ids: list[str], tokens: str) -> DataFrame:
     """
     counted = fence(variants.select(*ids, F.size(tokens).alias("_dl"), tokens), {"_counts": term_counts(F.col(tokens))})
     postings = counted.select(*ids, "_dl", F.explode("_counts").alias("token", "tf"))
-    corpus = variants.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens)).alias("avgdl"))
-    docs = corpus.select("n").scalar()
-    average = corpus.select("avgdl").scalar()
-    frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    docs = variants.agg(F.count(F.lit(1)).alias("n")).scalar()
+    frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     raw = frequency.withColumn("idf", F.ln(docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    floor = raw.agg((F.avg("idf") * BM25_EPSILON).alias("f")).scalar()
-    idf = raw.select("token", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")).alias("idf"))
-    joined = salted_join(postings, idf, ["token"], F.struct(*ids))
+    # one subquery over the combined counts: mean document length and the floor of the idf
+    facts = raw.agg(
+        F.struct((F.sum("cf") / docs).alias("avgdl"), (F.avg("idf") * BM25_EPSILON).alias("floor")).alias("s")
+    ).scalar()
+    idf = raw.select("token", F.when(F.col("idf") < 0, facts["floor"]).otherwise(F.col("idf")).alias("idf"))
+    average = facts["avgdl"]
+    joined = salted_join(postings, idf, ["token"], F.struct(*ids), salts=16)
     length = BM25_K1 * (1 - BM25_B + BM25_B * F.col("_dl") / average)
     weight = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + length)
     # one variant's own tokens: bounded by its text
@@ -238,7 +249,7 @@ def pair_similarity(
         )
         carry.append("_bm25")
     carry = [c for c in carry if c not in within]
-    pairs = pair_up(ready.drop("_code", "_tokens"), list(within), carry)
+    pairs = pair_up(ready.drop("_code", "_tokens"), list(within), carry, source=variants)
 
     def of(side: str, column: str) -> Column:
         return F.col(f"{side}.{column}")

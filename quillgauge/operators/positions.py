@@ -27,7 +27,7 @@ def value_positions(
     value: str,
     sums: dict[str, Column] | None = None,
     weight: Column | None = None,
-    ranges: int = 64,
+    ranges: int = 128,
 ) -> DataFrame:
     """One row per (keys, distinct value): ``cnt``, ``before`` and the group's ``n``.
 

@@ -18,3 +18,26 @@ def salted_join(
     salted = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def even_join(
+    many: DataFrame, one: DataFrame, keys: list[str], spread: Column, limit: int = 1_000_000, how: str = "inner",
+    source: DataFrame | None = None,
+) -> DataFrame:
+    """Join with a side unique on ``keys``, salting just the keys above ``limit`` rows.
+
+    The row counts per key are checked first, from the key columns of ``source`` (the frame
+    ``many`` was derived from). Without a hot key this is a plain join. The hot keys number
+    at most rows / limit; each gets one salt per ``limit`` rows, on both sides.
+    """
+    counted = many if source is None else source
+    hot = (
+        counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+        .select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
+    )
+    if hot.isEmpty():
+        return many.join(one, keys, how)
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    salted = many.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
+    repeated = one.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted.drop("_salts").join(repeated.drop("_salts"), [*keys, "_salt"], how).drop("_salt")

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgauge.functions import tails
-from quillgauge.functions.numbers import Z_975, finite, normal_quantile, np_round
-from quillgauge.functions.text import fence
+from quillgauge.functions.numbers import Z_975, finite, np_round, with_normal_quantile
 from quillgauge.operators.positions import quantiles, rank_rows, value_positions
 from quillgauge.operators.skew import salted_join
 from quillgauge.session import materialize
@@ -57,10 +56,10 @@ def shapiro_w(
         at_value = at_value.filter(_c("n") <= largest)
     ranked = rank_rows(at_value, keys, value)
 
-    def score(i: Column) -> Column:
-        return normal_quantile((i - 0.375) / (_c("n") + 0.25))
+    def with_score(df: DataFrame, i: Column, name: str) -> DataFrame:
+        return with_normal_quantile(df, (i - 0.375) / (_c("n") + 0.25), name)
 
-    scored = ranked.withColumn("_m", score(_c("i")))
+    scored = with_score(ranked, _c("i"), "_m")
 
     def at(i: Column) -> Column:
         return F.max(F.when(_c("i") == i, _c(value)))
@@ -74,9 +73,8 @@ def shapiro_w(
     )
     n, u = _c("n").cast("double"), 1.0 / F.sqrt(_c("n").cast("double"))
     # Polynomial coefficients of the outer weights (AS R94).
-    step = fence(sums, {"_m1": score(n), "_m2": score(n - 1)})
-    step = fence(
-        step,
+    step = with_score(with_score(sums, n, "_m1"), n - 1, "_m2")
+    step = step.withColumns(
         {
             "_a1": _poly(u, [0.221157, -0.147981, -2.07119, 4.434685, -2.706056]) + _safe(_c("_m1"), F.sqrt("_ssq")),
             "_a2": _poly(u, [0.042981, -0.293762, -1.752461, 5.682633, -3.582633]) + _safe(_c("_m2"), F.sqrt("_ssq")),
@@ -409,7 +407,7 @@ def qq_points(df: DataFrame, keys: list[str], value: str = "value", positions: s
         end = F.pow(F.lit(0.5), 1.0 / n)
         p = F.when(_c("i") == _c("n"), end).when(_c("i") == 1, 1.0 - end).otherwise((i - 0.3175) / (n + 0.365))
     rows = rank_rows(value_positions(present(df, value), keys, value), keys, value)
-    return rows.select(*keys, "i", p.alias("_p"), value).select(*keys, "i", normal_quantile(_c("_p")).alias("theoretical"), value)
+    return with_normal_quantile(rows, p, "theoretical").select(*keys, "i", "theoretical", value)
 
 
 def histogram(df: DataFrame, keys: list[str], value: str = "value", bins: int | None = None) -> DataFrame:

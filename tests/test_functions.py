@@ -40,7 +40,7 @@ def test_py_round_is_pythons_round(spark):
 def test_normal_quantile(spark):
     points = {0.975: 1.959963984540054, 0.5: 0.0, 0.001: -3.090232306167813, 1e-12: -7.034483825301132, 0.9: 1.2815515655446004}
     df = spark.createDataFrame([(p,) for p in points], "p double")
-    for r in df.select("p", numbers.normal_quantile(F.col("p")).alias("q")).collect():
+    for r in numbers.with_normal_quantile(df, F.col("p"), "q").collect():
         assert r.q == pytest.approx(points[r.p], abs=1e-12)
 
 

@@ -14,8 +14,9 @@ from quillgauge.operators import correspondence as co
 from quillgauge.operators import pairs as pz
 from quillgauge.operators import prompts as pr
 from quillgauge.operators import ranking, selection, stats
+from quillgauge.operators.embedding import with_embedding
 from quillgauge.operators.positions import quantiles, rank_rows, row_index, value_positions
-from quillgauge.operators.skew import salted_join
+from quillgauge.operators.skew import even_join, salted_join
 from quillgauge.sources import readers
 
 BALANCED = """@startuml
@@ -235,6 +236,9 @@ def test_salted_join_keeps_every_row(spark):
     one = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
     assert salted_join(many, one, ["k"], F.col("id")).count() == many.join(one, "k").count()
     assert salted_join(many, one, ["k"], F.col("id"), how="left").count() == 500
+    for limit in (10, 1000):  # with a hot key and without
+        assert even_join(many, one, ["k"], F.col("id"), limit).count() == many.join(one, "k").count()
+        assert even_join(many, one, ["k"], F.col("id"), limit, how="left").count() == 500
 
 
 def test_shapiro_published_vector_and_constants(spark):
@@ -321,3 +325,9 @@ def test_prefix_match_collision(spark):
     got = sorted((r.stem, r.target) for r in bl.match_prefix(files, stems).collect())
     assert got == [("Row3", "GBT001 Row31_bb.jpg"), ("Row3", "GBT001 Row3_aa.jpg"), ("Row31", "GBT001 Row31_bb.jpg")]
     assert bl.match_prefix(files, stems, exact=True).count() == 2
+
+
+def test_supplied_encoder(spark):
+    df = spark.createDataFrame([("ab",), (None,), ("abcd",)], "t string")
+    got = {r.t: r.v for r in with_embedding(df, "t", lambda texts: [[float(len(t)), 1.0] for t in texts], "v").collect()}
+    assert got == {"ab": [2.0, 1.0], None: [0.0, 1.0], "abcd": [4.0, 1.0]}
