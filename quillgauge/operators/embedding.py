@@ -1,7 +1,5 @@
 """Embeddings from a caller's encoder, for users who bring no vector column."""
 
-from __future__ import annotations
-
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -19,5 +17,5 @@ def with_embedding(
         for part in parts:
             yield pd.Series([list(map(float, v)) for v in encode(part.fillna("").tolist())])
 
-    embed = F.pandas_udf(batches, T.ArrayType(T.FloatType()), F.PandasUDFType.SCALAR_ITER)
+    embed = F.pandas_udf(batches, T.ArrayType(T.FloatType()))
     return df.withColumn(name, embed(F.col(text)))
