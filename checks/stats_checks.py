@@ -213,7 +213,6 @@ def percent_rescale(spark, sf):
 # "prompt_" the groups of the correspondence source.
 PF = ("pf", "select concat('prompt_', upper(substr(p_type, 1, 3)), p_size, '_match_rate') as feature, p_retailprice as value from part")
 PM = ("pm", sql_features("pf", "feature"))
-_SP = "03_Symantic_promt_code_Analysis_SP.csv"
 
 
 def _part_features(spark, sf):
@@ -229,7 +228,7 @@ def _part_features(spark, sf):
 )
 def group_statistics(spark, sf):
     features = stats.feature_moments(_part_features(spark, sf), ["feature"]).withColumn(
-        "grp", stats.feature_group(F.col("feature"), F.lit(_SP))
+        "grp", stats.feature_group(F.col("feature"), prompted=True)
     )
     return rounded(stats.group_statistics(features), ["grp"], _FEATS)
 
@@ -247,11 +246,11 @@ MERGED = (
 
 def _merged(spark, sf):
     customers = stats.feature_moments(views.features(spark, sf), ["feature"]).withColumn(
-        "grp", stats.feature_group(F.col("feature"), F.lit("01_Syntatic_Analysis.csv"))
+        "grp", stats.feature_group(F.col("feature"))
     )
     events = stats.feature_moments(_events(spark, sf), ["metric"]).withColumn("grp", F.upper(F.substring("metric", 1, 3)))
     parts = stats.feature_moments(_part_features(spark, sf), ["feature"]).withColumn(
-        "grp", stats.feature_group(F.col("feature"), F.lit(_SP))
+        "grp", stats.feature_group(F.col("feature"), prompted=True)
     )
     return ranking.merge_reports(
         {"customers": stats.group_statistics(customers), "events": stats.group_statistics(events),
@@ -277,7 +276,7 @@ def cross_report_summary(spark, sf):
     with_(PF, select="select substr(feature, 8, 3) as grp, count(value) as n, " + r6(average="avg(value)") + " from pf group by 1"),
 )
 def report_averages(spark, sf):
-    long = _part_features(spark, sf).withColumn("grp", stats.feature_group(F.col("feature"), F.lit(_SP)))
+    long = _part_features(spark, sf).withColumn("grp", stats.feature_group(F.col("feature"), prompted=True))
     return rounded(stats.report_averages(long, ["grp"]), ["grp", "n"], ["average"])
 
 

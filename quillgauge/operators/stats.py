@@ -374,12 +374,14 @@ def feature_statistics(long: DataFrame, keys: list[str], value: str = "value", r
 FEATURE_COLUMNS = ["mean", "std_dev", "std_mean", "shapiro_p", "skewness", "kurtosis", "missing"]
 
 
-def feature_group(feature: Column, source: Column) -> Column:
-    """Group key: for the two correspondence files the three characters after ``prompt_``."""
-    prompted = F.rlike(source, F.lit("03_Symantic_promt_code_Analysis_(SP|MP)")) & F.contains(feature, F.lit("prompt_"))
-    return F.when(prompted, F.substring(F.element_at(F.split(feature, "prompt_", -1), 2), 1, 3)).otherwise(
-        F.substring(feature, 1, 3)
-    )
+def feature_group(feature: Column, prompted: bool = False) -> Column:
+    """Group key: the first three characters of the feature name; features of a ``prompted``
+    (prompt-code) report take the three characters after ``prompt_`` where it occurs."""
+    if not prompted:
+        return F.substring(feature, 1, 3)
+    return F.when(
+        F.contains(feature, F.lit("prompt_")), F.substring(F.element_at(F.split(feature, "prompt_", -1), 2), 1, 3)
+    ).otherwise(F.substring(feature, 1, 3))
 
 
 def group_statistics(features: DataFrame, group: str = "grp", columns: list[str] = FEATURE_COLUMNS) -> DataFrame:

@@ -74,12 +74,15 @@ def correspondence_report(variants: DataFrame, stories: DataFrame, root: str, **
     return written | write_tables({"statistics": stats.metric_statistics(long)}, root)
 
 
-def statistics_report(reports: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Rank the features and groups of several (feature, value) tables and summarise them."""
+def statistics_report(reports: dict[str, DataFrame], prompted: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Rank the features and groups of several (feature, value) tables and summarise them.
+
+    ``prompted`` names the prompt-code reports among them.
+    """
     features, groups = {}, {}
     for source, long in reports.items():
         found = stats.feature_statistics(long, ["feature"]).withColumn(
-            "grp", stats.feature_group(F.col("feature"), F.lit(source))
+            "grp", stats.feature_group(F.col("feature"), source in prompted)
         )
         features[source] = ranking.add_ranking(found, "feature")
         groups[source] = stats.group_statistics(found)

@@ -80,7 +80,7 @@ def test_whole_reports(spark, tmp_path):
     scored = reports.prompt_report(stories)
     assert scored["run_counts"].first().succeeded == 4
     long = spark.read.parquet(syntax["metric_rows"]).select(F.concat("variant", F.lit("_percentage_score")).alias("feature"), F.col("percentage_score").alias("value"))
-    summary = reports.statistics_report({"01_Syntatic_Analysis.csv": long})
+    summary = reports.statistics_report({"syntax": long})
     assert {r.grp for r in summary["summary"].collect()} == {"GBT", "CLD"}
     assert os.path.isdir(tmp_path / "syntax" / "main_results")
     assert pytest.approx(1.0) == summary["groups"].agg(F.min("ranking")).first()[0]
