@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgauge.llm import jaccard, packing, quality, substrings, token_files
+from quillgauge.llm import jaccard, packing, quality, substrings, token_files, warc
 from quillgauge.llm.files import work_folder
+from quillgauge.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +30,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query("op1_warc", """
+    with p as (
+        select page_id, coalesce(html, '') as h from pages
+    ), f as (
+        select h, min(page_id) as first_id from p where octet_length(encode(h)) >= 100 group by h
+    )
+    select p.page_id, octet_length(encode(p.h))::bigint as payload_bytes, sha256(p.h) as payload_digest,
+        case when f.first_id < p.page_id then 'revisit' else 'response' end as record_type,
+        case when f.first_id < p.page_id then f.first_id end as refers_to
+    from p left join f on f.h = p.h
+""")
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    files = materialize(warc.write_warc(warc.revisits(pages), work_folder(spark, "warc")))
+    records = warc.read_warc(spark, files, with_payload=False)
+    key = pages.schema["page_id"].dataType.simpleString()
+
+    def page(name: str):
+        return F.substring_index(F.substring_index(name, "<urn:x-record:", -1), ">", 1).cast(key)
+
+    return records.select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
+    )
+
+
 @query("op2_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
