@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgauge.llm import jaccard, packing, quality, substrings, token_files, warc
+from quillgauge.llm import jaccard, main_text, packing, quality, substrings, token_files, warc
 from quillgauge.llm.files import work_folder
 from quillgauge.session import materialize
 
@@ -73,6 +73,12 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op8_main_text")
+def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text.main_text(table(spark, sf_dir, "pages"), into="text")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op9_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
