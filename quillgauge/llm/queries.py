@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgauge.llm import jaccard, main_text, packing, quality, substrings, token_files, warc
+from quillgauge.llm import decontaminate, jaccard, main_text, packing, pii, quality, substrings, token_files, warc
 from quillgauge.llm.files import work_folder
 from quillgauge.session import materialize
 
@@ -67,6 +67,19 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_classes(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+@query("op5_private_spans")
+def private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.private_spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in pii.KINDS]
+    base = pii.joined(f"filter(spans, s -> s.kind <> '{pii.TERM}')")
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
+@query("op6_benchmark_leaks")
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op7_substring_dedup")
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.duplicate_factors(table(spark, sf_dir, "documents"))
