@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from quillgauge.llm.arrays import Texts, distinct_per_text, sequence_windows, slices
+from quillgauge.llm.arrays import Texts, distinct_per_text, sequence_windows, slices, whole_hashes
 from quillgauge.session import materialize
 
 #: Words of a group whose least hash stands for a window.
@@ -56,15 +56,25 @@ def duplicate_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     hashes.
     """
     id_type = docs.schema[id_col].dataType
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))  # a new name: the shuffle of texts is then used again
     known = base.filter("id is not null")
 
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in slices(batch.column(1)):
+                long_enough = np.flatnonzero(np.diff(texts.word_offsets) >= window)
+                whole = whole_hashes(texts.word_hashes, texts.word_offsets)[long_enough]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(long_enough + texts.first)), pa.array(_signed(whole))], names=["id", "whole"])
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in slices(batch.column(1)):
                 _, owner, least = block_marks(texts, window)
                 marks, owner = distinct_per_text(least, owner)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + texts.first)), pa.array(_signed(marks))], names=["id", "mark"])
+                whole = whole_hashes(texts.word_hashes, texts.word_offsets)[owner]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(owner + texts.first)), pa.array(_signed(marks)), pa.array(_signed(whole))], names=["id", "mark", "whole"]
+                )
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,14 +95,19 @@ def duplicate_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
                 )
 
     id_name = id_type.simpleString()
-    marks = known.mapInArrow(mark, f"id {id_name}, mark long")
-    several = marks.groupBy("mark").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("mark")
-    marked = materialize(marks.join(several, "mark").groupBy("id").agg(F.collect_list("mark").alias("marks")))
-
-    windows = known.join(marked, "id").select("id", "text", "marks").mapInArrow(look, f"hash long, id {id_name}, start int")
+    # a document whose whole word sequence a smaller one has is one factor; only the smallest is looked into
+    named = known.mapInArrow(name, f"id {id_name}, whole long")
+    same = named.groupBy("whole").agg(F.min("id").alias("copy_of"), F.max("id").alias("high")).filter("copy_of < high").select("whole", "copy_of")
+    copies = materialize(named.join(same, "whole").filter("copy_of < id").groupBy("id").agg(F.min("copy_of").alias("copy_of")))
+    marks = known.mapInArrow(mark, f"id {id_name}, mark long, whole long")
+    several = marks.groupBy("mark").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).filter("low < high").select("mark")
+    shared = marks.select("id", "mark").join(several, "mark").groupBy("id").agg(F.collect_list("mark").alias("marks"))
+    marked = materialize(shared.join(copies, "id", "left_anti"))
+
+    windows = known.join(marked, "id").select("id", "body", "marks").mapInArrow(look, f"hash long, id {id_name}, start int")
     owners = windows.groupBy("hash").agg(F.min("id").alias("reference"), F.max("id").alias("high")).filter("reference < high").select("hash", "reference")
     repeats = windows.join(owners, "hash").filter("reference < id")
-    repeats = repeats.groupBy("id").agg(F.collect_list(F.struct("start", "reference")).alias("repeats"))
+    repeats = repeats.groupBy("id").agg(F.collect_list(F.struct("start", "reference")).alias("repeats")).join(copies, "id", "full")
 
     factor = StructType().add("first_word", "long").add("n_words", "long").add(StructField("reference", id_type))
     schema = StructType([StructField("id", id_type)]).add("n_words", "long").add("n_removed", "long")
@@ -102,6 +117,7 @@ def duplicate_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
         for batch in batches:
             for texts in slices(batch.column(1)):
                 lists = batch.column(2).slice(texts.first, len(texts))
+                copy_of = batch.column(3).slice(texts.first, len(texts)).to_pylist()
                 firsts, lasts = texts.words
                 n_words, n_removed, kept, factors = np.diff(texts.word_offsets), np.zeros(len(texts), np.int64), [], []
                 starts, hashes = texts.windows(window)
@@ -110,10 +126,12 @@ def duplicate_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
                 for i in range(len(texts)):
                     a, b = int(texts.word_offsets[i]), int(texts.word_offsets[i + 1])
                     stay, found = np.ones(b - a, bool), []
-                    if lists[i].is_valid:
+                    if copy_of[i] is not None and b - a >= window:
+                        found = [(0, b - a, copy_of[i])]
+                    elif lists[i].is_valid:
                         found = _factors(lists[i].values, starts[per_text[i] : per_text[i + 1]] - a, hashes[per_text[i] : per_text[i + 1]], window)
-                        for start, length, _ in found:
-                            stay[start : start + length] = False
+                    for start, length, _ in found:
+                        stay[start : start + length] = False
                     n_removed[i] = (b - a) - int(stay.sum())
                     kept.append(_join(raw, firsts[a:b], lasts[a:b], stay))
                     factors.append([{"first_word": s, "n_words": n, "reference": r} for s, n, r in found])
@@ -121,8 +139,9 @@ def duplicate_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
                            pa.array(kept, pa.binary()).cast(pa.string()), pa.array(factors, _arrow_factors(batch.schema.field(0).type))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_removed", "kept", "factors"])
 
-    with_repeats = known.join(repeats, "id", "left").select("id", "text", "repeats")
-    without_id = base.filter("id is null").select("id", "text", F.lit(None).cast(repeats.schema["repeats"].dataType).alias("repeats"))
+    with_repeats = known.join(repeats, "id", "left").select("id", "body", "repeats", "copy_of")
+    nothing = [F.lit(None).cast(repeats.schema[c].dataType).alias(c) for c in ("repeats", "copy_of")]
+    without_id = base.filter("id is null").select("id", "body", *nothing)
     return with_repeats.union(without_id).mapInArrow(parse, schema).withColumnRenamed("id", id_col)
 
 
