@@ -157,17 +157,23 @@ def private_spans(
     return some.select(*keep, spans.alias(into)).union(none.select(*keep, F.col("_base").alias(into)))
 
 
+def _generalised(text: str, spans: str) -> str:
+    """SQL for a text with its spans replaced; overlapping spans are one and its first kind stands for it."""
+    return f"""aggregate({spans}, named_struct('at', 0, 'out', ''),
+        (s, x) -> if(x.end <= s.at, s, named_struct('at', x.end, 'out', concat(s.out, substring({text}, s.at + 1, greatest(x.start - s.at, 0)),
+            if(x.start < s.at or x.kind = '{TERM}', '', concat('[', upper(x.kind), ']'))))),
+        s -> concat(s.out, substring({text}, s.at + 1)))"""
+
+
 def sanitised(docs: DataFrame, text_col: str = "text", share: float = 0.8, evidence: int = 3) -> DataFrame:
     """The documents with every span generalised to its kind, such as ``[EMAIL]``; terms are removed.
 
-    Other columns stay; texts without a span, null ones too, stay as they are.
+    What shows only after that, such as a card number that stood next to an IP address, is
+    generalised too. Other columns stay; texts without a span, null ones too, stay as they are.
     """
-    into = "_private_spans_"
+    into, once, rest = "_private_spans_", "_private_once_", "_private_rest_"
     found = private_spans(docs, text_col, into, share, evidence)
-    # overlapping spans are one: its first kind stands for it
-    cut = f"""aggregate({into}, named_struct('at', 0, 'out', ''),
-        (s, x) -> if(x.end <= s.at, s, named_struct('at', x.end, 'out', concat(s.out, substring(`{text_col}`, s.at + 1, greatest(x.start - s.at, 0)),
-            if(x.start < s.at or x.kind = '{TERM}', '', concat('[', upper(x.kind), ']'))))),
-        s -> concat(s.out, substring(`{text_col}`, s.at + 1)))"""
-    text = F.when(F.size(into) > 0, F.expr(cut)).otherwise(F.col(text_col)).alias(text_col)
+    first = F.when(F.size(into) > 0, F.expr(_generalised(f"`{text_col}`", into)))
+    found = found.withColumn(once, first).withColumn(rest, F.when(F.col(once).isNotNull(), base_spans(once)))
+    text = F.coalesce(F.when(F.size(rest) > 0, F.expr(_generalised(once, rest))), F.col(once), F.col(text_col)).alias(text_col)
     return found.select(*(text if c == text_col else F.col(c) for c in docs.columns))

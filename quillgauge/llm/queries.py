@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgauge.llm import decontaminate, jaccard, main_text, packing, pii, quality, substrings, token_files, warc
+from quillgauge.llm import decontaminate, jaccard, licenses, main_text, packing, pii, quality, substrings, token_files, warc
 from quillgauge.llm.files import work_folder
 from quillgauge.session import materialize
 
@@ -67,6 +67,11 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_classes(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+@query("op4_license_notices")
+def license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_notices(table(spark, sf_dir, "documents"))
+
+
 @query("op5_private_spans")
 def private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.private_spans(table(spark, sf_dir, "documents"), keep=["doc_id"])

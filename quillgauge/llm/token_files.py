@@ -28,6 +28,8 @@ from quillgauge.session import materialize
 
 MAGIC = b"QGTOKEN1"
 BLOCK_IDS = 1 << 16
+#: Ranges of documents are read by at most so many tasks; more ranges mean more for each.
+MOST_TASKS = 100_000
 _TRAILER = "<QIQQ8s"  # ids, bits, index position, index bytes, magic
 MANIFEST = "shard int, path string, n_docs long, n_ids long, bits int"
 
@@ -157,8 +159,8 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, id_type, docs_per
         manifest.withColumn("shard_start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
         .withColumn("first_doc", F.explode(F.sequence(F.lit(0), F.col("n_docs") - 1, F.lit(docs_per_task))))
         .select("path", "shard_start", "first_doc", "bits")
-        .repartition(F.col("path"), F.col("first_doc"))
     )
+    parts = parts.repartition(max(1, min(parts.count(), MOST_TASKS)), "path", "first_doc")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,6 +23,8 @@ from quillgauge.llm.files import partition_number, place, task_file
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
+#: Ranges are dealt out to at most so many tasks; more ranges mean more for each.
+MOST_TASKS = 100_000
 #: Payloads below this size are never revisits.
 LEAST_REVISIT = 100
 FIELDS = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, file string, offset long"
@@ -202,10 +204,8 @@ def read_warc(spark: SparkSession, files: DataFrame, range_bytes: int = 8 << 20,
     head says, and its payload is null. Damaged members are passed over. No file gives no rows.
     ``with_payload=False`` leaves the payload null, for callers that only want its digest.
     """
-    ranges = (
-        files.filter("n_bytes > 0").select("path", "n_bytes", F.explode(F.sequence(F.lit(0), F.col("n_bytes") - 1, F.lit(range_bytes))).alias("start"))
-        .repartition("path", "start")
-    )
+    ranges = files.filter("n_bytes > 0").select("path", "n_bytes", F.explode(F.sequence(F.lit(0), F.col("n_bytes") - 1, F.lit(range_bytes))).alias("start"))
+    ranges = ranges.repartition(max(1, min(ranges.count(), MOST_TASKS)), "path", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()),
