@@ -25,12 +25,17 @@ from pyspark.sql import functions as F
 
 from quillgauge.llm.arrays import Texts, distinct_per_text, mix, mix_one, slices, whole_hashes
 from quillgauge.llm.components import components
+from quillgauge.llm.files import partition_number
 from quillgauge.session import materialize
 
 BAND_RATIO = 1.5
 #: Partitionings that a set with too many empty partitions goes through.
 ROUNDS = 4
 SLICE = 4 << 20
+#: Sets with one signature that are compared with one another at once; larger groups take another exact way.
+GROUP = 16
+#: Documents whose texts are picked by a broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def text_sets(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,15 +82,19 @@ def shape(k: int) -> tuple[int, int, int]:
     """
     may = k if k <= 2 else 1 if k <= 12 else 0
     second = 1 if may == 0 else may + 2
-    spare = 0 if k <= 2 else 2 + k // 8
+    spare = 0 if k <= 2 else 2 + k // 4
     return k // (may + 1) + 1 + spare, second, may
 
 
-def signatures(keys: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of the sets laid out one after the other: (signature, number of its set)."""
+def signatures(keys: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All signatures of the sets laid out one after the other: (signature, number of its set).
+
+    Also how many signatures each set surely shares with any similar set that is not equal to it.
+    """
     found: list[tuple[np.ndarray, np.ndarray]] = []
+    sure = np.full(len(sizes), 1 << 20)
     if not len(keys):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), sure
     edges = np.array(bands(int(sizes.max()) * 2))
     own = np.searchsorted(edges, sizes, "right")
     # a larger partner has at most size / similarity elements
@@ -99,14 +108,16 @@ def signatures(keys: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.nd
             for turn in range(ROUNDS if k else 0):  # where nothing may differ, equal sets already share their name
                 if not len(part):
                     break
-                part = part[_sign(found, keys, starts, sizes, part, int(band), k, turn)]
+                shared = _sign(found, keys, starts, sizes, part, int(band), k, turn)
+                sure[part] = np.minimum(sure[part], np.maximum(shared, 0))
+                part = part[shared <= 0]
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate([s for s, _ in found]), np.concatenate([o for _, o in found])
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), sure
+    return np.concatenate([s for s, _ in found]), np.concatenate([o for _, o in found]), sure
 
 
 def _sign(found, keys, starts, sizes, part, band: int, k: int, turn: int) -> np.ndarray:
-    """Sign sets ``part`` for a band; returns which of them may have lost a partner."""
+    """Sign sets ``part`` for a band; returns how many signatures each surely shares with a similar set."""
     n_first, second, may = shape(k)
     lengths = sizes[part]
     ends = np.cumsum(lengths)
@@ -136,7 +147,7 @@ def _sign(found, keys, starts, sizes, part, band: int, k: int, turn: int) -> np.
         found.append((values[owner, which], part[owner]))
     # a good partition agrees on a filled subset if more than ``may`` of its cells are filled
     thin = (filled.sum(2) <= may).sum(1)
-    return thin >= n_first - k // (may + 1)
+    return n_first - k // (may + 1) - thin
 
 
 
@@ -165,24 +176,20 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _chain(signature: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sort by signature and node; also where a row continues the signature of the row before."""
-    order = np.lexsort((node, signature))
-    signature, node = signature[order], node[order]
-    more = np.zeros(len(order), bool)
-    more[1:] = signature[1:] == signature[:-1]
-    return order, more
-
+def _shared_signatures(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, a, b): sets a and b, by name, follow one another among the sets with signature ``key``.
 
-def _first_links(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) of set names that chain up all sets of each signature.
-
-    A task chains the sets of a signature it sees itself and passes on only the first of them, so
-    a signature that many sets share reaches the shuffle as a row per slice of texts.
+    The rows of a key chain up all its sets. A task chains the sets of a signature that it sees
+    itself and passes on only the first of them, so a signature that many sets share reaches the
+    shuffle as a row for each slice of texts. In the shuffle a set goes by a running number of its
+    task, which packs well; ``other`` is -1 for what is passed on, -2 and less where a number gets
+    its name. The second table has (node, sure): how many signatures a set surely shares with any
+    similar one.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        number = partition_number() << 32
         for batch in batches:
             for texts in slices(batch.column(0), lower=True, limit=SLICE):
                 keys, owners = text_sets(texts, words)
@@ -190,23 +197,34 @@ def _first_links(docs: DataFrame, words: int, percent: int, id_col: str, text_co
                 nodes = set_nodes(keys, sizes)
                 fresh = np.zeros(len(nodes), bool)
                 fresh[np.unique(nodes, return_index=True)[1]] = True
-                fresh &= np.fromiter((x not in seen for x in nodes.tolist()), bool, len(nodes))
+                fresh &= np.fromiter((x not in seen for x in nodes.tolist()), bool, len(nodes)) & (sizes > 0)
                 seen = set() if len(seen) > 500_000 else seen
                 seen.update(nodes.tolist())
                 keys, sizes, nodes = keys[np.repeat(fresh, sizes)], sizes[fresh], nodes[fresh]
-                signature, owner = signatures(keys, sizes, percent)
-                order, more = _chain(signature, nodes[owner])
-                signature, node = signature[order], nodes[owner][order]
-                before = np.flatnonzero(more) - 1
-                a = np.concatenate([signature[~more], node[before]])
-                b = np.concatenate([node[~more], node[more]])
-                pair = np.arange(len(a)) >= len(a) - len(before)
-                yield pa.RecordBatch.from_arrays([_long(a), _long(b), pa.array(pair)], names=["key", "node", "pair"])
+                numbers = number + np.arange(len(nodes))
+                number += len(nodes)
+                signature, owner, sure = signatures(keys, sizes, percent)
+                order = np.lexsort((owner, signature))
+                signature, mine = signature[order], numbers[owner[order]]
+                more = np.zeros(len(order), bool)
+                more[1:] = signature[1:] == signature[:-1]
+                other = np.full(len(order), -1)
+                other[more] = mine[np.flatnonzero(more) - 1]
+                yield pa.RecordBatch.from_arrays(
+                    [_long(np.concatenate([signature, nodes])), pa.array(np.concatenate([mine, numbers])), pa.array(np.concatenate([other, -2 - sure]))],
+                    names=["key", "number", "other"],
+                )
 
-    rows = _texts(docs, id_col, text_col).select("text").mapInArrow(sign, "key long, node long, pair boolean")
-    before = F.lag("node").over(Window.partitionBy("key", "pair").orderBy("node"))
-    pairs = rows.select(F.when(F.col("pair"), F.col("key")).otherwise(before).alias("x"), F.col("node").alias("y"))
-    return pairs.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rows = _texts(docs, id_col, text_col).select("text").mapInArrow(sign, "key long, number long, other long")
+    before = F.lag("number").over(Window.partitionBy("key", "other").orderBy("number"))
+    chained = materialize(
+        rows.select("key", "number", F.when(F.col("other") == -1, before).otherwise(F.col("other")).alias("other")).filter("other is not null")
+    )
+    names = chained.filter("other <= -2").select("number", F.col("key").alias("node"), (-2 - F.col("other")).alias("sure"))
+    a = names.select(F.col("number"), F.col("node").alias("a"))
+    b = names.select(F.col("number").alias("other"), F.col("node").alias("b"))
+    shared = chained.filter("other >= 0").join(a, "number").join(b, "other").filter("a <> b").select("key", "a", "b")
+    return shared, names.groupBy("node").agg(F.min("sure").alias("sure"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -223,7 +241,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col:
                 packed = [keys[ends[i] - sizes[i] : ends[i]].tobytes() for i in right.tolist()]
                 yield pa.RecordBatch.from_arrays([_long(nodes[right]), pa.array(packed, pa.binary())], names=["node", "shingles"])
 
-    picked = _texts(docs, id_col, text_col).join(wanted.select("id", "node"), "id").select("text", "node")
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    picked = _texts(docs, id_col, text_col).join(F.broadcast(wanted) if few else wanted, "id").select("text", "node")
     return picked.mapInArrow(pack, "node long, shingles binary")
 
 
@@ -250,29 +269,50 @@ def _verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int)
     return with_sets.mapInArrow(check, "a long, b long")
 
 
-def _across(sets: DataFrame, parts: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """All pairs of sets of different components that share a signature, but for ``done``.
+def _small_group_pairs(members: DataFrame, need: DataFrame) -> DataFrame:
+    """Pairs of sets that share enough signatures of small groups.
 
-    ``parts`` are the (node, component) of components that meet another one in a signature.
+    ``members`` has (key, node) of groups of at most ``GROUP`` sets. A similar pair shares at least
+    ``sure`` signatures, of which at most ``n_large`` are of large groups.
     """
+    left, right = members.toDF("key", "a"), members.toDF("key", "b")
+    pairs = left.join(right, "key").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    for side in ("a", "b"):
+        pairs = pairs.join(need.select(F.col("node").alias(side), F.col("need").alias(f"need_{side}")), side)
+    return pairs.filter("n >= need_a and n >= need_b").select("a", "b")
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _rare_shingle_pairs(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of different components that may be similar, by their rarest shingles.
+
+    The finest partition of the feature domain, a shingle in each part, for the sets (node,
+    component) whose signatures are mostly those of large groups. Ordered from rare to frequent,
+    the first shingle that two similar sets share leaves enough others in both.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                arrays = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(2)]
-                sizes = np.array([len(x) for x in arrays], np.int64)
-                signature, owner = signatures(np.concatenate(arrays), sizes, percent)
+                arrays = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+                sizes = np.array([len(x) for x in arrays])
+                owner = pa.array(np.repeat(np.arange(len(arrays)), sizes))
                 yield pa.RecordBatch.from_arrays(
-                    [_long(signature), part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner))], names=["key", "node", "component"]
+                    [part.column(0).take(owner), part.column(1).take(owner), pa.array(np.concatenate(arrays)), pa.array(np.repeat(sizes, sizes))],
+                    names=["node", "component", "shingle", "size"],
                 )
 
-    rows = materialize(sets.join(parts, "node").select("node", "component", "shingles").mapInArrow(sign, "key long, node long, component long"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    members = rows.join(mixed, "key")
-    left, right = members.toDF("key", "a", "ca"), members.toDF("key", "b", "cb")
-    pairs = left.join(right, "key").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.join(done, ["a", "b"], "left_anti")
+    rows = materialize(sets.join(nodes, "node").select("node", "component", "shingles").mapInArrow(spread, "node long, component long, shingle long, size long"))
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
+    ranked = rows.join(often, "shingle").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("times", "shingle")) - 1)
+    first = ranked.filter(((100 * (F.col("size") - F.col("at"))) >= percent * F.col("size")) & (F.col("times") > 1)).drop("times")
+    first = materialize(first.select("shingle", "node", "component", "size", "at"))
+    mixed = first.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("shingle")
+    first = first.join(mixed, "shingle")
+    left, right = first.toDF("shingle", "a", "ca", "na", "ia"), first.toDF("shingle", "b", "cb", "nb", "ib")
+    fits = (100 + percent) * F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= percent * (F.col("na") + F.col("nb"))
+    pairs = left.join(right, "shingle").filter(F.col("ca") < F.col("cb")).filter(fits)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,23 +329,31 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sizes = materialize(
         named.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles"))
     )
-    pairs = materialize(_first_links(docs, words, percent, id_col, text_col))
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
-    sets = materialize(_sets(docs, involved.join(sizes, "node"), words, id_col, text_col))
+    shared, sure = _shared_signatures(docs, words, percent, id_col, text_col)
+    shared = materialize(shared)
+    members = materialize(shared.select("key", F.col("a").alias("node")).union(shared.select("key", "b")).distinct())
+    large = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select("key"))
+    in_large = materialize(members.join(large, "key"))
+    n_large = in_large.groupBy("node").agg(F.count(F.lit(1)).alias("n_large"))
+    need = materialize(
+        members.select("node").distinct().join(sure, "node").join(n_large, "node", "left")
+        .select("node", (F.col("sure") - F.coalesce("n_large", F.lit(0))).alias("need"))
+    )
+    # sets with need <= 0 may share nothing but signatures of large groups with a similar set
+    stubborn = need.filter("need <= 0").join(in_large.select("node").distinct(), "node", "left_semi").select("node")
+    pairs = shared.join(large, "key").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialize(pairs.union(_small_group_pairs(members.join(large, "key", "left_anti"), need)).distinct())
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(stubborn).distinct()
+    sets = materialize(_sets(docs, materialize(involved.join(sizes, "node").select("id", "node")), words, id_col, text_col))
     links = materialize(_verified(pairs, sets, sizes, percent))
     labels = components(links)
-
-    def label(side: str) -> DataFrame:
-        return labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-
-    met = (
-        pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
-        .select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca <> cb")
-    )
-    met = materialize(met.select(F.col("ca").alias("component")).union(met.select(F.col("cb"))).distinct())
-    if not met.isEmpty():
-        parts = involved.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component")).join(met, "component")
-        more = materialize(_verified(_across(sets, parts, pairs, percent), sets, sizes, percent))
+    # large groups that their chains left in several components
+    placed = in_large.join(stubborn, "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    left_over = materialize(placed.join(mixed, "key").select("node", "component").distinct())
+    if not left_over.isEmpty():
+        more = _rare_shingle_pairs(sets, left_over, percent).join(pairs, ["a", "b"], "left_anti")
+        more = materialize(_verified(more, sets, sizes, percent))
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
@@ -318,3 +366,20 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     return named.join(reached, "node", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
+
+
+def one_of_each_class(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without near copies: of each class the one of the smallest id, columns as they were.
+
+    Documents without words have no copies and stay, as do those without an id. Of rows that share
+    id and text one stays.
+    """
+    found = similar_classes(docs, words, percent, id_col, text_col)
+    gone = materialize(found.filter(F.col(id_col) > F.col("component_id")).select(id_col).distinct())
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)
+    again = materialize(found.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) & F.col(id_col).isNotNull()).select(id_col))
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, id_col).select(*docs.columns).dropDuplicates([id_col, text_col])
+    return kept.join(again, id_col, "left_anti").select(*docs.columns).union(once)
