@@ -27,8 +27,8 @@ def py_round(x: Column, digits: int) -> Column:
         .when(tie & (error < 0), F.rint(p - 0.25))
         .otherwise(F.rint(p))
     )
-    # "+ 0.0" turns -0.0 into 0.0
-    return F.when(F.abs(x) < 1e9, nearest / m + F.lit(0.0)).otherwise(x)
+    # from 2**52 on the product has no fraction left to round; "+ 0.0" turns -0.0 into 0.0
+    return F.when(F.abs(p) < 4503599627370496.0, nearest / m + F.lit(0.0)).otherwise(x)
 
 
 def np_round(x: Column, digits: int) -> Column:

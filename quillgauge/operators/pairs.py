@@ -95,11 +95,12 @@ def edit_ratio(left: Column, right: Column) -> Column:
     return _when_empty(F.length(left), F.length(right), text_lcs(left, right) * 2.0 / F.when(size > 0, size))
 
 
-def tfidf_cosine(left: Column, right: Column, limit: int = MAX_FEATURES) -> Column:
+def tfidf_cosine(left: Column, right: Column, limit: int | None = None) -> Column:
     """Cosine of the TF-IDF vectors fitted on just the two texts, from their term counts.
 
     The smooth idf of a shared term is 1, of any other 1 + ln 1.5, so only the shared terms
-    and the two sums of squares are needed. Null when neither text has a term.
+    and the two sums of squares are needed. Null when neither text has a term. ``limit`` keeps
+    only that many of the most frequent terms of the two texts (``MAX_FEATURES`` is the usual one).
     """
     rare = F.lit((1.0 + 0.4054651081081644) ** 2)
 
@@ -139,6 +140,8 @@ def tfidf_cosine(left: Column, right: Column, limit: int = MAX_FEATURES) -> Colu
             ),
         )
     )
+    if limit is None:
+        return F.when((F.size(left) == 0) & (F.size(right) == 0), F.lit(None).cast("double")).otherwise(whole)
     # the vocabulary limit can only bind when the two texts have that many terms together
     big = F.size(left) + F.size(right) > limit
     return F.when((F.size(left) == 0) & (F.size(right) == 0), F.lit(None).cast("double")).otherwise(
@@ -161,8 +164,8 @@ def vector_cosine(left: Column, right: Column) -> Column:
 def bm25_weights(variants: DataFrame, ids: list[str], tokens: str) -> DataFrame:
     """Per variant a map token -> (tf, w): its count and its Okapi weight over the whole corpus.
 
-    Document frequencies come from one combined aggregate; a token that occurs everywhere
-    is spread over salts when its idf is joined back.
+    Document frequencies come from one combined aggregate. The idf is joined back by token, with
+    nothing but an aggregate above, so Spark splits the postings of a token that occurs everywhere.
     """
     counted = fence(variants.select(*ids, F.size(tokens).alias("_dl"), tokens), {"_counts": term_counts(F.col(tokens))})
     postings = counted.select(*ids, "_dl", F.explode("_counts").alias("token", "tf"))
@@ -175,7 +178,7 @@ def bm25_weights(variants: DataFrame, ids: list[str], tokens: str) -> DataFrame:
     ).scalar()
     idf = raw.select("token", F.when(F.col("idf") < 0, facts["floor"]).otherwise(F.col("idf")).alias("idf"))
     average = facts["avgdl"]
-    joined = salted_join(postings, idf, ["token"], F.struct(*ids), salts=16)
+    joined = postings.join(idf, "token")
     length = BM25_K1 * (1 - BM25_B + BM25_B * F.col("_dl") / average)
     weight = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + length)
     # one variant's own tokens: bounded by its text
@@ -224,7 +227,7 @@ def pair_similarity(
     metrics: tuple[str, ...] = ("jaccard", "levenshtein", "tfidf", "bm25"),
     vector: str | None = None,
     code: str = "code",
-    limit: int = MAX_FEATURES,
+    limit: int | None = None,
 ) -> DataFrame:
     """Similarity of every pair inside ``within``: the components, their mean and weighted mean.
 

@@ -33,8 +33,18 @@ def value_positions(
 
     ``before`` is the number of rows of the group with a smaller value. ``sums`` adds more
     totals per value (for two-sample ranks); ``weight`` counts a row that often. Rows
-    without a value are left out.
+    without a value are left out; a null key is a group like any other.
     """
+    if keys:  # as one struct, keys are never null: joins keep null groups, and plans share their exchange
+        packed = df.withColumn("_group", F.struct(*keys)).drop(*keys)
+        found = _positions(packed, ["_group"], value, sums, weight, ranges)
+        return found.select(*[F.col(f"_group.{k}").alias(k) for k in keys], *[c for c in found.columns if c != "_group"])
+    return _positions(df, keys, value, sums, weight, ranges)
+
+
+def _positions(
+    df: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None, weight: Column | None, ranges: int
+) -> DataFrame:
     extra = {name: F.sum(e).alias(name) for name, e in (sums or {}).items()}
     present = df.filter(F.col(value).isNotNull())
     count = F.count(F.lit(1)) if weight is None else F.sum(weight)
@@ -100,10 +110,15 @@ def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, floa
 
 
 def row_index(df: DataFrame, order: list[str], name: str = "row_index") -> DataFrame:
-    """1-based row number by a unique order key, computed range by range."""
+    """1-based row number by an order key, computed range by range.
+
+    Rows that tie on the key are numbered by a hash of the whole row.
+    """
     keyed = df.withColumn("_order", F.struct(*order))
-    numbered = value_positions(keyed, [], "_order").select("_order", (F.col("before") + 1).alias(name))
-    return keyed.join(numbered, "_order").drop("_order")
+    numbered = value_positions(keyed, [], "_order").select("_order", "before")
+    hashable = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    tied = F.row_number().over(Window.partitionBy("_order").orderBy(F.xxhash64(*hashable)))
+    return keyed.join(numbered, "_order").withColumn(name, F.col("before") + tied).drop("_order", "before")
 
 
 def rank_rows(positions: DataFrame, keys: list[str], value: str, chunk: int = 65_536) -> DataFrame:

@@ -11,10 +11,11 @@ from quillgauge.operators.positions import row_index
 def strata(df: DataFrame, score: str = "score", key: str = "id") -> DataFrame:
     """Low, Medium and High by exact position in score order: the first quarter, half, quarter.
 
-    Ties straddle a border, so the position is counted over (score, id); it is found range
-    by range, never in one sorted task.
+    Missing scores come last. Ties straddle a border, so the position is counted over (score, id);
+    it is found range by range, never in one sorted task.
     """
-    ranked = row_index(df, [score, key], "_position")
+    known = df.withColumn("_missing", F.col(score).isNull() | F.isnan(F.col(score).cast("double")))
+    ranked = row_index(known, ["_missing", score, key], "_position").drop("_missing")
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     low, high = F.floor(total * 0.25), F.floor(total * 0.75)
     stratum = F.when(F.col("_position") <= low, "Low").when(F.col("_position") <= high, "Medium").otherwise("High")

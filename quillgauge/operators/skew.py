@@ -13,30 +13,39 @@ def salted_join(
 
     The large side's rows of one key are spread over ``salts`` partitions by the hash of
     ``spread``; the unique side is repeated once per salt. When the unique side is small
-    enough Spark broadcasts it and the salts cost nothing but a column.
+    enough Spark broadcasts it and the salts cost nothing but a column. Null keys are equal.
     """
-    salted = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    salted = many.withColumns({"_join_key": F.struct(*keys), "_salt": F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")})
+    repeated = one.withColumn("_join_key", F.struct(*keys)).drop(*keys).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    )
+    return salted.join(repeated, ["_join_key", "_salt"], how).drop("_join_key", "_salt")
+
+
+def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null, as grouping has it; the keys appear once."""
+    packed = right.withColumn("_join_key", F.struct(*keys)).drop(*keys)
+    return left.withColumn("_join_key", F.struct(*keys)).join(packed, "_join_key", how).drop("_join_key")
 
 
 def even_join(
-    many: DataFrame, one: DataFrame, keys: list[str], spread: Column, limit: int = 1_000_000, how: str = "inner",
+    many: DataFrame, one: DataFrame, keys: list[str], spread: Column, limit: int | None = 1_000_000, how: str = "inner",
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Join with a side unique on ``keys``, salting just the keys above ``limit`` rows.
 
-    The row counts per key are checked first, from the key columns of ``source`` (the frame
-    ``many`` was derived from). Without a hot key this is a plain join. The hot keys number
-    at most rows / limit; each gets one salt per ``limit`` rows, on both sides.
+    The rows per key are counted as part of the join, from the key columns of ``source`` (the
+    frame ``many`` was derived from). The hot keys number at most rows / limit; each gets one
+    salt per ``limit`` rows, on both sides. Nothing runs until the result is used; ``limit=None``
+    is a plain join, for streams.
     """
+    if limit is None:
+        return many.join(one, keys, how)
     counted = many if source is None else source
     hot = (
         counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
         .select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
     )
-    if hot.isEmpty():
-        return many.join(one, keys, how)
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     salted = many.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
     repeated = one.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillgauge.functions import tails
 from quillgauge.functions.numbers import Z_975, finite, np_round, with_normal_quantile
 from quillgauge.operators.positions import quantiles, rank_rows, value_positions
-from quillgauge.operators.skew import salted_join
+from quillgauge.operators.skew import keyed_join, salted_join
 from quillgauge.session import materialize
 
 
@@ -184,10 +184,13 @@ def _rounded(df: DataFrame, keep: list[str], columns: list[str], digits: int) ->
     return df.select(*keep, *[np_round(_c(c), digits).alias(c) for c in columns])
 
 
-def column_statistics(long: DataFrame, key: str = "column", value: str = "value") -> DataFrame:
-    """The syntax report's statistics table: tests each column against a mean of 0."""
-    joined = column_moments(long, key, value).join(
-        shapiro(long, [key], value, largest=5000).select(key, "shapiro_p"), key, "left"
+def column_statistics(long: DataFrame, key: str = "column", value: str = "value", largest: int | None = None) -> DataFrame:
+    """The syntax report's statistics table: tests each column against a mean of 0.
+
+    ``largest`` leaves the Shapiro p of columns with more values out (null).
+    """
+    joined = keyed_join(
+        column_moments(long, key, value), shapiro(long, [key], value, largest=largest).select(key, "shapiro_p"), [key], "left"
     )
     varies = _c("std_dev") > 0
     full = joined.withColumns(
@@ -224,7 +227,7 @@ def metric_moments(long: DataFrame, key: str = "metric", value: str = "value", c
     no_spread = F.when(gap == 0, F.lit(None).cast("double")).when(gap > 0, float("inf")).otherwise(float("-inf"))
     varies = _c("std_dev") > 0
     half = F.when(varies, Z_975 * _c("std_dev") / F.sqrt(n))
-    return base.join(ties, key).select(
+    return keyed_join(base, ties, [key]).select(
         key, "n", "mean", "std_dev",
         F.when(varies, _safe(gap, _c("_s") / F.sqrt(n))).otherwise(no_spread).alias("z_stat"),
         F.when(varies, _safe(gap, _c("std_dev"))).otherwise(0.0).alias("effect_size"),
@@ -237,9 +240,7 @@ def metric_moments(long: DataFrame, key: str = "metric", value: str = "value", c
 
 def metric_statistics(long: DataFrame, key: str = "metric", value: str = "value", centre: float = 0.5) -> DataFrame:
     """The correspondence report's statistics table. Power is always null there."""
-    joined = metric_moments(long, key, value, centre).join(
-        shapiro(long, [key], value).select(key, "shapiro_p"), key, "left"
-    )
+    joined = keyed_join(metric_moments(long, key, value, centre), shapiro(long, [key], value).select(key, "shapiro_p"), [key], "left")
     n = _c("n").cast("double")
     full = joined.withColumns(
         {
@@ -306,7 +307,7 @@ def pair_statistics(pairs: DataFrame, metrics: list[str], alpha: float = 0.05, s
         F.first("shapiro_p")
     )
     tests = rank_sum(values, keys, _c("kind") == "intra", weight=_c("cnt")).select(*keys, "mwu_z", "delta", "mwu_p")
-    joined = pair_moments(values).join(normality, keys, "left").join(tests, keys, "left")
+    joined = keyed_join(keyed_join(pair_moments(values), normality, keys, "left"), tests, keys, "left")
     testable = (_c("n_intra") >= 2) & (_c("n_inter") >= 2)
     normal = F.coalesce(
         (_c("n_intra") >= 3) & (_c("n_inter") >= 3) & (_c("intra") > alpha) & (_c("inter") > alpha), F.lit(False)
@@ -368,7 +369,7 @@ def feature_moments(long: DataFrame, keys: list[str], value: str = "value", resc
 def feature_statistics(long: DataFrame, keys: list[str], value: str = "value", rescale: str = "reference") -> DataFrame:
     """Feature moments with the Shapiro-Wilk p (more than three values)."""
     normal = shapiro(long, keys, value).select(*keys, F.when(_c("n") > 3, _c("shapiro_p")).alias("shapiro_p"))
-    return feature_moments(long, keys, value, rescale).join(normal, keys, "left")
+    return keyed_join(feature_moments(long, keys, value, rescale), normal, keys, "left")
 
 
 FEATURE_COLUMNS = ["mean", "std_dev", "std_mean", "shapiro_p", "skewness", "kurtosis", "missing"]
@@ -423,7 +424,7 @@ def histogram(df: DataFrame, keys: list[str], value: str = "value", bins: int |
     )
     span = _c("_hi") - _c("_lo")
     if bins is None:
-        ends = ends.join(quantiles(rows, keys, value, {"_q1": 0.25, "_q3": 0.75}), keys)
+        ends = keyed_join(ends, quantiles(rows, keys, value, {"_q1": 0.25, "_q3": 0.75}), keys)
         diaconis = 2.0 * (_c("_q3") - _c("_q1")) / F.pow(_c("_n").cast("double"), F.lit(1.0 / 3.0))
         sturges = span / (F.log2(_c("_n").cast("double")) + 1.0)
         width = F.when(diaconis > 0, F.least(diaconis, sturges)).otherwise(sturges)
