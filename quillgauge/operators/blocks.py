@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgauge.functions.text import WORD, WS, fence, let, strip
@@ -84,7 +84,8 @@ def safe_name(text: Column, longest: int = 50) -> Column:
 def manifest(cells: DataFrame, root: str = "jpg") -> DataFrame:
     """One row per block of long cells (sheet, row_index, col_index, column_name, cell).
 
-    Blank cells are skipped; the target path is ``root/<safe column>/<unique name>.jpg``.
+    Blank cells are skipped; the target path is ``root/<safe column>/<unique name>.jpg``. Where
+    shortened column names would give one path twice, later blocks get a number.
     """
     text = strip(F.coalesce(F.col("cell"), F.lit("")))
     filled = fence(cells, {"cell": text}).filter(F.col("cell") != "")
@@ -92,10 +93,13 @@ def manifest(cells: DataFrame, root: str = "jpg") -> DataFrame:
         "sheet", "row_index", "col_index", "column_name", F.posexplode(blocks(F.col("cell"))).alias("_i", "block")
     ).withColumn("diagram_index", F.col("_i") + 1)
     name = unique_name(F.col("row_index"), F.col("diagram_index"), F.col("block"))
-    path = F.concat(F.lit(root + SEPARATOR), safe_name(F.col("column_name")), F.lit(SEPARATOR), name, F.lit(".jpg"))
-    return rows.select(
+    path = F.concat(F.lit(root + SEPARATOR), safe_name(F.col("column_name")), F.lit(SEPARATOR), name)
+    same = Window.partitionBy("_path").orderBy("sheet", "col_index", "row_index", "diagram_index")
+    named = rows.withColumn("_path", path).withColumn("_times", F.row_number().over(same))
+    number = F.when(F.col("_times") > 1, F.concat(F.lit("_"), F.col("_times"))).otherwise("")
+    return named.select(
         "sheet", "row_index", "col_index", "column_name", "diagram_index", "block",
-        syntax_type(F.col("block")).alias("syntax"), path.alias("file_name"),
+        syntax_type(F.col("block")).alias("syntax"), F.concat("_path", number, F.lit(".jpg")).alias("file_name"),
     )
 
 
@@ -109,13 +113,16 @@ def wide_cells(wide: DataFrame, row_index: str, columns: list[str], sheet: str)
     )
 
 
-def cell_counts(cells: DataFrame, blocks_of: DataFrame) -> DataFrame:
-    """Cells, cells with content, diagrams, distinct columns used."""
-    content = F.count(F.when(strip(F.coalesce(F.col("cell"), F.lit(""))) != "", 1))
-    diagrams = blocks_of.agg(F.count(F.lit(1)).alias("n")).scalar()
-    folders = blocks_of.agg(F.count_distinct("column_name").alias("n")).scalar()
-    return cells.agg(F.count(F.lit(1)).alias("total_cells"), content.alias("cells_with_content")).select(
-        "total_cells", "cells_with_content", diagrams.alias("total_diagrams"), folders.alias("column_folders")
+def cell_counts(cells: DataFrame) -> DataFrame:
+    """Cells, cells with content, diagrams, distinct columns used, in one pass over the cells."""
+    text = fence(cells.select("column_name", strip(F.coalesce(F.col("cell"), F.lit(""))).alias("_t")), {"_n": F.when(F.col("_t") != "", F.size(blocks(F.col("_t"))))})
+    # column names are few: they are counted first, so no distinct count over the cells is needed
+    by_column = text.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("cells"), F.count("_n").alias("filled"), F.coalesce(F.sum("_n"), F.lit(0)).alias("diagrams")
+    )
+    return by_column.agg(
+        F.coalesce(F.sum("cells"), F.lit(0)).alias("total_cells"), F.coalesce(F.sum("filled"), F.lit(0)).alias("cells_with_content"),
+        F.coalesce(F.sum("diagrams"), F.lit(0)).alias("total_diagrams"), F.count(F.when(F.col("diagrams") > 0, F.col("column_name"))).alias("column_folders"),
     )
 
 

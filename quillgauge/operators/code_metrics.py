@@ -368,7 +368,8 @@ def average_metrics(metrics: DataFrame) -> DataFrame:
     """Mean, population deviation and median of the eleven metrics: 33 (metric, value) rows.
 
     One pass counts the equal values of each metric (a value that fills a third of all cells
-    is one row); all three numbers come from those counts, and the median is exact.
+    is one row); all three numbers come from those counts, and the median is exact. A metric
+    without any cell has zeros.
     """
     names = [*COUNTS, "negative_score"]
     long = metrics.select(
@@ -390,6 +391,8 @@ def average_metrics(metrics: DataFrame) -> DataFrame:
         "name", mean.alias("avg"), F.sqrt(F.greatest(c("_q") / c("n") - mean * mean, F.lit(0.0))).alias("std"),
         ((c("_lo") + c("_hi")) / 2.0).alias("median"),
     )
+    all_names = metrics.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    found = all_names.join(found, "name", "left").fillna(0.0, ["avg", "std", "median"])
     return found.unpivot(["name"], ["avg", "std", "median"], "stat", "value").select(
         F.concat_ws("_", "stat", "name").alias("metric"), np_round(c("value"), 4).alias("value")
     )

@@ -70,8 +70,8 @@ def correspondence(
     """Similarity, quality, match rate, BLEU and ROUGE-L per (story, variant).
 
     Null text reads as ``nan``. The prompt is prepared once per story, the code once per
-    variant, and the pair is compared inside the joined row. Without vectors the
-    similarity, and with it the match rate, is 0, as for a missing embedding.
+    variant, and the pair is compared inside the joined row. Without vector columns the
+    similarity, and with it the match rate, is not known and null.
     ROUGE-L is the F1 of the token LCS.
     """
     def prepare(df: DataFrame, text: str, prefix: str, keep: list[str]) -> DataFrame:
@@ -93,7 +93,7 @@ def correspondence(
     if code_vector and prompt_vector:
         values["_similarity"] = guarded(vector_cosine(F.col(prompt_vector), F.col(code_vector)))
     else:
-        values["_similarity"] = F.lit(0.0)
+        values["_similarity"] = F.lit(None).cast("double")
     values["_quality"] = guarded(basic_quality(code))
     if "bleu" in metrics:
         clipped = [

@@ -275,10 +275,13 @@ def with_label(df: DataFrame, labels: DataFrame, key: str, label: str, default:
     )
 
 
-def run_counts(scored: DataFrame) -> DataFrame:
-    """Processed, successful and failed rows and the success rate in percent."""
-    ok = F.count(F.when(F.col("processing_status") == "success", 1))
-    return scored.agg(F.count(F.lit(1)).alias("processed"), ok.alias("succeeded")).select(
+def run_counts(prompts: DataFrame, text: str = "prompt") -> DataFrame:
+    """Processed, successful and failed prompts and the success rate in percent.
+
+    A prompt fails just when it is invalid, so no text is analysed for the counts.
+    """
+    ok = F.count(F.when(~is_invalid(F.coalesce(F.col(text), F.lit(""))), 1))
+    return prompts.agg(F.count(F.lit(1)).alias("processed"), ok.alias("succeeded")).select(
         "processed",
         "succeeded",
         (F.col("processed") - F.col("succeeded")).alias("failed"),

@@ -10,6 +10,7 @@ from quillgauge.operators import correspondence as co
 from quillgauge.operators import pairs as pz
 from quillgauge.operators import prompts as pr
 from quillgauge.operators import ranking, stats
+from quillgauge.sources.readers import grouped_variants, slice_rows
 from quillgauge.sources.writers import write_tables
 
 
@@ -20,7 +21,7 @@ def prompt_report(stories: DataFrame, text: str = "prompt") -> dict[str, DataFra
     return {
         "scored_prompts": scored,
         "standard_prompts": pr.standard_prompt(pr.analyze(clean, text), text),
-        "run_counts": pr.run_counts(scored),
+        "run_counts": pr.run_counts(stories, text),
     }
 
 
@@ -33,13 +34,14 @@ def syntax_report(variants: DataFrame, root: str) -> dict[str, str]:
     metrics = cm.code_metrics(variants.withColumn("null_code", F.col("code").isNull()))
     written = write_tables({"metric_rows": metrics}, root)
     rows = spark.read.parquet(written["metric_rows"])
-    numeric = [*cm.COUNTS, "negative_score", *cm.SCORES, "decisions_activities_ratio"]
-    by_column = rows.unpivot(
+    numeric = [*cm.COUNTS, "negative_score", *cm.SCORES, "decisions_activities_ratio", "lines_vs_average"]
+    main = cm.with_lines_vs_average(rows, F.col("null_code"))
+    by_column = main.unpivot(
         ["variant"], [F.col(n).cast("double").alias(n) for n in numeric], "metric", "value"
     ).select(F.concat_ws("_", "variant", "metric").alias("column"), "value")
     return written | write_tables(
         {
-            "main_results": cm.with_lines_vs_average(rows, F.col("null_code")).drop("null_code", "penalties", "code"),
+            "main_results": main.drop("null_code", "penalties", "code"),
             "parameters_summary": cm.variant_totals(rows),
             "negative_scores_details": cm.penalty_details(rows.drop("null_code")),
             "average_metrics": cm.average_metrics(rows.filter(~F.col("null_code"))),
@@ -49,9 +51,20 @@ def syntax_report(variants: DataFrame, root: str) -> dict[str, str]:
     )
 
 
-def similarity_report(variants: DataFrame, root: str, cross_groups: bool = True, vector: str | None = None) -> dict[str, str]:
-    """Pair table and its statistics. With ``cross_groups`` the inter sample is computed too."""
+def similarity_report(
+    variants: DataFrame, root: str, cross_groups: bool = False, vector: str | None = None,
+    start: int | None = None, end: int | None = None,
+) -> dict[str, str]:
+    """Pair table and its statistics for the groups of at least two variants.
+
+    Stories ``[start, end)`` by id are compared. With ``cross_groups`` the inter sample is computed
+    too, which is every pair of all columns.
+    """
     spark = variants.sparkSession
+    variants = grouped_variants(variants)
+    if start is not None or end is not None:
+        stories = slice_rows(variants.select("story_id").distinct(), ["story_id"], start, end)
+        variants = variants.join(stories, "story_id", "left_semi")
     names = ["jaccard", "levenshtein", "tfidf", "bm25", *(["embedding"] if vector else []), "mean", "weighted"]
     within = ("story_id",) if cross_groups else ("story_id", "model_group")
     pairs = pz.pair_similarity(variants, within=within, vector=vector)
@@ -67,7 +80,7 @@ def correspondence_report(variants: DataFrame, stories: DataFrame, root: str, **
     spark = variants.sparkSession
     written = write_tables({"correspondence": co.correspondence(variants, stories, **vectors)}, root)
     rows = spark.read.parquet(written["correspondence"])
-    names = ["similarity", "quality", "match_rate", "bleu", "rouge_l"]
+    names = ["similarity", "quality", "match_rate", "bleu", "rouge_l"] if vectors else ["quality", "bleu", "rouge_l"]
     long = rows.unpivot(["variant"], names, "name", "value").select(
         F.concat_ws("_", F.lit("prompt"), "variant", "name").alias("metric"), "value"
     )

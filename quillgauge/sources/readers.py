@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,21 +15,24 @@ log = logging.getLogger(__name__)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table. An input with fewer splits than task slots is spread over the slots;
-    a large input has splits enough and is read as it lies."""
-    df = spark.read.parquet(path)
-    slots = spark.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    """A parquet table, read as it lies; ``spark.sql.files.maxPartitionBytes`` and
+    ``spark.sql.files.minPartitionNum`` say how finely it is split."""
+    return spark.read.parquet(path)
 
 
 def read_stories(spark: SparkSession, path: str) -> DataFrame:
-    """Story CSV (header, quoted fields over several lines, optional BOM) -> (line parts, prompt)."""
+    """Story CSV (header, quoted fields over several lines, optional BOM) -> (row_number, line parts, prompt).
+
+    Rows are numbered from 1 in file order. A quoted field may hold line breaks, so one file is one
+    task; keep large inputs in Parquet.
+    """
     df = (
         spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
         .option("encoding", "UTF-8").csv(path)
     )
     df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
-    return df.withColumn("prompt", raw_prompt(df))
+    prompts = df.withColumn("prompt", raw_prompt(df)).withColumn("_at", F.monotonically_increasing_id())
+    return row_index(prompts, ["_at"], "row_number").drop("_at").select("row_number", *df.columns, "prompt")
 
 
 def to_long(wide: DataFrame, ids: list[str], columns: list[str] | None = None) -> DataFrame:
@@ -70,14 +74,17 @@ def select_suffixes(df: DataFrame, suffixes: list[str]) -> list[str]:
 def features_by_rules(spark: SparkSession, report_dir: str, rules: dict) -> dict[str, DataFrame]:
     """Apply ``{"statistics": [{"file", "columns": {"include": [suffix]}}]}`` to a report folder.
 
-    Returns (feature, value) rows per file; a missing file or no matching column is skipped.
+    Returns (feature, value) rows per file; a missing file or no matching column is skipped. Any
+    other trouble with a file is raised.
     """
     result = {}
     for entry in rules.get("statistics", []):
         path = f"{report_dir.rstrip('/')}/{entry['file']}"
         try:
             df = spark.read.option("header", True).csv(path)
-        except Exception as error:  # missing input: warn and go on, as the report does
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             log.warning("skipping %s: %s", path, str(error)[:200])
             continue
         columns = select_suffixes(df, entry.get("columns", {}).get("include", []))
@@ -122,6 +129,7 @@ def grouped_variants(variants: DataFrame, minimum: int = 2) -> DataFrame:
     named = variants.filter(F.length("variant") >= 3).withColumn("model_group", prefix)
     groups = (
         named.select("model_group", "variant").distinct()
-        .groupBy("model_group").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= minimum).select("model_group")
+        .groupBy("model_group").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= minimum)
+        .agg(F.collect_list("model_group").alias("_groups")).scalar()
     )
-    return named.join(groups, "model_group", "left_semi")
+    return named.filter(F.array_contains(groups, F.col("model_group")))
