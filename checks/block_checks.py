@@ -100,7 +100,7 @@ def manifest(spark, sf):
 )
 def cell_counts(spark, sf):
     sheet = _sheet(spark, sf)
-    return bl.cell_counts(sheet, bl.manifest(sheet))
+    return bl.cell_counts(sheet)
 
 
 FILES, STEMS = ("fl", views.V_FILES), ("sm", views.V_STEMS)
@@ -185,17 +185,20 @@ def suffix_features(spark, sf):
     return readers.to_features(df, readers.select_suffixes(df, ["_discount", "_tax", "_absent"]))
 
 
+SOURCES = [f"src{i}" for i in range(20)]
+
+
 @check(
     "snk4_wide_report",
     with_(*code_checks.COUNTED, select="select model_group, story_id, "
-          + ", ".join(f"max(case when variant = '{v}' then {m} end)::double as {v}_{m}" for v in ("src0", "src1") for m in ("activities", "numberline"))
+          + ", ".join(f"max(case when variant = '{v}' then {m} end)::double as {v}_{m}" for v in SOURCES for m in ("activities", "numberline"))
           + " from s group by all"),
 )
 def wide_report(spark, sf):
     metrics = cm.code_metrics(views.diagrams(spark, sf)).select(
         "model_group", "story_id", "variant", F.col("activities").cast("double"), F.col("numberline").cast("double")
     )
-    return readers.to_wide(metrics, ["model_group", "story_id"], ["src0", "src1"], ["activities", "numberline"])
+    return readers.to_wide(metrics, ["model_group", "story_id"], SOURCES, ["activities", "numberline"])
 
 
 # --- writers ---------------------------------------------------------------------------

@@ -31,20 +31,20 @@ from (select v.*, pv.pe, sqrt({_dot('pv.pe', 'pv.pe')}) * sqrt({_dot('v.embeddin
 )
 
 
-def _vector_rows(spark, sf, code):
-    rows = views.vectors(spark, sf).withColumn("code", F.lit(code))
+def _vector_rows(spark, sf):
+    """Each vector with the text of one of a hundred diagrams."""
+    number = "(story_id * 6 + cast(substring(variant, 4) as int)) % 100"
+    diagrams = views.diagrams(spark, sf).filter("story_id < 100").selectExpr("story_id as _d", "code")
+    rows = views.vectors(spark, sf).withColumn("_d", F.expr(number)).join(diagrams, "_d").drop("_d")
     prompts = table(spark, sf, "embeddings").filter("vec_id % 6 = 0").selectExpr(
         "vec_id div 6 as story_id", "'prompt' as prompt", "embedding as pe"
     )
     return co.correspondence(rows, prompts, metrics=(), code_vector="embedding", prompt_vector="pe")
 
 
-_SAMPLE = "@startuml\nstart\n:one;\n:two;\n:three;\nstop\n@enduml"
-
-
 @check("cor1_embedding_similarity", with_(VEC, PV, COS, select=f"select story_id, variant, {sql_py_round('s', 4)} as similarity from cosine"))
 def embedding_similarity(spark, sf):
-    return _vector_rows(spark, sf, _SAMPLE).select("story_id", "variant", "similarity")
+    return _vector_rows(spark, sf).select("story_id", "variant", "similarity")
 
 
 QUALITY = r"""50::double + case when contains(code, '@startuml') and contains(code, '@enduml') then 10 else -10 end
@@ -59,10 +59,11 @@ def quality(spark, sf):
 
 @check(
     "cor3_match_rate",
-    with_(VEC, PV, COS, select=f"select story_id, variant, {sql_py_round('s * 80', 4)} as match_rate from cosine"),
+    with_(VEC, PV, COS, D, select=f"select c.story_id, c.variant, {sql_py_round(f's * ({QUALITY})', 4)} as match_rate from cosine c "
+          "join d on d.story_id = (c.story_id * 6 + substr(c.variant, 4)::int) % 100"),
 )
 def match_rate(spark, sf):
-    return _vector_rows(spark, sf, _SAMPLE).select("story_id", "variant", "match_rate")
+    return _vector_rows(spark, sf).select("story_id", "variant", "match_rate")
 
 
 @check(

@@ -143,6 +143,18 @@ def tfidf_cosine(spark, sf):
     return _similarity(spark, sf, "tfidf").select("story_id", "a", "b", "tfidf")
 
 
+# Neighbouring documents: long texts, with far more terms than a reply has.
+LONG = ("v", "select doc_id // 2 as story_id, 'DOC' as model_group, concat('DOC', doc_id % 2) as variant, text as code from documents")
+
+
+@check("sim4_tfidf_long_texts", with_(LONG, PAIRS, TERMS, TF, select=f"select story_id, a, b, {sql_py_round('tfidf', 4)} as tfidf from tf"))
+def tfidf_long_texts(spark, sf):
+    rows = table(spark, sf, "documents").selectExpr(
+        "doc_id div 2 as story_id", "'DOC' as model_group", "concat('DOC', doc_id % 2) as variant", "text as code"
+    )
+    return pz.pair_similarity(rows, metrics=("tfidf",)).select("story_id", "a", "b", "tfidf")
+
+
 @check("sim5_bm25", with_(V, PAIRS, TOK, POST, RAW, IDF, WT, BM, select=f"select story_id, a, b, {sql_py_round('bm25', 4)} as bm25 from bm"))
 def bm25(spark, sf):
     return _similarity(spark, sf, "bm25").select("story_id", "a", "b", "bm25")

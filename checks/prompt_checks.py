@@ -123,9 +123,13 @@ def complexity(spark, sf):
     return _analysed(spark, sf).select("doc_id", "character_count", "complexity_score", "complexity_rate")
 
 
-# Every 9th prompt is made blank and every 10th the text NULL, so that the invalid branch has rows.
-_BROKEN = f"case when doc_id % 9 = 0 then '  ' when doc_id % 10 = 0 then 'NULL' else {sql_strip('text')} end"
-TB = ("t", f"select doc_id, {sql_strip(_BROKEN)} as prompt from documents")
+# All documents, and for every 9th a blank and for every 10th a NULL prompt more, so that the invalid branch has rows.
+TB = (
+    "t",
+    f"select doc_id, {sql_strip('text')} as prompt from documents "
+    "union all select doc_id + 10000000, '' from documents where doc_id % 9 = 0 "
+    "union all select doc_id + 20000000, 'NULL' from documents where doc_id % 10 = 0",
+)
 _BAD = "lower(prompt) in ('nan', 'null', '')"
 SCORED_SQL = f"""select doc_id + 1 as row_number, prompt as original_prompt,
   case when {_BAD} then 'Error' else '{pr.MODEL_METHOD}' end as ai_analysis_method,
@@ -138,10 +142,10 @@ SCORED_SQL = f"""select doc_id + 1 as row_number, prompt as original_prompt,
 
 
 def _broken(spark, sf):
-    return table(spark, sf, "documents").selectExpr(
-        "doc_id + 1 as row_number",
-        "case when doc_id % 9 = 0 then '  ' when doc_id % 10 = 0 then 'NULL' else text end as prompt",
-    )
+    docs = table(spark, sf, "documents")
+    blank = docs.filter("doc_id % 9 = 0").selectExpr("doc_id + 10000001 as row_number", "'  ' as prompt")
+    null = docs.filter("doc_id % 10 = 0").selectExpr("doc_id + 20000001 as row_number", "'NULL' as prompt")
+    return docs.selectExpr("doc_id + 1 as row_number", "text as prompt").union(blank).union(null)
 
 
 # ln(0 + 1) = 0 for a blank prompt: keep the division out of the SQL for those rows.
@@ -166,7 +170,7 @@ def invalid_prompts(spark, sf):
   {sql_py_round(f"count(*) filter (where not {_BAD}) / count(*) * 100", 1)} as success_rate from t"""),
 )
 def run_counts(spark, sf):
-    return pr.run_counts(pr.score_prompts(_broken(spark, sf)))
+    return pr.run_counts(_broken(spark, sf))
 
 
 def _sql_text(value):

@@ -282,11 +282,11 @@ def report_averages(spark, sf):
 
 @check(
     "flt4_minimum_samples",
-    with_(("f", "select p_type as feature, p_retailprice as value from part where p_size < 3"),
+    with_(("f", "select p_brand || ':' || p_size as feature, p_retailprice as value from part"),
           select="select feature, count(*) as n, " + r6(mean="avg(value)", std_dev="stddev_samp(value)") + " from f group by 1 having count(*) >= 3"),
 )
 def minimum_samples(spark, sf):
-    long = table(spark, sf, "part").filter("p_size < 3").selectExpr("p_type as feature", "p_retailprice as value")
+    long = table(spark, sf, "part").selectExpr("concat(p_brand, ':', p_size) as feature", "p_retailprice as value")
     return rounded(stats.column_moments(long, "feature"), ["feature", "n"], ["mean", "std_dev"])
 
 
@@ -579,6 +579,40 @@ def stratified_sample(spark, sf):
     return selection.stratified_sample(views.scores(spark, sf))
 
 
+# Scores with gaps: missing ones come last, so they are High.
+_GAPS = ("sc", "select doc_id as id, case when doc_id % 7 = 0 then null else cast(n_chars as double) end as score from documents")
+
+
+@check("win6_missing_scores", with_(_GAPS, (STRATA[0], STRATA[1].replace("order by score, id", "order by score is null, score, id")), select="select * from sta"))
+def strata_missing(spark, sf):
+    rows = table(spark, sf, "documents").selectExpr("doc_id as id", "case when doc_id % 7 = 0 then null else cast(n_chars as double) end as score")
+    return selection.strata(rows)
+
+
+@check(
+    "win8_tied_keys",
+    "select source, max(last) - count(*) + 1 as first, max(last) as last, count(*) as numbers from "
+    "(select source, count(*) over (order by source) as last from documents) group by source",
+)
+def tied_row_numbers(spark, sf):
+    rows = row_index(table(spark, sf, "documents").select("source", "doc_id"), ["source"])
+    return rows.groupBy("source").agg(
+        F.min("row_index").alias("first"), F.max("row_index").alias("last"), F.count_distinct("row_index").alias("numbers")
+    )
+
+
+# A group without a name counts like any other.
+_NAMELESS = ["case when p_size % 5 = 0 then null else p_brand end as feature", "p_retailprice as value"]
+
+
+@check(
+    "st1_null_group",
+    with_(("fea", f"select {', '.join(_NAMELESS)} from part"), *SW, select=f"select feature, n, {r6(w='w')} from sw"),
+)
+def shapiro_null_group(spark, sf):
+    return rounded(stats.shapiro_w(table(spark, sf, "part").selectExpr(*_NAMELESS), ["feature"]), ["feature", "n"], ["w"])
+
+
 @check("win8_row_index", "select doc_id, row_number() over (order by source, doc_id) as row_index from documents")
 def row_numbers(spark, sf):
     return row_index(table(spark, sf, "documents").select("source", "doc_id"), ["source", "doc_id"]).select("doc_id", "row_index")

@@ -186,7 +186,7 @@ def test_bleu_and_rouge_against_brute_force(spark):
     for r in co.correspondence(variants, stories).collect():
         code, prompt = codes[int(r.variant[3:])], prompts[r.story_id]
         if len(code) < 20:
-            assert (r.similarity, r.quality, r.match_rate, r.bleu, r.rouge_l) == (0, 0, 0, 0, 0)
+            assert (r.similarity, r.quality, r.match_rate, r.bleu, r.rouge_l) == (None, 0, None, 0, 0)
             continue
         h, p = code.split(), prompt.split()
         assert r.bleu == pytest.approx(_bleu(p, h), abs=6e-5)

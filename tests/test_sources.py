@@ -71,12 +71,14 @@ def test_whole_reports(spark, tmp_path):
     syntax = reports.syntax_report(variants, str(tmp_path / "syntax"))
     assert spark.read.parquet(syntax["parameters_summary"]).filter("column_name = 'TOTAL'").first().valid_entries == 16
     assert spark.read.parquet(syntax["average_metrics"]).count() == 33
-    assert spark.read.parquet(syntax["statistical_metrics"]).count() == 4 * 17
+    assert spark.read.parquet(syntax["statistical_metrics"]).count() == 4 * 18
     similarity = reports.similarity_report(variants, str(tmp_path / "similarity"))
-    assert spark.read.parquet(similarity["pair_similarity"]).count() == 4 * 6
+    assert spark.read.parquet(similarity["pair_similarity"]).count() == 4 * 2
+    some = reports.similarity_report(variants, str(tmp_path / "some"), cross_groups=True, start=1, end=3)
+    assert spark.read.parquet(some["pair_similarity"]).count() == 2 * 6
     assert spark.read.parquet(similarity["pair_statistics"]).count() == 4 * 6
     found = reports.correspondence_report(variants, stories, str(tmp_path / "correspondence"))
-    assert spark.read.parquet(found["statistics"]).count() == 4 * 5
+    assert spark.read.parquet(found["statistics"]).count() == 4 * 3
     scored = reports.prompt_report(stories)
     assert scored["run_counts"].first().succeeded == 4
     long = spark.read.parquet(syntax["metric_rows"]).select(F.concat("variant", F.lit("_percentage_score")).alias("feature"), F.col("percentage_score").alias("value"))
