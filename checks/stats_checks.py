@@ -76,14 +76,57 @@ SW = [
 ]
 
 
+# --- tails of distributions in SQL ------------------------------------------------------
+
+
+def bound(x, name, body):
+    """``body`` with ``x`` evaluated once as ``name``."""
+    return f"list_transform([({x})::double], lambda {name}: {body})[1]"
+
+
+def sql_normal_sf(z):
+    """P(Z > z): the series of the error function, whose terms are all positive."""
+    a = "greatest(abs(z) / sqrt(2::double), 1e-300::double)"
+    term = f"exp((2 * k + 1) * ln({a}) + 2 * k * ln(2::double) + lgamma(k + 1::double) - lgamma(2 * k + 2::double) - {a} * {a})"
+    half = f"1 / sqrt(pi()) * list_sum(list_transform(generate_series(0, 250), lambda k: {term}))"
+    return bound(z, "z", f"case when z > 8.3 then 0::double when z < -8.3 then 1::double when z >= 0 then 0.5 - {half} else 0.5 + {half} end")
+
+
+def sql_t_two_sided(t, df):
+    """P(|T| > t): Simpson's rule over the angle whose tangent is t / sqrt(df)."""
+    steps = 4000
+    spot = f"(th + (pi() / 2 - th) * k / {steps})"
+    weight = f"case when k = 0 or k = {steps} then 1 when k % 2 = 1 then 4 else 2 end"
+    area = f"(pi() / 2 - th) / {3 * steps} * list_sum(list_transform(generate_series(0, {steps}), lambda k: {weight} * pow(greatest(cos({spot}), 0), df - 1)))"
+    scale = "2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi())"
+    return bound(df, "df", bound(f"atan(abs({t}) / sqrt(df))", "th", f"{scale} * {area}"))
+
+
+def sql_rank_sum_p(u, nx, ny, ties):
+    """Normal approximation with tie and continuity correction."""
+    z = (f"(greatest({u}, {nx}::double * {ny} - {u}) - {nx}::double * {ny} / 2 - 0.5) / "
+         f"sqrt({nx}::double * {ny} / 12 * (({nx} + {ny} + 1) - {ties} / (({nx} + {ny})::double * ({nx} + {ny} - 1))))")
+    return f"least(1::double, 2 * {sql_normal_sf(z)})"
+
+
+#: Royston's p of W for 12 values and more.
+SHAPIRO_P = sql_normal_sf(
+    "(ln(1 - w) - (-1.5861::double - 0.31082::double * ln(n) - 0.083751::double * ln(n) * ln(n) + 0.0038915::double * ln(n) * ln(n) * ln(n))) "
+    "/ exp(-0.4803::double - 0.082676::double * ln(n) + 0.0030302::double * ln(n) * ln(n))"
+)
+Z_P = f"2 * {sql_normal_sf('abs(z_stat)')}"
+Z_POWER = f"{sql_normal_sf(f'{Z} - abs(z_stat)')} + {sql_normal_sf(f'{Z} + abs(z_stat)')}"
+_TABLE = ["mean", "std_dev", "shapiro_p", "z_stat", "p_value", "effect_size", "power", "mwu_p", "ci_low", "ci_high"]
+
+
 @check("st1_shapiro_w", with_(FEA, *SW, select=f"select feature, n, {r6(w='w')} from sw"))
 def shapiro_w(spark, sf):
     return stats.shapiro_w(views.features(spark, sf), ["feature"]).select("feature", "n", np_round(F.col("w"), 6).alias("w"))
 
 
-@check("st1_shapiro_p")
+@check("st1_shapiro_p", with_(FEA, *SW, select="select feature, n, " + r6(w="w", shapiro_p=SHAPIRO_P) + " from sw"))
 def shapiro_p(spark, sf):
-    return stats.shapiro(views.features(spark, sf), ["feature"])
+    return rounded(stats.shapiro(views.features(spark, sf), ["feature"]), ["feature", "n"], ["w", "shapiro_p"])
 
 
 # --- column, metric and feature statistics ----------------------------------------------
@@ -102,7 +145,11 @@ def column_moments(spark, sf):
     return rounded(stats.column_moments(views.features(spark, sf), "feature"), ["feature", "n"], _COLS)
 
 
-@check("agg4_column_statistics")
+@check(
+    "agg4_column_statistics",
+    with_(FEA, *SW, COLM, select="select feature, " + r6(**{c: c for c in _TABLE if c not in ("shapiro_p", "p_value", "power", "mwu_p")})
+          + f", null::double as mwu_p, {r6(shapiro_p=SHAPIRO_P.replace('ln(n)', 'ln(sw.n)'), p_value=Z_P, power=Z_POWER)} from cm join sw using (feature)"),
+)
 def column_statistics(spark, sf):
     return stats.column_statistics(views.features(spark, sf), "feature")
 
@@ -117,12 +164,12 @@ for _name, _column in (("st2_z_stat", "z_stat"), ("st8_effect_size", "effect_siz
     _register(_name, _column.split(", "))
 
 
-@check("st2_p_value")
+@check("st2_p_value", with_(FEA, COLM, select="select feature, " + r6(z_stat="z_stat", p_value=Z_P) + " from cm"))
 def z_p_value(spark, sf):
     return stats.column_statistics(views.features(spark, sf), "feature").select("feature", "z_stat", "p_value")
 
 
-@check("st11_z_power")
+@check("st11_z_power", with_(FEA, COLM, select="select feature, " + r6(z_stat="z_stat", power=Z_POWER) + " from cm"))
 def z_power(spark, sf):
     return stats.column_statistics(views.features(spark, sf), "feature").select("feature", "z_stat", "power")
 
@@ -145,7 +192,20 @@ def metric_moments(spark, sf):
     return rounded(stats.metric_moments(_events(spark, sf)), ["metric", "n"], _METS)
 
 
-@check("agg6_metric_statistics")
+_EV_SW = (("fea", "select metric as feature, value from ev"), *SW)
+
+
+def r4(**columns):
+    return ", ".join(f"{sql_np_round(x, 4)} as {name}" for name, x in columns.items())
+
+
+@check(
+    "agg6_metric_statistics",
+    with_(EV, METM, *_EV_SW, select="select metric, "
+          + r4(**{c: f"mm.{c}" for c in _TABLE if c not in ("shapiro_p", "p_value", "power", "mwu_p")}) + ", null::double as power, "
+          + r4(shapiro_p=SHAPIRO_P.replace("ln(n)", "ln(sw.n)"), p_value=sql_t_two_sided("z_stat", "mm.n - 1"), mwu_p=sql_rank_sum_p("mm.u", "mm.n", "mm.n", "mm.ties"))
+          + " from mm join sw on sw.feature = mm.metric"),
+)
 def metric_statistics(spark, sf):
     return stats.metric_statistics(_events(spark, sf))
 
@@ -155,7 +215,10 @@ def t_stat(spark, sf):
     return rounded(stats.metric_moments(_events(spark, sf)), ["metric"], ["z_stat"])
 
 
-@check("st3_t_p_value")
+@check(
+    "st3_t_p_value",
+    with_(EV, METM, select="select metric, " + r4(z_stat="z_stat", p_value=sql_t_two_sided("z_stat", "n - 1")) + " from mm"),
+)
 def t_p_value(spark, sf):
     return stats.metric_statistics(_events(spark, sf)).select("metric", "z_stat", "p_value")
 
@@ -193,9 +256,12 @@ def variation(spark, sf):
     return rounded(stats.feature_moments(views.features(spark, sf), ["feature"]), ["feature"], ["std_mean", "missing"])
 
 
-@check("agg7_feature_statistics")
+@check(
+    "agg7_feature_statistics",
+    with_(FEA, FM, *SW, select="select feature, fm.n, " + r6(**{c: f"fm.{c}" for c in _FEATS}, shapiro_p=SHAPIRO_P.replace("ln(n)", "ln(sw.n)")) + " from fm join sw using (feature)"),
+)
 def feature_statistics(spark, sf):
-    return stats.feature_statistics(views.features(spark, sf), ["feature"])
+    return rounded(stats.feature_statistics(views.features(spark, sf), ["feature"]), ["feature", "n"], [*_FEATS, "shapiro_p"])
 
 
 # Percent-like values: acctbal scaled into 0..100 must be divided by 100.
@@ -323,9 +389,15 @@ def mann_whitney_u(spark, sf):
     return stats.rank_sum(_samples(spark, sf), ["feature"], F.col("is_x")).select("feature", "nx", "ny", "u", "ties")
 
 
-@check("st5_mann_whitney_p")
+TI = ("ti", "select feature, sum(k * k * k - k) as ties from (select feature, value, count(*)::double as k from sam group by all) group by 1")
+
+
+@check(
+    "st5_mann_whitney_p",
+    with_(SAM, RANKS, UU, TI, select="select feature, u::double as u, " + r6(mwu_p=sql_rank_sum_p("u", "nx", "ny", "ties")) + " from uu join ti using (feature)"),
+)
 def mann_whitney_p(spark, sf):
-    return stats.rank_sum(_samples(spark, sf), ["feature"], F.col("is_x")).select("feature", "u", "mwu_p")
+    return rounded(stats.rank_sum(_samples(spark, sf), ["feature"], F.col("is_x")), ["feature", "u"], ["mwu_p"])
 
 
 @check("st6_u_z", with_(SAM, RANKS, UU, select="select feature, " + r6(mwu_z="(u - nx * ny / 2) / sqrt(nx * ny * (nx + ny + 1) / 12)") + " from uu"))
