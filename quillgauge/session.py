@@ -30,11 +30,11 @@ def local_session(cpus: str = "*", name: str = "quillgauge", partitions: int = 8
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one named in ``spark.checkpoint.dir``.
+    """Folder every executor can reach: the one named in ``spark.checkpoint.dir``, or else set on the context.
 
-    Only a local master without that setting (tests) gets a temporary folder.
+    Only a local master without either (tests) gets a temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
