@@ -97,7 +97,7 @@ def measures(q: Column) -> dict[str, Column]:
     """Integer measures: per mille, and hundredths of a character for the word length."""
 
     def rate(a: str, b: str, unit: int = 1000) -> Column:
-        return F.expr("0").cast("long") if a is None else F.floor(unit * q[a] / F.greatest(q[b], F.lit(1)))
+        return F.floor(unit * q[a] / F.greatest(q[b], F.lit(1)))
 
     return {
         "symbol_rate": rate("n_symbols", "word_chars"), "word_length": rate("word_chars", "n_words", 100),
