@@ -31,7 +31,7 @@ from quillgauge.session import materialize
 BAND_RATIO = 1.5
 #: Partitionings that a set with too many empty partitions goes through.
 ROUNDS = 4
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Sets with one signature that are compared with one another at once; larger groups take another exact way.
 GROUP = 16
 #: Documents whose texts are picked by a broadcast; more are joined by a shuffle.
