@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillgauge.llm.arrays import Texts, distinct_per_text, mix, mix_one, slices, whole_hashes
 from quillgauge.llm.components import components
-from quillgauge.llm.files import partition_number
+from quillgauge.llm.files import partition_number, stored
 from quillgauge.session import materialize
 
 BAND_RATIO = 1.5
@@ -217,9 +217,8 @@ def _shared_signatures(docs: DataFrame, words: int, percent: int, id_col: str, t
 
     rows = _texts(docs, id_col, text_col).select("text").mapInArrow(sign, "key long, number long, other long")
     before = F.lag("number").over(Window.partitionBy("key", "other").orderBy("number"))
-    chained = materialize(
-        rows.select("key", "number", F.when(F.col("other") == -1, before).otherwise(F.col("other")).alias("other")).filter("other is not null")
-    )
+    chained = rows.select("key", "number", F.when(F.col("other") == -1, before).otherwise(F.col("other")).alias("other"))
+    chained = stored(chained.filter("other is not null"), "chained")
     names = chained.filter("other <= -2").select("number", F.col("key").alias("node"), (-2 - F.col("other")).alias("sure"))
     a = names.select(F.col("number"), F.col("node").alias("a"))
     b = names.select(F.col("number").alias("other"), F.col("node").alias("b"))
@@ -302,11 +301,12 @@ def _rare_shingle_pairs(sets: DataFrame, nodes: DataFrame, percent: int) -> Data
                     names=["node", "component", "shingle", "size"],
                 )
 
-    rows = materialize(sets.join(nodes, "node").select("node", "component", "shingles").mapInArrow(spread, "node long, component long, shingle long, size long"))
+    rows = sets.join(nodes, "node").select("node", "component", "shingles").mapInArrow(spread, "node long, component long, shingle long, size long")
+    rows = stored(rows, "rare")
     often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
     ranked = rows.join(often, "shingle").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("times", "shingle")) - 1)
     first = ranked.filter(((100 * (F.col("size") - F.col("at"))) >= percent * F.col("size")) & (F.col("times") > 1)).drop("times")
-    first = materialize(first.select("shingle", "node", "component", "size", "at"))
+    first = stored(first.select("shingle", "node", "component", "size", "at"), "first")
     mixed = first.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("shingle")
     first = first.join(mixed, "shingle")
     left, right = first.toDF("shingle", "a", "ca", "na", "ia"), first.toDF("shingle", "b", "cb", "nb", "ib")
@@ -330,10 +330,10 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         named.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles"))
     )
     shared, sure = _shared_signatures(docs, words, percent, id_col, text_col)
-    shared = materialize(shared)
-    members = materialize(shared.select("key", F.col("a").alias("node")).union(shared.select("key", "b")).distinct())
+    shared = stored(shared, "shared")
+    members = stored(shared.select("key", F.col("a").alias("node")).union(shared.select("key", "b")).distinct(), "members")
     large = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select("key"))
-    in_large = materialize(members.join(large, "key"))
+    in_large = stored(members.join(large, "key"), "large")
     n_large = in_large.groupBy("node").agg(F.count(F.lit(1)).alias("n_large"))
     need = materialize(
         members.select("node").distinct().join(sure, "node").join(n_large, "node", "left")
@@ -342,9 +342,9 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # sets with need <= 0 may share nothing but signatures of large groups with a similar set
     stubborn = need.filter("need <= 0").join(in_large.select("node").distinct(), "node", "left_semi").select("node")
     pairs = shared.join(large, "key").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(pairs.union(_small_group_pairs(members.join(large, "key", "left_anti"), need)).distinct())
+    pairs = stored(pairs.union(_small_group_pairs(members.join(large, "key", "left_anti"), need)).distinct(), "pairs")
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(stubborn).distinct()
-    sets = materialize(_sets(docs, materialize(involved.join(sizes, "node").select("id", "node")), words, id_col, text_col))
+    sets = stored(_sets(docs, materialize(involved.join(sizes, "node").select("id", "node")), words, id_col, text_col), "sets")
     links = materialize(_verified(pairs, sets, sizes, percent))
     labels = components(links)
     # large groups that their chains left in several components
