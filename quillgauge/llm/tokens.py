@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from quillgauge.llm.arrays import Texts, ranges
 
 #: Distinct pieces a worker remembers before it starts anew; bounds its memory, not the results.
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[0x20, 0x09, 0x0A, 0x0D]] = True
@@ -44,7 +44,8 @@ class PieceEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.hashes = np.zeros(0, np.uint64)  # in order, with the number of each piece
+        self.numbers = np.zeros(0, np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
@@ -81,37 +82,40 @@ class PieceEncoder:
             texts = Texts(texts.data + upper.astype(np.uint8) * np.uint8(32), texts.offsets, texts.first)
         cuts, starts, ends = self.pieces(texts)
         hashes, first, inverse = np.unique(texts.span_hashes(starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
+        if len(self.hashes) > REMEMBERED:
             self.forget()
-        known = self.known
-        codes = np.fromiter((known.get(h, -1) for h in hashes.tolist()), np.int64, len(hashes))
-        new = np.flatnonzero(codes < 0)
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        new = np.flatnonzero(~known)
         if len(new):
             raw = texts.data.tobytes()
             spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
-            self.learn(hashes[new].tolist(), [raw[a:b].decode("utf-8", "replace") for a, b in spans])
-            codes[new] = np.arange(len(known) - len(new), len(known))
-        codes = codes[inverse]
+            numbers = self.learn([raw[a:b].decode("utf-8", "replace") for a, b in spans])
+            self.hashes, self.numbers = np.insert(self.hashes, at[new], hashes[new]), np.insert(self.numbers, at[new], numbers)
+        codes = self.numbers[np.searchsorted(self.hashes, hashes)][inverse] if len(hashes) else np.zeros(0, np.int64)
         lengths = self.lengths[codes]
         ids = self.flat[ranges(self.starts[codes], lengths)]
         total = np.concatenate([[0], np.cumsum(lengths)])
         at = np.searchsorted(cuts, texts.offsets)
         return ids, np.diff(total[at])
 
-    def learn(self, hashes: list[int], pieces: list[str]) -> None:
+    def learn(self, pieces: list[str]) -> np.ndarray:
+        """Encode new pieces; returns their numbers."""
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
         flat = np.fromiter((i for ids in encoded for i in ids), np.uint32, int(lengths.sum()))
-        n = len(self.known)
-        self.known.update(zip(hashes, range(n, n + len(hashes))))
-        while len(self.starts) < n + len(hashes):
+        n = len(self.hashes)
+        while len(self.starts) < n + len(pieces):
             self.starts, self.lengths = np.concatenate([self.starts, self.starts]), np.concatenate([self.lengths, self.lengths])
         while len(self.flat) < self.used + len(flat):
             self.flat = np.concatenate([self.flat, self.flat])
-        self.lengths[n : n + len(hashes)] = lengths
-        self.starts[n : n + len(hashes)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[n : n + len(pieces)] = lengths
+        self.starts[n : n + len(pieces)] = self.used + np.cumsum(lengths) - lengths
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
+        return np.arange(n, n + len(pieces))
 
 
 def encoder(path: str) -> PieceEncoder:
