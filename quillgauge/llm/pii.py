@@ -8,8 +8,10 @@ entity, as a share of the entity's own information, is
 
     log(N n(t, e) / (n(t) n(e))) / log(N / n(e))
 
-A term of at least ``share`` and enough evidence discloses the entity and gets a span in every
-document that mentions it. Documents without an entity are left as they are.
+where n(t, e) / n(e) is not the plain ratio but the lower end of its Wilson interval, so that an
+entity of one or two documents is scored too, with the caution that so few ask for. A term of at
+least ``share`` discloses the entity and gets a span in every document that mentions it.
+Documents without an entity are left as they are.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ _QUICK = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 NEAR = 80
 _WORD_BREAK = r"[^\p{L}]+"
 SPAN = "array<struct<start: int, rank: int, end: int, kind: string, value: string>>"
+#: One-sided 90 percent: how far the Wilson interval goes below n(t, e) / n(e).
+SURE = 1.2816
 #: Rows of a table that is broadcast only after it was counted.
 BROADCAST_ROWS = 100_000
 
@@ -92,19 +96,25 @@ def _near_terms() -> Column:
     return F.expr(f"transform(_base, s -> struct(lower(concat(s.kind, ':', s.value)) as entity, {terms} as terms))")
 
 
-def disclosing_terms(found: DataFrame, docs_words: DataFrame, share: float, evidence: int) -> DataFrame:
+def lower_bound(hits: Column, of: Column, z: float = SURE) -> Column:
+    """Lower end of the Wilson interval of ``hits / of``."""
+    p = hits / of
+    return (p + z * z / (2 * of) - z * F.sqrt(p * (1 - p) / of + z * z / (4 * of * of))) / (1 + z * z / of)
+
+
+def disclosing_terms(found: DataFrame, docs_words: DataFrame, share: float) -> DataFrame:
     """(entity, terms): terms that disclose an entity, by counts over all documents.
 
     ``found`` has the distinct texts with a base span (_key, _body, _base), ``docs_words`` the texts
     of all documents (_body).
     """
-    near = found.select("_key", F.explode(_near_terms()).alias("x")).select("_key", "x.entity", "x.terms")
-    n_entity = near.select("entity", "_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= evidence)
-    together = (
-        near.join(n_entity.select("entity"), "entity").select("entity", "_key", F.explode("terms").alias("term")).distinct()
-        .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= evidence)
-    )
-    together = materialize(together.join(n_entity, "entity"))
+    near = found.select(_near_terms().alias("_near"))
+    n_entity = near.select(F.explode(F.expr("array_distinct(_near.entity)")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    pairs = F.expr("array_distinct(flatten(transform(_near, x -> transform(x.terms, t -> struct(x.entity as entity, t as term)))))")
+    together = near.select(F.explode(pairs).alias("x")).groupBy("x.entity", "x.term").agg(F.count(F.lit(1)).alias("n_te"))
+    n_entity = materialize(n_entity)
+    few_entities = n_entity.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    together = materialize(together.join(F.broadcast(n_entity) if few_entities else n_entity, "entity"))
     candidates = materialize(together.select("term").distinct())
     few = candidates.limit(BROADCAST_ROWS + 1).count()
     if few == 0:
@@ -116,18 +126,19 @@ def disclosing_terms(found: DataFrame, docs_words: DataFrame, share: float, evid
         n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(candidates, "term")
     total = docs_words.agg(F.count(F.lit(1)).cast("double").alias("n_all"))
     scored = together.join(n_term, "term").withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one")
-    gain = F.log(F.col("n_all") * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    gain = F.log(F.col("n_all") * lower_bound(F.col("n_te"), F.col("n_e")) / F.col("n_t"))
     own = F.log(F.col("n_all") / F.col("n_e"))
     return scored.filter((own > 0) & (gain >= share * own)).groupBy("entity").agg(F.collect_list("term").alias("terms"))
 
 
 def private_spans(
-    docs: DataFrame, text_col: str = "text", into: str = "spans", share: float = 0.8, evidence: int = 3, keep: list[str] | None = None
+    docs: DataFrame, text_col: str = "text", into: str = "spans", share: float = 0.8, keep: list[str] | None = None
 ) -> DataFrame:
     """Add the spans of every whole text: column ``into`` (replacing one of that name).
 
     A span has start, rank, end (code points, end exclusive), kind and value; base kinds first,
-    ``term`` for what the method adds. Terms lie outside base spans. A null text is empty. Copies
+    ``term`` for what the method adds. An entity of a single text has terms where the corpus is
+    large enough to call them rare (some 130 texts at the default ``share``). Terms lie outside base spans. A null text is empty. Copies
     of a text count once as evidence; a third of all rows may mention one entity, as counts combine
     before they are shuffled. An empty table gives no rows.
     """
@@ -137,7 +148,7 @@ def private_spans(
     with_some = rows.filter(F.size("_base") > 0)
     found = with_some.select(F.xxhash64("_body").alias("_key"), "_body", "_base")
     evidence_rows = materialize(found.dropDuplicates(["_key"]))
-    terms = materialize(disclosing_terms(evidence_rows, docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_body")), share, evidence))
+    terms = materialize(disclosing_terms(evidence_rows, docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_body")), share))
     if terms.isEmpty():
         return rows.select(*keep, F.col("_base").alias(into))
     mentions = evidence_rows.select("_key", F.explode(F.expr("array_distinct(transform(_base, s -> lower(concat(s.kind, ':', s.value))))")).alias("entity"))
@@ -165,14 +176,14 @@ def _generalised(text: str, spans: str) -> str:
         s -> concat(s.out, substring({text}, s.at + 1)))"""
 
 
-def sanitised(docs: DataFrame, text_col: str = "text", share: float = 0.8, evidence: int = 3) -> DataFrame:
+def sanitised(docs: DataFrame, text_col: str = "text", share: float = 0.8) -> DataFrame:
     """The documents with every span generalised to its kind, such as ``[EMAIL]``; terms are removed.
 
     What shows only after that, such as a card number that stood next to an IP address, is
     generalised too. Other columns stay; texts without a span, null ones too, stay as they are.
     """
     into, once, rest = "_private_spans_", "_private_once_", "_private_rest_"
-    found = private_spans(docs, text_col, into, share, evidence)
+    found = private_spans(docs, text_col, into, share)
     first = F.when(F.size(into) > 0, F.expr(_generalised(f"`{text_col}`", into)))
     found = found.withColumn(once, first).withColumn(rest, F.when(F.col(once).isNotNull(), base_spans(once)))
     text = F.coalesce(F.when(F.size(rest) > 0, F.expr(_generalised(once, rest))), F.col(once), F.col(text_col)).alias(text_col)

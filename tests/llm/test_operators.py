@@ -272,6 +272,17 @@ def test_disclosing_terms(spark):
     assert "Kowalski" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == text[100]
 
 
+def test_terms_of_entities_in_one_or_two_texts(spark):
+    rng = random.Random(12)
+    rows = [(0, f"{sentence(rng, 9)} Nowak wrote anna@mail.example the {sentence(rng, 9)}"), (1, f"{sentence(rng, 9)} Zielinska wrote +1 (649) 555-1648 {sentence(rng, 9)}")]
+    rows += [(2, f"{sentence(rng, 9)} zielinska wrote +1 (649) 555-1648, the {sentence(rng, 9)}")]
+    rows += [(10 + i, sentence(rng, 30) + f" the end, wrote {i}") for i in range(2000)]
+    text = dict(rows)
+    got = {r.doc_id: {text[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "term"} for r in pii.private_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(3)] == [{"Nowak"}, {"Zielinska"}, {"zielinska"}]
+    assert not any(got[i] for i in got if i >= 10)
+
+
 def test_leaks(spark, docs, none):
     rng = random.Random(10)
     items = [(i, sentence(rng, rng.randint(8, 60))) for i in range(12)] + [(50, None), (51, ""), (52, "--")]
