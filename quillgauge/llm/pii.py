@@ -2,7 +2,7 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. The information-theoretic
 part asks which other terms of a document disclose such an entity: over the whole corpus it counts
-in how many documents a term stands near the entity, n(t, e), in how many the entity occurs, n(e),
+in how many distinct texts a term stands near the entity, n(t, e), in how many the entity occurs, n(e),
 and in how many the term occurs anywhere, n(t). The term's pointwise mutual information with the
 entity, as a share of the entity's own information, is
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgauge.llm.distinct import BROADCAST_ROWS, one_of_each
 from quillgauge.session import materialize
 
 #: Kinds in their order, and the patterns (fixed values). What follows a possessive quantifier can
@@ -38,8 +39,6 @@ _WORD_BREAK = r"[^\p{L}]+"
 SPAN = "array<struct<start: int, rank: int, end: int, kind: string, value: string>>"
 #: One-sided 90 percent: how far the Wilson interval goes below n(t, e) / n(e).
 SURE = 1.2816
-#: Rows of a table that is broadcast only after it was counted.
-BROADCAST_ROWS = 100_000
 
 
 def _literal(text: str) -> str:
@@ -103,10 +102,10 @@ def lower_bound(hits: Column, of: Column, z: float = SURE) -> Column:
 
 
 def disclosing_terms(found: DataFrame, docs_words: DataFrame, share: float) -> DataFrame:
-    """(entity, terms): terms that disclose an entity, by counts over all documents.
+    """(entity, terms): terms that disclose an entity, by counts over all distinct texts.
 
-    ``found`` has the distinct texts with a base span (_key, _body, _base), ``docs_words`` the texts
-    of all documents (_body).
+    ``found`` has the distinct texts with a base span (_key, _body, _base), ``docs_words`` the
+    distinct texts of all documents (_body), so that all counts are of the same population.
     """
     near = found.select(_near_terms().alias("_near"))
     n_entity = near.select(F.explode(F.expr("array_distinct(_near.entity)")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
@@ -139,7 +138,7 @@ def private_spans(
     A span has start, rank, end (code points, end exclusive), kind and value; base kinds first,
     ``term`` for what the method adds. An entity of a single text has terms where the corpus is
     large enough to call them rare (some 130 texts at the default ``share``). Terms lie outside base spans. A null text is empty. Copies
-    of a text count once as evidence; a third of all rows may mention one entity, as counts combine
+    of a text count once in every number; a third of all rows may mention one entity, as counts combine
     before they are shuffled. An empty table gives no rows.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != into]
@@ -148,7 +147,8 @@ def private_spans(
     with_some = rows.filter(F.size("_base") > 0)
     found = with_some.select(F.xxhash64("_body").alias("_key"), "_body", "_base")
     evidence_rows = materialize(found.dropDuplicates(["_key"]))
-    terms = materialize(disclosing_terms(evidence_rows, docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_body")), share))
+    bodies = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_body")).withColumn("_key", F.xxhash64("_body"))
+    terms = materialize(disclosing_terms(evidence_rows, one_of_each(bodies, ["_key"]), share))
     if terms.isEmpty():
         return rows.select(*keep, F.col("_base").alias(into))
     mentions = evidence_rows.select("_key", F.explode(F.expr("array_distinct(transform(_base, s -> lower(concat(s.kind, ':', s.value))))")).alias("entity"))

@@ -283,6 +283,17 @@ def test_terms_of_entities_in_one_or_two_texts(spark):
     assert not any(got[i] for i in got if i >= 10)
 
 
+def test_copies_count_once_in_every_number(spark):
+    rng = random.Random(13)
+    rows = [(i, f"{sentence(rng, 9)} Wojcik wrote ewa@mail.example the {sentence(rng, 9)}") for i in range(3)]
+    rows += [(10 + i, sentence(rng, 20) + " the end, wrote") for i in range(400)]
+    rows += [(1000 + i, rows[0][1]) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    text = dict(rows)
+    for r in pii.private_spans(table).collect():
+        assert {text[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "term"} == (set() if 10 <= r.doc_id < 1000 else {"Wojcik"})
+
+
 def test_leaks(spark, docs, none):
     rng = random.Random(10)
     items = [(i, sentence(rng, rng.randint(8, 60))) for i in range(12)] + [(50, None), (51, ""), (52, "--")]
