@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from quillgauge.llm.dom import BLOCK, RAW, Page
+from quillgauge.llm.distinct import one_of_each
 from quillgauge.session import materialize
 
 #: Elements that are never part of an article.
@@ -34,12 +35,20 @@ HEADER_WORDS = frozenset("header masthead topbar".split())
 #: Inside an article these carry its text and are not judged by how they vary.
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption table ul ol dl tr tbody b i em strong span a code q u sub sup".split())
 NEVER_LOW = frozenset(["", "html", "body", "main", "article"])
+#: A branch with more than this share of an unmarked page's text is its main content.
+MAIN_SHARE = 0.5
 
 
 def host_of(url) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url.cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
+def domain_of(host) -> F.Column:
+    """``*.`` and the domain that a host shares with its neighbours; null for '', single names and addresses."""
+    rest = F.when(F.size(F.split(host, r"\.")) > 2, F.regexp_replace(host, r"^[^.]*\.", "")).otherwise(host)
+    return F.when(host.contains(".") & ~host.rlike(r"^[0-9.]*$"), F.concat(F.lit("*."), rest))
+
+
 def _landmarks(page: Page) -> list[bool]:
     """For each element whether it lies in the page's article; all do where none is marked."""
     for wanted in (lambda e: e.tag == "article" or "articlebody=" in e.words, lambda e: e.tag == "main" or "main=" in e.words):
@@ -53,22 +62,40 @@ def _landmarks(page: Page) -> list[bool]:
     return [True] * len(page.elements)
 
 
-def page_text(source: str, low: frozenset[int]) -> str:
-    """The page's article: blocks in page order, one to a line."""
-    page = Page(source)
-    marked = _landmarks(page)
-    whole = marked[0]
-    out: list[bool] = []
+def _removed(page: Page, marked: list[bool], whole: bool, low: frozenset[int]) -> list[bool]:
+    """For each element whether markup or the style tree takes it from the page."""
+    named: list[bool] = []
     for e, inside in zip(page.elements, marked):
-        gone = e.parent >= 0 and out[e.parent]
+        gone = e.parent >= 0 and named[e.parent]
         if not gone:
             gone = e.tag in OUTSIDE_TAGS or bool(e.words & OUTSIDE_WORDS)
-            in_article = inside and not whole
-            if not gone and not in_article:
+            if not gone and not (inside and not whole):
                 gone = e.tag == "header" or bool(e.words & HEADER_WORDS)
-            if not gone and e.path in low and e.tag not in NEVER_LOW:
-                gone = not (in_article and e.tag in TEXT_BLOCKS)
+        named.append(gone)
+    if not low:
+        return named
+    at = [0]
+    for owner, text in page.texts:
+        at.append(at[-1] + (0 if named[owner] else len("".join(text.split()))))
+    out: list[bool] = []
+    main: list[bool] = []
+    for e, inside, gone in zip(page.elements, marked, named):
+        gone = gone or e.parent >= 0 and out[e.parent]
+        here = e.parent >= 0 and main[e.parent]
+        if not gone and not here and e.path in low and e.tag not in NEVER_LOW:
+            here = whole and at[e.end] - at[e.start] > MAIN_SHARE * at[-1]
+            gone = not here and not (inside and not whole and e.tag in TEXT_BLOCKS)
         out.append(gone)
+        main.append(here)
+    return out
+
+
+def page_text(source: str, low: frozenset[int]) -> str:
+    """The page's article: blocks in page order, one to a line."""
+    page = Page(source)
+    marked = _landmarks(page)
+    whole = marked[0]
+    out = _removed(page, marked, whole, low)
     # the block of a text run is its nearest block element; leaving or entering a block starts a new one
     blocks: list[list[str]] = []
     block_of: list[int] = []
@@ -96,8 +123,10 @@ def page_text(source: str, low: frozenset[int]) -> str:
 def style_tree(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
     """Importance of each style node of each host: (host, path, n_pages, presentation, content).
 
-    Both are entropies over the pages that have the node, between 0 and 1. A task adds up the
-    pages it sees; counts combine again before the shuffle, so a large host is no large group.
+    Both are entropies over the distinct pages that have the node, between 0 and 1: copies of a
+    page's source on a host are one page. A task adds up the pages it sees; counts combine again
+    before the shuffle, so a large host is no large group. Domains (``domain_of``) have trees of
+    all pages of their hosts, in rows of their own.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +144,9 @@ def style_tree(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
                 names=["host", "path", "is_content", "form", "n"],
             )
 
-    rows = pages.select(host_col, html_col).mapInArrow(count, "host string, path long, is_content boolean, form long, n long")
+    once = one_of_each(pages.select(host_col, html_col, F.xxhash64(html_col).alias("_page_")), [host_col, "_page_"])
+    rows = once.select(host_col, html_col).mapInArrow(count, "host string, path long, is_content boolean, form long, n long")
+    rows = rows.withColumn("host", F.explode(F.array_compact(F.array("host", domain_of(F.col("host"))))))
     forms = rows.groupBy("host", "path", "is_content", "form").agg(F.sum("n").alias("n"))
     sums = forms.groupBy("host", "path", "is_content").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("t"))
     entropy = F.when(F.col("m") > 1, F.log("m") - F.col("t") / F.col("m")).otherwise(F.lit(1.0)) / F.when(F.col("m") > 1, F.log("m")).otherwise(F.lit(1.0))
@@ -135,8 +166,9 @@ def main_text(
 ) -> DataFrame:
     """The columns of ``pages`` but the html, and the main text in column ``into`` (replacing one of that name).
 
-    A style node of a host is removed if at least ``min_pages`` pages have it and both of its
-    entropies are below ``threshold``; text blocks inside a marked article stay in any case, so
+    A style node of a host is removed if at least ``min_pages`` distinct pages have it and both of
+    its entropies are below ``threshold``; a host of fewer pages takes the nodes of its domain. On
+    a page without marked article a branch with most of the text stays. Text blocks inside a marked article stay in any case, so
     pages that share an article keep it. Null pages are empty; a page without url or host belongs
     to the host ''; pages with no article give the empty text; an empty table gives no rows.
     """
@@ -144,10 +176,14 @@ def main_text(
     source = F.col(html_col).cast("string").alias("_html_")
     rows = pages.select(*keep, host_of(F.col(url_col)).alias("_host_"), source)
     tree = style_tree(rows, "_host_", "_html_")
-    low = materialize(
-        tree.filter((F.col("n_pages") >= min_pages) & (F.col("presentation") < threshold) & (F.col("content") < threshold))
-        .groupBy(F.col("host").alias("_host_")).agg(F.collect_list("path").alias("_low_"))
-    )
+    is_low = (F.col("n_pages") >= min_pages) & (F.col("presentation") < threshold) & (F.col("content") < threshold)
+    tree = materialize(tree.groupBy("host").agg(F.max("n_pages").alias("n"), F.collect_list(F.when(is_low, F.col("path"))).alias("_low_")))
+    hosts = tree.filter(~F.col("host").startswith("*."))
+    of_domain = tree.filter(F.col("host").startswith("*.")).select(F.col("host").alias("_domain_"), F.col("_low_").alias("_above_"))
+    small = hosts.filter(F.col("n") < min_pages).select(F.col("host").alias("_host_"), domain_of(F.col("host")).alias("_domain_"))
+    taken = small.join(of_domain, "_domain_").select("_host_", F.col("_above_").alias("_low_"))
+    own = hosts.filter(F.col("n") >= min_pages).select(F.col("host").alias("_host_"), "_low_")
+    low = materialize(own.union(taken).filter(F.size("_low_") > 0))
     few = low.limit(10_001).count() <= 10_000 and (low.agg(F.sum(F.size("_low_"))).first()[0] or 0) <= 1_000_000
     joined = rows.join(F.broadcast(low) if few else low, "_host_", "left").select(*keep, "_html_", "_low_")
     schema = StructType([pages.schema[c] for c in keep]).add(into, "string")

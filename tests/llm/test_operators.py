@@ -364,6 +364,21 @@ def test_main_text(spark):
     assert main_text.main_text(pages.limit(0)).collect() == []
 
 
+def test_copies_of_a_page_are_one_page_of_its_host(spark):
+    rng = random.Random(14)
+    text = [sentence(rng, 20) for _ in range(30)]
+    rows = [(i, "http://one.example/x", f"<body><div><p>{text[i]}</p></div></body>") for i in range(30)]
+    rows += [(100 + i, "http://one.example/x", rows[0][2]) for i in range(900)]
+    # hosts of one page whose domain shows what is alike, and a page that is most of its host's text
+    rows += [(2000 + i, f"http://h{i}.many.example/", f"<body><div id=x><p>same words</p></div><div><p>{text[i]}</p></div></body>") for i in range(20)]
+    rows += [(3000 + i, "http://two.example/", f"<body><div id=x><p>{text[0]}</p></div><p>{i} more</p></body>") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in main_text.main_text(pages, into="text").collect()}
+    assert all(got[i] == text[i] for i in range(30)) and all(got[100 + i] == text[0] for i in range(900))
+    assert all(got[2000 + i] == text[i] for i in range(20))
+    assert all(got[3000 + i] == f"{text[0]}\n{i} more" for i in range(20))
+
+
 def test_warc(spark, tmp_path):
     rows = page_rows()
     rows += [(300, "http://copy/", rows[5][2], "e"), (299, "u\r\nx: y", rows[5][2], "e"), (301, "short", "abc", "e"), (302, "short", "abc", "e"), (303, "日", "日本" * 60, "e")]
