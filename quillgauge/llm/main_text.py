@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from quillgauge.llm.dom import BLOCK, RAW, Page
+from quillgauge.llm.dom import BLOCK, RAW, Element, Page
 from quillgauge.llm.distinct import one_of_each
 from quillgauge.session import materialize
 
@@ -35,6 +35,8 @@ HEADER_WORDS = frozenset("header masthead topbar".split())
 #: Inside an article these carry its text and are not judged by how they vary.
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption table ul ol dl tr tbody b i em strong span a code q u sub sup".split())
 NEVER_LOW = frozenset(["", "html", "body", "main", "article"])
+#: An article or main with less than this share of what a wider choice gives is not the page's text.
+MINOR = 0.1
 #: A branch with more than this share of an unmarked page's text is its main content.
 MAIN_SHARE = 0.5
 
@@ -49,28 +51,78 @@ def domain_of(host) -> F.Column:
     return F.when(host.contains(".") & ~host.rlike(r"^[0-9.]*$"), F.concat(F.lit("*."), rest))
 
 
-def _landmarks(page: Page) -> list[bool]:
-    """For each element whether it lies in the page's article; all do where none is marked."""
-    for wanted in (lambda e: e.tag == "article" or "articlebody=" in e.words, lambda e: e.tag == "main" or "main=" in e.words):
-        inside, found = [], False
-        for e in page.elements:
-            here = e.parent >= 0 and inside[e.parent] or wanted(e)
-            found |= here
-            inside.append(here)
-        if found:
-            return inside
-    return [True] * len(page.elements)
+def _is_article(e: Element) -> bool:
+    return e.tag == "article" or "articlebody=" in e.words
 
 
-def _removed(page: Page, marked: list[bool], whole: bool, low: frozenset[int]) -> list[bool]:
+def _is_main(e: Element) -> bool:
+    return e.tag == "main" or "main=" in e.words
+
+
+def _names_itself(e: Element, articles: bool) -> bool:
+    """Whether an element's tag or words say that it is no text of the page.
+
+    What holds the page's text is not judged by its words; an article only by whole class names
+    and roles, such as ``comment``, and not at all if ``articles``.
+    """
+    if e.tag in OUTSIDE_TAGS:
+        return True
+    if e.tag in ("html", "body") or _is_main(e) or "articlebody=" in e.words:
+        return False
+    if e.tag == "article":
+        return not articles and not OUTSIDE_WORDS.isdisjoint([*e.key.split(".")[1:], *(w for w in e.words if w.endswith("="))])
+    return bool(e.words & OUTSIDE_WORDS)
+
+
+def _outside(page: Page, articles: bool = False) -> list[bool]:
+    out: list[bool] = []
+    for e in page.elements:
+        out.append(e.parent >= 0 and out[e.parent] or _names_itself(e, articles))
+    return out
+
+
+def _within(page: Page, wanted, outside: list[bool]) -> list[bool]:
+    inside: list[bool] = []
+    for e, gone in zip(page.elements, outside):
+        inside.append(e.parent >= 0 and inside[e.parent] or not gone and wanted(e))
+    return inside
+
+
+def _landmarks(page: Page) -> tuple[list[bool], list[bool]]:
+    """For each element whether it lies in the page's text, and whether it names itself as no text.
+
+    That text is in the articles that are not themselves removed, or else in main, or else anywhere;
+    the wider choice is taken where the narrower has hardly any text. Articles of words such as
+    ``sponsored`` are chosen where the page has hardly anything else.
+    """
+    outside = _outside(page)
+    whole = [True] * len(page.elements)
+
+    def size(inside: list[bool], gone: list[bool]) -> int:
+        return sum(len("".join(text.split())) for owner, text in page.texts if inside[owner] and not gone[owner])
+
+    best, most = whole, size(whole, _removed(page, whole, outside, frozenset()))
+    for wanted in (_is_main, _is_article):
+        inside = _within(page, wanted, outside)
+        here = size(inside, outside)
+        if here and here >= MINOR * most:
+            best, most = inside, here
+    if any(e.tag == "article" and gone for e, gone in zip(page.elements, outside)):
+        named = _outside(page, articles=True)
+        inside = _within(page, _is_article, named)
+        if most < MINOR * size(inside, named):
+            return inside, named
+    return best, outside
+
+
+def _removed(page: Page, marked: list[bool], outside: list[bool], low: frozenset[int]) -> list[bool]:
     """For each element whether markup or the style tree takes it from the page."""
+    whole = marked[0]
     named: list[bool] = []
-    for e, inside in zip(page.elements, marked):
-        gone = e.parent >= 0 and named[e.parent]
-        if not gone:
-            gone = e.tag in OUTSIDE_TAGS or bool(e.words & OUTSIDE_WORDS)
-            if not gone and not (inside and not whole):
-                gone = e.tag == "header" or bool(e.words & HEADER_WORDS)
+    for e, inside, gone in zip(page.elements, marked, outside):
+        gone = gone or e.parent >= 0 and named[e.parent]
+        if not gone and not (inside and not whole) and e.tag not in NEVER_LOW:
+            gone = e.tag == "header" or bool(e.words & HEADER_WORDS)
         named.append(gone)
     if not low:
         return named
@@ -93,9 +145,8 @@ def _removed(page: Page, marked: list[bool], whole: bool, low: frozenset[int]) -
 def page_text(source: str, low: frozenset[int]) -> str:
     """The page's article: blocks in page order, one to a line."""
     page = Page(source)
-    marked = _landmarks(page)
-    whole = marked[0]
-    out = _removed(page, marked, whole, low)
+    marked, outside = _landmarks(page)
+    out = _removed(page, marked, outside, low)
     # the block of a text run is its nearest block element; leaving or entering a block starts a new one
     blocks: list[list[str]] = []
     block_of: list[int] = []

@@ -379,6 +379,23 @@ def test_copies_of_a_page_are_one_page_of_its_host(spark):
     assert all(got[3000 + i] == f"{text[0]}\n{i} more" for i in range(20))
 
 
+def test_landmarks_are_not_removed_by_their_own_words():
+    text = "the text of this page with a few words"
+    for page in (
+        f"<html class='has-banner'><body class='no-sidebar'><div><p>{text}</div></body>",
+        f"<body><nav>x</nav><main class='with-sidebar'><p>{text}</main>",
+        f"<body><article class='post share-enabled'><p>{text}</article>",
+        f"<body><article class='sponsored'><p>{text}</article>",
+        f"<body><main><p>{text}</p><section id=comments><article><p>nice</article><article>yes</article></section></main>",
+        f"<body><div><p>{text}</p></div><article class='comment c1'><p>I think so too</article><aside><article>teaser</article></aside>",
+        f"<body><div><p>{text} {text} {text}</p></div><article><p>ok</article>",
+        f"<body><article><header><p>{text}</header></article><div class=comments>no</div>",
+    ):
+        got = main_text.page_text(page, frozenset()).split("\n")[0]
+        assert got in (text, f"{text} {text} {text}"), page
+    assert main_text.page_text(f"<main><p>{text}</p><div class=comments><article>no</article></div></main>", frozenset()) == text
+
+
 def test_warc(spark, tmp_path):
     rows = page_rows()
     rows += [(300, "http://copy/", rows[5][2], "e"), (299, "u\r\nx: y", rows[5][2], "e"), (301, "short", "abc", "e"), (302, "short", "abc", "e"), (303, "日", "日本" * 60, "e")]
