@@ -36,6 +36,8 @@ SLICE = 1 << 20
 GROUP = 16
 #: Documents whose texts are picked by a broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: About as many sets of a component are compared with as many others at once.
+TILE = 64
 
 
 def text_sets(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -315,19 +317,84 @@ def _rare_shingle_pairs(sets: DataFrame, nodes: DataFrame, percent: int) -> Data
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id and the number of links of its set.
+def _common(left: list[np.ndarray], right: list[np.ndarray], columns: int = 1 << 15) -> np.ndarray:
+    """Number of shared shingles of each left with each right set, some shingles at a time."""
+    def placed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+
+    keys, owner = placed(left)
+    others, owner_of_other = placed(right)
+    names = np.intersect1d(keys, others)
+    out = np.zeros((len(left), len(right)), np.int64)
+    for i in range(0, len(names), columns):
+        part = names[i : i + columns]
+        matrices = []
+        for values, rows, n in ((keys, owner, len(left)), (others, owner_of_other, len(right))):
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[at] == values
+            matrix = np.zeros((n, len(part)), np.float32)
+            matrix[rows[hit], at[hit]] = 1
+            matrices.append(matrix)
+        out += (matrices[0] @ matrices[1].T).astype(np.int64)
+    return out
+
+
+def _link_counts(labels: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(node, n): the documents of other sets that are similar to a set.
+
+    Links lie within components, all of whose pairs are compared: a component's sets are dealt
+    into tiles of some ``TILE`` sets, and each pair of tiles is one row.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+            nodes, times, packed = (cell.values.field(c) for c in ("node", "times", "shingles"))
+            return nodes.to_numpy(), times.to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in packed]
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                nodes, times, left = side(batch.column(0)[i])
+                same = not batch.column(1)[i].is_valid
+                other_nodes, other_times, right = (nodes, times, left) if same else side(batch.column(1)[i])
+                common = _common(left, right)
+                whole = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right]) - common
+                linked = 100 * common >= percent * whole
+                if same:
+                    np.fill_diagonal(linked, False)
+                    found, n = nodes, linked @ times
+                else:
+                    found, n = np.concatenate([nodes, other_nodes]), np.concatenate([linked @ other_times, times @ linked])
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["node", "n"])
+
+    tiles = labels.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("n_tiles"))
+    tiles = materialize(tiles)
+    few = tiles.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    placed = labels.join(F.broadcast(tiles) if few else tiles, "component").withColumn("tile", F.pmod(F.xxhash64("node"), "n_tiles"))
+    members = placed.join(sizes.select("node", "times"), "node").join(sets, "node")
+    grouped = members.groupBy("component", "n_tiles", "tile").agg(F.collect_list(F.struct("node", "times", "shingles")).alias("x"))
+    grouped = stored(grouped, "tiles")
+    left = grouped.filter("tile + 1 < n_tiles").withColumn("other", F.explode(F.expr("sequence(tile + 1, n_tiles - 1)")))
+    right = grouped.filter("n_tiles > 1").select("component", F.col("tile").alias("other"), F.col("x").alias("y"))
+    across = left.join(right, ["component", "other"]).select("x", "y")
+    within = grouped.select("x", F.lit(None).cast(grouped.schema["x"].dataType).alias("y"))
+    return within.union(across).mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+
+
+def similar_classes(
+    docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_links: bool = True
+) -> DataFrame:
+    """One row per document: id, n_shingles, component_id and its number of links.
 
     Two documents link when 100 times the shared shingles are at least ``percent`` times all
     shingles of both; A-Z count as a-z. ``component_id`` is the smallest id that links reach.
-    ``n_links`` counts the verified links between its set and other sets that the classes rest on;
-    equal sets are one class from the start. Null and empty texts link with nothing and stand for
+    ``n_links`` is the number of all other documents that link with it, those of equal sets too;
+    without ``with_links`` the column is left out. Null and empty texts link with nothing and stand for
     themselves; rows of a repeated id are documents of their own; an empty table gives no rows.
     Equality of shingles is that of 64-bit hashes.
     """
     named = materialize(_named(docs, words, id_col, text_col))
     sizes = materialize(
-        named.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles"))
+        named.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("times"))
     )
     shared, sure = _shared_signatures(docs, words, percent, id_col, text_col)
     shared = stored(shared, "shared")
@@ -357,15 +424,15 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
-    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b")))
-    counts = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    counts = _link_counts(labels, sets, sizes, percent) if with_links else labels.select("node", F.lit(0).cast("long").alias("n"))
     tops = labels.join(sizes, "node").groupBy("component").agg(F.min("id").alias("component_id"))
-    reached = labels.join(tops, "component").join(counts, "node").select("node", "component_id", "n_links")
-    own = sizes.select("node", F.col("id").alias("smallest"))
-    reached = materialize(own.join(reached, "node", "left").select("node", F.coalesce("component_id", "smallest").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return named.join(reached, "node", "left").select(
+    reached = labels.join(tops, "component").join(counts, "node", "left").select("node", "component_id", "n")
+    own = sizes.select("node", F.col("id").alias("smallest"), (F.col("times") - 1).alias("equal"))
+    reached = materialize(own.join(reached, "node", "left").select("node", F.coalesce("component_id", "smallest").alias("component_id"), (F.col("equal") + F.coalesce("n", F.lit(0))).alias("n_links")))
+    out = named.join(reached, "node", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
+    return out if with_links else out.drop("n_links")
 
 
 def one_of_each_class(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,7 +441,7 @@ def one_of_each_class(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     Documents without words have no copies and stay, as do those without an id. Of rows that share
     id and text one stays.
     """
-    found = similar_classes(docs, words, percent, id_col, text_col)
+    found = similar_classes(docs, words, percent, id_col, text_col, with_links=False)
     gone = materialize(found.filter(F.col(id_col) > F.col("component_id")).select(id_col).distinct())
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     kept = docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)

@@ -204,6 +204,26 @@ def test_families_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(zip(range(80), brute.classes(rows, 4, 85)))
 
 
+def test_every_link_is_counted(spark, monkeypatch):
+    rng = random.Random(15)
+    base = sentence(rng, 120).split(" ")
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100, rows[0][1]), (101, rows[0][1].upper()), (102, None), (103, ""), (104, "alone"), (105, "two"), (106, "TWO")]
+    sets = [brute.shingles(t, 4) for _, t in rows]
+    want = {d: sum(i != j and bool(a & b) and 100 * len(a & b) >= 85 * len(a | b) for j, b in enumerate(sets)) for i, ((d, _), a) in enumerate(zip(rows, sets))}
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for tile in (64, 7):
+        monkeypatch.setattr(jaccard, "TILE", tile)
+        assert {r.doc_id: r.n_links for r in jaccard.similar_classes(table, 4, 85).collect()} == want
+    left, right = [np.array([1, 5, 9], np.uint64), np.array([2], np.uint64)], [np.array([5, 9, 11], np.uint64)]
+    assert jaccard._common(left, right, columns=1).tolist() == [[2], [0]]
+
+
 def test_signatures_lose_no_pair():
     rng = random.Random(3)
     for _ in range(1500):
