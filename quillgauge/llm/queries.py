@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgauge.llm import decontaminate, jaccard, licenses, main_text, packing, pii, quality, substrings, token_files, warc
+from quillgauge.llm import decontaminate, jaccard, licenses, main_text, packing, pii, quality, substrings, token_files, turn_repair, warc
 from quillgauge.llm.files import work_folder
 from quillgauge.session import materialize
 
@@ -110,3 +110,15 @@ def packed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = token_files.read_token_files(spark, manifest, docs.schema["doc_id"].dataType)
     return rows.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op11_turn_repair")
+def turn_repair_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    found = turn_repair.repair_digest(turn_repair.repaired_turns(turn_repair.damaged(conversations)))
+    every = conversations.select(F.col("conv_id").alias("_id")).distinct()
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("_id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
