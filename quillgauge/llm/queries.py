@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgauge.llm import decontaminate, jaccard, licenses, main_text, packing, pii, quality, substrings, token_files, turn_repair, warc
+from quillgauge.llm import decontaminate, jaccard, licenses, main_text, packing, pii, quality, substrings, token_files, tree_bpe, turn_repair, warc
 from quillgauge.llm.files import work_folder
 from quillgauge.session import materialize
 
@@ -122,3 +122,14 @@ def turn_repair_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )
+
+
+@query("op12_tree_bpe")
+def tree_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = tree_bpe.encode_texts(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
+    decoded = tree_bpe.decode_ids(encoded, path)
+    return decoded.select(
+        F.col("row.doc_id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
