@@ -1,14 +1,16 @@
 """Token ids of whole texts and back, long texts encoded in parallel halves.
 
 Short texts go through the ``tokenizers`` library as they are. A long one is normalised, cut at
-fixed places into leaves, whatever stands there, and the leaves are dealt out and encoded in
-parallel. Then neighbours are joined in a tree: a window around the join, some tokens to each
-side, is encoded again, and doubled until it agrees with both sides at its ends.
+fixed places into leaves, inside words too, and the leaves are dealt out and encoded in parallel.
+Then neighbours are joined in a tree: a window around the join, some tokens to each side, is
+encoded again, and doubled until it agrees with both sides at its ends. A window's text is spelled
+from its tokens, with a space between words, so that only ids travel.
 
-Why agreement proves the whole: the splitter's matches look at no more than the characters of the
-match and whether the run goes on, so from a place where both start a word, words are equal. Inside
-a word a sequence of tokens is its encoding if each two neighbours are what their text encodes to.
-Every pair of the joined sequence stands together in the left half, the window or the right half.
+Why agreement proves the whole: words are runs of one kind of character or contractions, and no
+leaf ends near an apostrophe, so a join can only change the words that touch it; from a word on
+which both agree, words are equal. Inside a word a sequence of tokens is its encoding if each two
+neighbours are what their text encodes to, and every pair of the joined sequence stands together in
+the left half, the window or the right half.
 
 This holds for vocabularies of words (a splitter of character runs, an end-of-word mark in the BPE
 model), not for splitters that look ahead; others are refused.
@@ -33,12 +35,19 @@ from tokenizers import Tokenizer
 
 #: Characters of a leaf; texts of up to twice as many are not cut.
 LEAF = 8192
-#: Windows may end inside a word only if it is longer than this.
+#: Windows may end inside a word only if it has more tokens than this, and that far from its start.
 LONG_WORD = 64
 #: Characters given to the library at once.
 BLOCK = 1 << 20
 
 
+def _bytes_of_marks() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: visible ones themselves, others from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class Vocabulary:
     """The tokenizer of a file, with variants for normalised text and for the inside of a word."""
 
@@ -46,8 +55,8 @@ class Vocabulary:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        splitter = json.dumps(spec["pre_tokenizer"])
-        if not spec["model"].get("end_of_word_suffix") or "(?" in splitter or "\\\\b" in splitter:
+        splitter, mark = json.dumps(spec["pre_tokenizer"]), spec["model"].get("end_of_word_suffix")
+        if not mark or "ByteLevel" not in splitter or "(?" in splitter or "\\\\b" in splitter:
             raise ValueError(f"{path} is not a vocabulary of words with end marks")
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
@@ -59,6 +68,16 @@ class Vocabulary:
         self.plain = Tokenizer.from_str(json.dumps(spec))
         spec["model"] |= {"end_of_word_suffix": None}
         self.inner = Tokenizer.from_str(json.dumps(spec))
+        size = max(spec["model"]["vocab"].values()) + 1
+        self.spelling, self.closes, self.splits = [b""] * size, np.zeros(size, bool), np.zeros(size, bool)
+        byte = _bytes_of_marks()
+        for token, i in spec["model"]["vocab"].items():
+            self.closes[i] = token.endswith(mark)
+            raw = token.removesuffix(mark)
+            if all(c in byte for c in raw):
+                self.spelling[i] = bytes(byte[c] for c in raw)
+            # inside a word no window starts within a character or at what may seem a contraction
+            self.splits[i] = not 0x80 <= (self.spelling[i] or b"\x80")[0] < 0xC0 and self.spelling[i][:1] != b"'"
 
     def sections(self, text: str) -> Iterator[tuple[str, int | None]]:
         """The text's stretches between special tokens, normalised, and the ids of those."""
@@ -68,130 +87,123 @@ class Vocabulary:
             elif part:
                 yield self.whole.normalizer.normalize_str(part), None
 
-    def half(self, text: str, goes_on: bool = False) -> Half:
-        """Encode normalised text; ``goes_on`` says that its last word does, so it gets no end mark."""
-        found = self.plain.encode(text, add_special_tokens=False)
-        made = Half.of(text, found.ids, found.offsets, found.word_ids, 0)
-        if goes_on and len(made.ids):
-            start = int(made.word_starts()[-1])
-            keep = int(np.searchsorted(made.word_starts(), start))
-            word = self.inner.encode(text[start:], add_special_tokens=False)
-            made = Half.spliced(made, keep, Half.of(text[start:], word.ids, word.offsets, word.word_ids, start), text)
-        return made
-
-
-@dataclass
-class Half:
-    """A stretch of normalised text with its tokens, their places and which of them begin a word."""
-
-    text: str
-    ids: np.ndarray
-    starts: np.ndarray
-    ends: np.ndarray
-    first: np.ndarray
-
-    @staticmethod
-    def of(text: str, ids: list, offsets: list, words: list, at: int) -> Half:
-        places = np.array(offsets, np.int64).reshape(-1, 2) + at
-        word = np.array(words, np.int64)
-        return Half(text, np.array(ids, np.uint32), places[:, 0], places[:, 1], np.diff(word, prepend=-1) != 0)
-
-    @staticmethod
-    def spliced(a: Half, keep: int, b: Half, text: str) -> Half:
-        """The first ``keep`` tokens of a, then those of b; places of both are those in ``text``."""
-        pairs = ((a.ids, b.ids), (a.starts, b.starts), (a.ends, b.ends), (a.first, b.first))
-        return Half(text, *[np.concatenate([x[:keep], y]) for x, y in pairs])
-
-    def word_starts(self) -> np.ndarray:
-        """For each token, where its word starts."""
-        return np.maximum.accumulate(np.where(self.first, self.starts, 0)) if len(self.ids) else self.starts
-
-    def word_of(self, token: int) -> tuple[int, int]:
+    def halves(self, texts: list[str]) -> list[Half]:
+        """Encode stretches of normalised text."""
+        found = self.plain.encode_batch_fast(texts, add_special_tokens=False)
+        return [Half(np.array(e.ids, np.uint32), t[:1] == " ", t[-1:] == " ") for e, t in zip(found, texts)]
+
+    def spelled(self, ids: np.ndarray) -> bytes:
+        """The words of some tokens with a space between."""
+        return b"".join(self.spelling[i] + b" " if self.closes[i] else self.spelling[i] for i in ids.tolist()).removesuffix(b" ")
+
+    def window(self, text: bytes, goes_on: bool) -> np.ndarray:
+        """Encode again; ``goes_on`` says that the last word does, so it gets no end mark."""
+        ids = np.array(self.plain.encode(text.decode("utf-8"), add_special_tokens=False).ids, np.uint32)
+        if goes_on:
+            start = self.word(ids, len(ids) - 1)[0]
+            last = self.spelled(ids[start:]).decode("utf-8")
+            ids = np.concatenate([ids[:start], np.array(self.inner.encode(last, add_special_tokens=False).ids, np.uint32)])
+        return ids
+
+    def word(self, ids: np.ndarray, token: int) -> tuple[int, int]:
         """First and last token of the word of a token."""
         a = b = token
-        while not self.first[a]:
+        while a > 0 and not self.closes[ids[a - 1]]:
             a -= 1
-        while b + 1 < len(self.ids) and not self.first[b + 1]:
+        while b + 1 < len(ids) and not self.closes[ids[b]]:
             b += 1
         return a, b
 
-    def moved(self, by: int, text: str, skip: int) -> Half:
-        return Half(text, self.ids[skip:], self.starts[skip:] + by, self.ends[skip:] + by, self.first[skip:])
 
+@dataclass
+class Half:
+    """The ids of a stretch of normalised text, and whether it begins and ends with a space."""
 
-def _left_end(a: Half, tokens: int) -> tuple[int, bool]:
+    ids: np.ndarray
+    lead: bool
+    trail: bool
+
+
+def cuts(text: str, leaf: int) -> list[str]:
+    """Leaves of a text; none ends or begins within three characters of an apostrophe."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + leaf
+        while end < len(text):
+            near = text.rfind("'", max(end - 3, 0), end + 3)
+            if near < 0:
+                break
+            end = near + 4
+        out.append(text[at:end])
+        at = end
+    return out
+
+
+def _left_end(words: Vocabulary, ids: np.ndarray, tokens: int) -> tuple[int, bool]:
     """The token where a window of about so many tokens of the left half starts; whether inside a word."""
-    k = len(a.ids) - tokens
+    k = len(ids) - tokens
     if k <= 0:
         return 0, False
-    begin, last = a.word_of(k)
-    start = int(a.starts[begin])
-    if a.ends[last] - start > LONG_WORD:
-        while k > begin and (a.ends[k - 1] > a.starts[k] or a.text[int(a.starts[k])] == "'" or a.starts[k] - start < 3):
-            k -= 1  # not inside a character, nor where a contraction could seem to start
-        if k > begin:
+    begin, last = words.word(ids, k)
+    if last - begin >= LONG_WORD:
+        while k >= begin + LONG_WORD // 2 and not words.splits[ids[k]]:
+            k -= 1
+        if k >= begin + LONG_WORD // 2:
             return k, True
     return begin, False
 
 
-def _right_end(b: Half, tokens: int) -> tuple[int, bool]:
+def _right_end(words: Vocabulary, ids: np.ndarray, tokens: int) -> tuple[int, bool]:
     """The last token of the right half's part of the window; whether its word goes on."""
     j = tokens - 1
-    if j >= len(b.ids) - 1:
-        return len(b.ids) - 1, False
-    begin, last = b.word_of(j)
-    if b.ends[last] - b.starts[begin] > LONG_WORD:
-        while j < last and (b.ends[j] > b.starts[j + 1] or b.ends[j] - b.starts[begin] < 3):
+    if j >= len(ids) - 1:
+        return len(ids) - 1, False
+    begin, last = words.word(ids, j)
+    if last - begin >= LONG_WORD:
+        j = max(j, begin + LONG_WORD // 2)
+        while j < last and not words.splits[ids[j + 1]]:
             j += 1
         if j < last:
             return j, True
     return last, False
 
 
-def concatenated(vocabulary: Vocabulary, a: Half, b: Half, window: int = 2) -> Half:
-    """The encoding of both texts together."""
-    text = a.text + b.text
+def concatenated(words: Vocabulary, left: Half, right: Half, window: int = 4) -> Half:
+    """The encoding of both stretches together."""
+    a, b = left.ids, right.ids
+    lead = left.lead if len(a) else left.lead or right.lead
+    trail = right.trail if len(b) else right.trail or left.trail
+    if not len(a) or not len(b) or left.trail or right.lead:  # nothing touches
+        return Half(np.concatenate([a, b]), lead, trail)
     while True:
-        k, inside_left = _left_end(a, window)
-        j, inside_right = _right_end(b, window)
-        p = int(a.starts[k]) if k > 0 else 0
-        all_right = j >= len(b.ids) - 1
-        r = len(b.text) if all_right else int(b.ends[j])
-        w = vocabulary.half(a.text[p:] + b.text[:r], goes_on=inside_right)
-        back = len(a.text) - p
-        if _agree_left(a, w, k, p, inside_left) and (all_right or _agree_right(b, w, j, back, inside_right)):
-            break
+        k, inside_left = _left_end(words, a, window)
+        j, inside_right = _right_end(words, b, window)
+        w = words.window(words.spelled(a[k:]) + words.spelled(b[: j + 1]), inside_right)
+        if _agree_left(words, a, w, k, inside_left) and _agree_right(words, b, w, j, inside_right):
+            return Half(np.concatenate([a[:k], w, b[j + 1 :]]), lead, trail)
         window *= 2
-    w = w.moved(p, text, 0)
-    if inside_left:
-        w.first[0] = False
-    head = Half.spliced(a, k, w, text)
-    return head if all_right else Half.spliced(head, len(head.ids), b.moved(len(a.text), text, j + 1), text)
 
 
-def _agree_left(a: Half, w: Half, k: int, p: int, inside: bool) -> bool:
+def _agree_left(words: Vocabulary, a: np.ndarray, w: np.ndarray, k: int, inside: bool) -> bool:
     if k == 0:
         return True
-    if not len(w.ids):
-        return False
     if inside:
-        return bool(w.ids[0] == a.ids[k] and w.starts[0] == 0 and w.ends[0] == a.ends[k] - p)
-    last = w.word_of(0)[1]
-    return bool(w.starts[0] == 0 and w.ends[last] == a.ends[a.word_of(k)[1]] - p)
+        return bool(w[0] == a[k])
+    return np.array_equal(w[: words.word(w, 0)[1] + 1], a[k : words.word(a, k)[1] + 1])
 
 
-def _agree_right(b: Half, w: Half, j: int, back: int, inside: bool) -> bool:
-    if not len(w.ids) or w.ends[-1] != b.ends[j] + back:
-        return False
+def _agree_right(words: Vocabulary, b: np.ndarray, w: np.ndarray, j: int, inside: bool) -> bool:
+    if j == len(b) - 1:
+        return True
     if inside:
-        return bool(w.ids[-1] == b.ids[j] and w.starts[-1] == b.starts[j] + back)
-    return bool(w.starts[w.word_of(len(w.ids) - 1)[0]] == b.starts[b.word_of(j)[0]] + back)
+        return bool(w[-1] == b[j])
+    return np.array_equal(w[words.word(w, len(w) - 1)[0] :], b[words.word(b, j)[0] : j + 1])
 
 
-def tree(vocabulary: Vocabulary, halves: list[Half]) -> Half:
+def tree(words: Vocabulary, halves: list[Half]) -> Half:
     """Join neighbours, then their joins, up to the whole."""
     while len(halves) > 1:
-        pairs = [concatenated(vocabulary, *halves[i : i + 2]) for i in range(0, len(halves) - 1, 2)]
+        pairs = [concatenated(words, *halves[i : i + 2]) for i in range(0, len(halves) - 1, 2)]
         halves = pairs + halves[len(halves) - len(halves) % 2 :]
     return halves[0]
 
@@ -233,12 +245,10 @@ def _encode_long(rows: DataFrame, row_type: str, path: str, leaf: int) -> DataFr
         F.count(F.lit(1)).alias("copies"), F.first("special").alias("special"), F.first("part").alias("part")
     )
     halves = once.mapInArrow(
-        partial(_encode_leaf, path=path),
-        f"row {row_type}, key string, section int, leaf int, copies long, special int, part string, ids binary, starts binary, ends binary, first binary",
+        partial(_encode_leaf, path=path), f"row {row_type}, key string, copies long, half struct<section:int,leaf:int,special:int,ids:binary,lead:boolean,trail:boolean>"
     )
     gathered = halves.groupBy("row", "key").agg(
-        F.max("copies").alias("copies"),
-        F.sort_array(F.collect_list(F.struct("section", "leaf", "special", "part", "ids", "starts", "ends", "first"))).alias("parts"),
+        F.max("copies").alias("copies"), F.sort_array(F.collect_list("half")).alias("parts")
     )
     joined = gathered.mapInArrow(partial(_join_tree, path=path), f"row {row_type}, copies long, ids binary")
     return joined.select("row", "ids", F.explode(F.expr("sequence(1L, copies)")).alias("_copy")).drop("_copy")
@@ -274,7 +284,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, leaf: int) -> Iterator[pa
             for section, (part, special) in enumerate(words.sections(text)):
                 if special is not None:
                     out.append((section, 0, special, ""))
-                out += [(section, n, None, part[at : at + leaf]) for n, at in enumerate(range(0, len(part), leaf))]
+                out += [(section, n, None, piece) for n, piece in enumerate(cuts(part, leaf))]
             if not out:  # a text that the normaliser leaves nothing of
                 out = [(0, 0, None, "")]
             one = pa.array([i] * len(out))
@@ -285,20 +295,29 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, leaf: int) -> Iterator[pa
             )
 
 
+HALF = pa.struct([
+    ("section", pa.int32()), ("leaf", pa.int32()), ("special", pa.int32()), ("ids", pa.binary()), ("lead", pa.bool_()), ("trail", pa.bool_()),
+])
+
+
+def _width(words: Vocabulary) -> str:
+    """Ids between tasks take two bytes where the vocabulary allows it."""
+    return "<u2" if len(words.closes) <= 1 << 16 else "<u4"
+
+
 def _encode_leaf(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     words = vocabulary(path)
-    names = ["ids", "starts", "ends", "first"]
     for batch in batches:
-        step = max(1, BLOCK // LEAF)
-        for at in range(0, batch.num_rows, step):
-            rows = batch.slice(at, step)
-            made = []
-            for part, special in zip(rows.column("part").to_pylist(), rows.column("special").to_pylist()):
-                h = words.half(part)
-                ids = h.ids if special is None else np.array([special], np.uint32)
-                made.append((ids.astype("<u4").tobytes(), h.starts.astype("<u4").tobytes(), h.ends.astype("<u4").tobytes(), np.packbits(h.first).tobytes()))
+        parts = batch.column("part").to_pylist()
+        for a, b in _blocks(parts):
+            rows = batch.slice(a, b - a)
+            halves = words.halves(parts[a:b])
+            made = [
+                {"section": section, "leaf": leaf, "special": special, "ids": h.ids.astype(_width(words)).tobytes(), "lead": h.lead, "trail": h.trail}
+                for h, section, leaf, special in zip(halves, *[rows.column(c).to_pylist() for c in ("section", "leaf", "special")])
+            ]
             yield pa.RecordBatch.from_arrays(
-                [*rows.columns, *[pa.array(c, pa.binary()) for c in zip(*made)]], names=[*rows.schema.names, *names]
+                [*[rows.column(c) for c in ("row", "key", "copies")], pa.array(made, HALF)], names=["row", "key", "copies", "half"]
             )
 
 
@@ -306,9 +325,8 @@ def _join_tree(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Reco
     words = vocabulary(path)
     for batch in batches:
         for i in range(batch.num_rows):
-            parts = batch.column("parts")[i].as_py()
             ids, run, before = [], [], None
-            for part in [*parts, None]:
+            for part in [*batch.column("parts")[i].as_py(), None]:
                 if run and (part is None or part["section"] != before):
                     ids.append(tree(words, run).ids)
                     run = []
@@ -318,10 +336,7 @@ def _join_tree(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Reco
                 if part["special"] is not None:
                     ids.append(np.array([part["special"]], np.uint32))
                 else:
-                    n = len(part["ids"]) // 4
-                    place = [np.frombuffer(part[c], "<u4").astype(np.int64) for c in ("starts", "ends")]
-                    first = np.unpackbits(np.frombuffer(part["first"], np.uint8), count=n).astype(bool)
-                    run.append(Half(part["part"], np.frombuffer(part["ids"], "<u4"), *place, first))
+                    run.append(Half(np.frombuffer(part["ids"], _width(words)).astype(np.uint32), part["lead"], part["trail"]))
             flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row").slice(i, 1), batch.column("copies").slice(i, 1), pa.array([flat.astype("<u4").tobytes()], pa.binary())],
