@@ -25,7 +25,7 @@ import sys
 import types
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quillgauge.llm.arrays import ranges, slices
+from quillgauge.llm.tokens import PieceEncoder
+
 #: Characters of a leaf; texts of up to twice as many are not cut.
 LEAF = 8192
 #: Windows may end inside a word only if it has more tokens than this, and that far from its start.
@@ -48,6 +51,15 @@ def _bytes_of_marks() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class NormalisedPieces(PieceEncoder):
+    """Encodes normalised text, each distinct piece of it once."""
+
+    def __init__(self, plain: Tokenizer):
+        self.tokenizer, self.drops_space = plain, True
+        self.vocabulary = plain.get_vocab_size()
+        self.forget()
+
+
 class Vocabulary:
     """The tokenizer of a file, with variants for normalised text and for the inside of a word."""
 
@@ -56,7 +68,7 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         splitter, mark = json.dumps(spec["pre_tokenizer"]), spec["model"].get("end_of_word_suffix")
-        if not mark or "ByteLevel" not in splitter or "(?" in splitter or "\\\\b" in splitter:
+        if not mark or spec["decoder"] is not None or "ByteLevel" not in splitter or "(?" in splitter or "\\\\b" in splitter:
             raise ValueError(f"{path} is not a vocabulary of words with end marks")
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
@@ -66,10 +78,12 @@ class Vocabulary:
         self.special_ids = {t["content"]: t["id"] for t in spec["added_tokens"]}
         spec |= {"normalizer": None, "added_tokens": [], "truncation": None, "padding": None, "post_processor": None}
         self.plain = Tokenizer.from_str(json.dumps(spec))
+        self.pieces = NormalisedPieces(self.plain)
         spec["model"] |= {"end_of_word_suffix": None}
         self.inner = Tokenizer.from_str(json.dumps(spec))
         size = max(spec["model"]["vocab"].values()) + 1
         self.spelling, self.closes, self.splits = [b""] * size, np.zeros(size, bool), np.zeros(size, bool)
+        self.table = None
         byte = _bytes_of_marks()
         for token, i in spec["model"]["vocab"].items():
             self.closes[i] = token.endswith(mark)
@@ -87,10 +101,29 @@ class Vocabulary:
             elif part:
                 yield self.whole.normalizer.normalize_str(part), None
 
+    def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of normalised texts, one after the other, and their number in each, in runs of texts."""
+        for part in slices(pa.array(texts, pa.large_string())):
+            yield self.pieces.encode(part)
+
     def halves(self, texts: list[str]) -> list[Half]:
         """Encode stretches of normalised text."""
-        found = self.plain.encode_batch_fast(texts, add_special_tokens=False)
-        return [Half(np.array(e.ids, np.uint32), t[:1] == " ", t[-1:] == " ") for e, t in zip(found, texts)]
+        ids = [x for flat, counts in self.encoded(texts) for x in np.split(flat, np.cumsum(counts)[:-1])]
+        return [Half(x, t[:1] == " ", t[-1:] == " ") for x, t in zip(ids, texts)]
+
+    def decoded(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """Texts of sequences of ids that stand one after the other: the tokens with one space between."""
+        if self.table is None:
+            size = max(self.whole.get_vocab(with_added_tokens=True).values()) + 1
+            raw = [(self.whole.id_to_token(i) or "").encode() + b" " for i in range(size)]
+            lengths = np.array([len(r) for r in raw], np.int64)
+            self.table = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(lengths) - lengths, lengths
+        flat, starts, lengths = self.table
+        take, ends = lengths[ids], np.cumsum(counts)
+        take[ends[counts > 0] - 1] -= 1  # no space after the last one
+        offsets = np.concatenate([[0], np.cumsum(take)])[np.concatenate([[0], ends])]
+        data = flat[ranges(starts[ids], take)]
+        return pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())
 
     def spelled(self, ids: np.ndarray) -> bytes:
         """The words of some tokens with a space between."""
@@ -216,6 +249,11 @@ def vocabulary(path: str) -> Vocabulary:
     return lasting[path]
 
 
+def special_tokens(path: str) -> list[str]:
+    with open(path, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f)["added_tokens"]]
+
+
 def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, leaf: int = LEAF) -> DataFrame:
     """(row, ids, n_tokens): for each row its columns ``keep`` (all but the text) and the text's ids.
 
@@ -227,7 +265,9 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: list[str]
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row") if keep else F.struct(F.lit(0).alias("_")).alias("row"), body.alias("body"))
-    long = F.length("body") > 2 * leaf
+    # texts with special tokens are cut at them, which the short way does not do
+    special = [F.contains("body", F.lit(t)) for t in special_tokens(path)]
+    long = reduce(lambda a, b: a | b, special, F.length("body") > 2 * leaf)
     short = rows.filter(~long)
     row_type = rows.schema["row"].dataType.simpleString()
     done = short.mapInArrow(partial(_encode_short, path=path), f"row {row_type}, ids binary")
@@ -267,13 +307,19 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def _encode_short(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    whole = vocabulary(path).whole
+    words = vocabulary(path)
+    normalised = words.whole.normalizer.normalize_str
     for batch in batches:
         texts = batch.column("body").to_pylist()
         for a, b in _blocks(texts):
-            found = whole.encode_batch_fast(texts[a:b], add_special_tokens=False)
-            ids = pa.array([np.array(e.ids, "<u4").tobytes() for e in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), ids], names=["row", "ids"])
+            row = batch.column("row").slice(a, b - a)
+            for ids, counts in words.encoded([normalised(t) for t in texts[a:b]]):
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64) * 4
+                made = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))]
+                )
+                yield pa.RecordBatch.from_arrays([row.slice(0, len(counts)), made.cast(pa.binary())], names=["row", "ids"])
+                row = row.slice(len(counts))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, leaf: int) -> Iterator[pa.RecordBatch]:
@@ -347,8 +393,7 @@ def _join_tree(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Reco
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Add the library's ``decode(ids, skip_special_tokens=False)``; null ids are none, an empty text.
 
-    Long sequences are decoded in blocks where the vocabulary has no decoder of its own and
-    puts one space between any two tokens. ``into`` replaces a column of that name.
+    These vocabularies have no decoder of their own: the library puts one space between tokens. ``into`` replaces a column of that name.
     """
     kept = [c for c in encoded.columns if c != into]
     rows = encoded.select((F.struct(*[F.col(c) for c in kept]) if kept else F.struct(F.lit(0).alias("_"))).alias("row"), F.coalesce(F.col(ids), F.lit(b"")).alias("seq"))
@@ -362,21 +407,22 @@ def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", into: str = "dec
 
 
 #: Ids decoded at once.
-DECODE_BLOCK = 1 << 16
+DECODE_BLOCK = 1 << 18
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    whole = vocabulary(path).whole
+    words = vocabulary(path)
     for batch in batches:
-        made, size, start = [], 0, 0
-        for i, raw in enumerate(batch.column("seq").to_pylist()):
-            seq = np.frombuffer(raw, "<u4")
-            blocks = range(0, len(seq), DECODE_BLOCK) if whole.decoder is None else [0]
-            cut = DECODE_BLOCK if whole.decoder is None else max(1, len(seq))
-            made.append(" ".join(whole.decode(seq[at : at + cut].tolist(), skip_special_tokens=False) for at in blocks))
-            size += len(made[-1])
-            if size > BLOCK or i + 1 == batch.num_rows:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(start, len(made)), pa.array(made, pa.string())], names=["row", "made"]
-                )
-                start, size, made = i + 1, 0, []
+        seqs = [np.frombuffer(raw, "<u4") for raw in batch.column("seq").to_pylist()]
+        counts = np.array([len(x) for x in seqs], np.int64)
+        start = 0
+        while start < len(seqs):
+            end = max(start + 1, start + int(np.searchsorted(np.cumsum(counts[start:]), DECODE_BLOCK)))
+            if counts[start] > DECODE_BLOCK:  # one long sequence, a block at a time
+                end, blocks = start + 1, range(0, len(seqs[start]), DECODE_BLOCK)
+                parts = [words.decoded(x, np.array([len(x)])) for x in (seqs[start][at : at + DECODE_BLOCK] for at in blocks)]
+                made = pa.array([" ".join(part[0].as_py() for part in parts)], pa.string())
+            else:
+                made = words.decoded(np.concatenate(seqs[start:end]), counts[start:end])
+            yield pa.RecordBatch.from_arrays([batch.column("row").slice(start, end - start), made], names=["row", "made"])
+            start = end

@@ -73,7 +73,8 @@ def test_windows_stay_small(words, library, monkeypatch):
     assert max(seen) < 600 and len(seen) < 6 * len(halves)
 
 
-def test_query(spark, tmp_path, library):
+def test_query(spark, tmp_path, library, monkeypatch):
+    monkeypatch.setattr(tree_bpe, "DECODE_BLOCK", 5000)
     rng = random.Random(4)
     texts = [None, "", " \n", "One two <|endoftext|>three", *[odd_text(rng, rng.randint(1, 400)) for _ in range(60)]]
     texts += ["".join(rng.choice("abcdefgh 'é日!") for _ in range(70_000)), "x" * 50_000, " " * 40_000, "<|endoftext|>" * 3000, "a b" * 9000]
