@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgauge.llm import decontaminate, jaccard, licenses, main_text, packing, pii, quality, substrings, token_files, tree_bpe, turn_repair, warc
+from quillgauge.llm import decontaminate, jaccard, licenses, main_text, packing, pii, prefix_trie, quality, substrings, token_files, tree_bpe, turn_repair, warc
 from quillgauge.llm.files import work_folder
 from quillgauge.session import materialize
 
@@ -133,3 +133,8 @@ def tree_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op13_prefix_trie")
+def prefix_trie_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.ends_digest(*prefix_trie.prefix_trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations"))))

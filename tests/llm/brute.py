@@ -173,3 +173,35 @@ def repair(rows):
     turns = {t for t, _, _ in rows if t is not None}
     gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
     return gaps, blank, duplicate, truncated, illegal, cost, audit, hashlib.sha256("\n".join(made).encode()).hexdigest()
+
+
+def trie(rows):
+    """rows: (conv_id, turn, role, text); (conv_id, depth, parent, convs, children, leaves, saved, ends) per node."""
+    own = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own.setdefault(conv, []).append(((turn is not None, turn or 0), role or "", text or ""))
+    own = {c: [t[1:] for t in sorted(turns)] for c, turns in own.items()}
+    members = {(): set()}
+    made = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        made[c] = tuple(own.get(c - c % 5, [])[:h] + turns[h:])
+        for d in range(len(made[c]) + 1):
+            members.setdefault(made[c][:d], set()).add(c)
+    if not made:
+        return []
+    children = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(m) - 1) * len(p[-1][1].encode()) if p else 0
+    out = []
+    for p, m in members.items():
+        ends = ",".join(str(c) for c in sorted(m) if len(made[c]) == len(p))
+        out.append((
+            min(m), len(p), min(members[p[:-1]]) if p else None, len(m), children[p], leaves[p], saved[p],
+            hashlib.sha256(ends.encode()).hexdigest(),
+        ))
+    return out
