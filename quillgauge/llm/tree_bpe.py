@@ -25,7 +25,7 @@ import sys
 import types
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial, reduce
+from functools import cached_property, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -70,22 +70,15 @@ class Vocabulary:
         splitter, mark = json.dumps(spec["pre_tokenizer"]), spec["model"].get("end_of_word_suffix")
         if not mark or spec["decoder"] is not None or "ByteLevel" not in splitter or "(?" in splitter or "\\\\b" in splitter:
             raise ValueError(f"{path} is not a vocabulary of words with end marks")
-        self.whole = Tokenizer.from_file(path)
-        self.whole.no_truncation()
-        self.whole.no_padding()
+        self.path, self.mark = path, mark
         added = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.special_ids = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        spec |= {"normalizer": None, "added_tokens": [], "truncation": None, "padding": None, "post_processor": None}
-        self.plain = Tokenizer.from_str(json.dumps(spec))
-        self.pieces = NormalisedPieces(self.plain)
-        spec["model"] |= {"end_of_word_suffix": None}
-        self.inner = Tokenizer.from_str(json.dumps(spec))
-        size = max(spec["model"]["vocab"].values()) + 1
+        vocabulary = spec["model"]["vocab"]
+        size = max(vocabulary.values()) + 1
         self.spelling, self.closes, self.splits = [b""] * size, np.zeros(size, bool), np.zeros(size, bool)
-        self.table = None
         byte = _bytes_of_marks()
-        for token, i in spec["model"]["vocab"].items():
+        for token, i in vocabulary.items():
             self.closes[i] = token.endswith(mark)
             raw = token.removesuffix(mark)
             if all(c in byte for c in raw):
@@ -93,6 +86,32 @@ class Vocabulary:
             # inside a word no window starts within a character or at what may seem a contraction
             self.splits[i] = not 0x80 <= (self.spelling[i] or b"\x80")[0] < 0xC0 and self.spelling[i][:1] != b"'"
 
+    @cached_property
+    def whole(self) -> Tokenizer:
+        made = Tokenizer.from_file(self.path)
+        made.no_truncation()
+        made.no_padding()
+        return made
+
+    def _variant(self, mark: str | None) -> Tokenizer:
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        spec |= {"normalizer": None, "added_tokens": [], "truncation": None, "padding": None, "post_processor": None}
+        spec["model"]["end_of_word_suffix"] = mark
+        return Tokenizer.from_str(json.dumps(spec))
+
+    @cached_property
+    def plain(self) -> Tokenizer:
+        return self._variant(self.mark)
+
+    @cached_property
+    def inner(self) -> Tokenizer:
+        return self._variant(None)
+
+    @cached_property
+    def pieces(self) -> NormalisedPieces:
+        return NormalisedPieces(self.plain)
+
     def sections(self, text: str) -> Iterator[tuple[str, int | None]]:
         """The text's stretches between special tokens, normalised, and the ids of those."""
         for part in self.special.split(text) if self.special else [text]:
@@ -111,20 +130,6 @@ class Vocabulary:
         ids = [x for flat, counts in self.encoded(texts) for x in np.split(flat, np.cumsum(counts)[:-1])]
         return [Half(x, t[:1] == " ", t[-1:] == " ") for x, t in zip(ids, texts)]
 
-    def decoded(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
-        """Texts of sequences of ids that stand one after the other: the tokens with one space between."""
-        if self.table is None:
-            size = max(self.whole.get_vocab(with_added_tokens=True).values()) + 1
-            raw = [(self.whole.id_to_token(i) or "").encode() + b" " for i in range(size)]
-            lengths = np.array([len(r) for r in raw], np.int64)
-            self.table = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(lengths) - lengths, lengths
-        flat, starts, lengths = self.table
-        take, ends = lengths[ids], np.cumsum(counts)
-        take[ends[counts > 0] - 1] -= 1  # no space after the last one
-        offsets = np.concatenate([[0], np.cumsum(take)])[np.concatenate([[0], ends])]
-        data = flat[ranges(starts[ids], take)]
-        return pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())
-
     def spelled(self, ids: np.ndarray) -> bytes:
         """The words of some tokens with a space between."""
         return b"".join(self.spelling[i] + b" " if self.closes[i] else self.spelling[i] for i in ids.tolist()).removesuffix(b" ")
@@ -241,12 +246,34 @@ def tree(words: Vocabulary, halves: list[Half]) -> Half:
     return halves[0]
 
 
-def vocabulary(path: str) -> Vocabulary:
-    """The vocabulary of this Python worker, read once."""
-    lasting = sys.modules.setdefault("_quillgauge_words", types.ModuleType("_quillgauge_words")).__dict__
-    if path not in lasting:
-        lasting[path] = Vocabulary(path)
-    return lasting[path]
+class Decoder:
+    """The tokens' texts of a vocabulary in one table."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        raw = [tokens.get(i, "").encode() + b" " for i in range(max(tokens) + 1)]
+        self.lengths = np.array([len(r) for r in raw], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(raw), np.uint8)
+
+    def decoded(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """Texts of sequences of ids that stand one after the other: the tokens with one space between."""
+        take, ends = self.lengths[ids], np.cumsum(counts)
+        take[ends[counts > 0] - 1] -= 1  # no space after the last one
+        offsets = np.concatenate([[0], np.cumsum(take)])[np.concatenate([[0], ends])]
+        data = self.flat[ranges(self.starts[ids], take)]
+        return pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())
+
+
+def lasting(kind: type, path: str):
+    """The vocabulary or decoder of this Python worker, read once."""
+    kept = sys.modules.setdefault("_quillgauge_words", types.ModuleType("_quillgauge_words")).__dict__
+    name = f"{kind.__name__} {path}"
+    if name not in kept:
+        kept[name] = kind(path)
+    return kept[name]
 
 
 def special_tokens(path: str) -> list[str]:
@@ -307,7 +334,7 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def _encode_short(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    words = vocabulary(path)
+    words = lasting(Vocabulary, path)
     normalised = words.whole.normalizer.normalize_str
     for batch in batches:
         texts = batch.column("body").to_pylist()
@@ -323,7 +350,7 @@ def _encode_short(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, leaf: int) -> Iterator[pa.RecordBatch]:
-    words = vocabulary(path)
+    words = lasting(Vocabulary, path)
     for batch in batches:
         for i, text in enumerate(batch.column("body").to_pylist()):
             out = []
@@ -352,7 +379,7 @@ def _width(words: Vocabulary) -> str:
 
 
 def _encode_leaf(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    words = vocabulary(path)
+    words = lasting(Vocabulary, path)
     for batch in batches:
         parts = batch.column("part").to_pylist()
         for a, b in _blocks(parts):
@@ -368,7 +395,7 @@ def _encode_leaf(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Re
 
 
 def _join_tree(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    words = vocabulary(path)
+    words = lasting(Vocabulary, path)
     for batch in batches:
         for i in range(batch.num_rows):
             ids, run, before = [], [], None
@@ -411,7 +438,7 @@ DECODE_BLOCK = 1 << 18
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    words = vocabulary(path)
+    words = lasting(Decoder, path)
     for batch in batches:
         seqs = [np.frombuffer(raw, "<u4") for raw in batch.column("seq").to_pylist()]
         counts = np.array([len(x) for x in seqs], np.int64)
