@@ -109,16 +109,67 @@ def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, floa
     return at.groupBy(*keys).agg(*[e.alias(n) for n, e in pieces.items()]).select(*keys, *outputs)
 
 
-def row_index(df: DataFrame, order: list[str], name: str = "row_index") -> DataFrame:
-    """1-based row number by an order key, computed range by range.
+def row_index(df: DataFrame, order: list[str], name: str = "row_index", ranges: int | None = None) -> DataFrame:
+    """1-based row number by an order key, nulls first, without a sort of the whole table in one place.
+
+    Rows that tie on the key are numbered by a hash of the whole row, and may be many: the ranges
+    that the rows are dealt to are cut in (key, hash). The cuts are a sample chosen by hash, the
+    same on every evaluation; counts per range give each range its first number. Every row is
+    shuffled once, to its range; nothing is grouped by the key or joined back. ``ranges``
+    defaults to four per shuffle partition. Rows equal in every column share a range.
+    """
+    wanted = ranges or min(4096, max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ranged, ranges, key, number = rows_in_ranges(df, order, wanted)
+    counts = ranged.groupBy(F.col(number).alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    # at most ``ranges`` rows: the first number of each range, in order
+    totals = counts.agg(F.sort_array(F.collect_list(F.struct("r", "n"))).alias("t")).select(
+        F.aggregate(
+            F.sequence(F.lit(0), F.lit(ranges - 1)), F.array(F.lit(0).cast("bigint")),
+            lambda sums, r: F.concat(
+                sums, F.array(F.element_at(sums, -1) + F.coalesce(F.get(F.filter("t", lambda t: t["r"] == r), F.lit(0))["n"], F.lit(0)))
+            ),
+        )
+    ).scalar()
+    inside = F.row_number().over(Window.partitionBy(number).orderBy(key))
+    spot = _unused(ranged, "_inside")
+    numbered = ranged.withColumn(spot, inside)
+    return numbered.withColumn(name, F.get(totals, F.col(number)) + F.col(spot)).drop(key, number, spot)
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    """The name, with as many lines in front as keep it from those of the table."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
 
-    Rows that tie on the key are numbered by a hash of the whole row.
+def rows_in_ranges(df: DataFrame, order: list[str], wanted: int) -> tuple[DataFrame, int, str, str]:
+    """Deal rows to ranges of an order key: the rows, the number of ranges (a power of two, at most
+    ``wanted``), and the names of two new columns, the key (a hash of the row at its end) and the range.
+
+    Cuts are quantiles of a sample of the keys, so ranges are about equal whatever the ties.
     """
-    keyed = df.withColumn("_order", F.struct(*order))
-    numbered = value_positions(keyed, [], "_order").select("_order", "before")
+    steps = max(1, wanted.bit_length() - 1)
+    ranges = 1 << steps  # cuts are found by halving
     hashable = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-    tied = F.row_number().over(Window.partitionBy("_order").orderBy(F.xxhash64(*hashable)))
-    return keyed.join(numbered, "_order").withColumn(name, F.col("before") + tied).drop("_order", "before")
+    key, number, at_hand = (_unused(df, n) for n in ("_order", "_range", "_cuts"))
+    keyed = df.withColumn(key, F.struct(*order, F.xxhash64(*hashable).alias("_tie_of_rows")))
+    dice = F.xxhash64(F.lit("order"), F.col(key)["_tie_of_rows"])
+    # one row in 64 takes part, one of each hash class of those is kept: a bounded sample that needs no count
+    picked = keyed.filter(F.pmod(dice, F.lit(64)) == 0).groupBy(F.pmod(F.shiftright(dice, 6), F.lit(8 * ranges)).alias("c")).agg(
+        F.min_by(key, dice).alias("o")
+    )
+    nth = lambda i: F.get(F.col("s"), F.floor(i * F.size("s") / ranges).cast("int"))
+    cuts = picked.agg(F.sort_array(F.collect_list("o")).alias("s")).select(
+        F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), nth)
+    ).scalar()
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
+
+    def below(at: Column, step: Column) -> Column:
+        return F.when(F.get(F.col(at_hand), at + step - 1) <= F.col(key), at + step).otherwise(at)
+
+    ranged = keyed.withColumn(at_hand, cuts).withColumn(number, F.aggregate(halves, F.lit(0), below)).drop(at_hand)
+    return ranged, ranges, key, number
 
 
 def rank_rows(positions: DataFrame, keys: list[str], value: str, chunk: int = 65_536) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgauge.functions import tails
 from quillgauge.functions.numbers import py_round
 from quillgauge.operators import blocks, code_metrics, pairs, selection, stats
-from quillgauge.operators.positions import quantiles, row_index
+from quillgauge.operators.positions import quantiles, row_index, rows_in_ranges
 from quillgauge.operators.skew import even_join, salted_join
 from quillgauge.sources import readers
 
@@ -107,3 +107,22 @@ def test_joins_under_skew(spark):
     assert {(r.k, r.w) for r in salted_join(many, one, ["k"], F.col("v")).collect()} == {("hot", 1), (None, 2)}
     hot = even_join(many, one, ["k"], F.col("v"), limit=10)
     assert sorted(map(tuple, hot.select("k", "v", "w").collect())) == [("hot", i, 1) for i in range(90) if i % 3]
+
+
+def test_half_tied_rows_use_all_ranges(spark):
+    n = 60_000
+    df = spark.range(n, numPartitions=6).selectExpr("case when id % 2 = 0 then 5 else id % 1000 end as k", "id", "cast(null as map<int, int>) as m")
+    ranged, ranges, _, number = rows_in_ranges(df, ["k"], 16)
+    sizes = [r["count"] for r in ranged.groupBy(number).count().collect()]
+    assert len(sizes) == ranges == 16 and max(sizes) < 2.5 * n / ranges
+    rows = row_index(df, ["k"], "row", ranges=16).orderBy("row").collect()
+    assert [r.row for r in rows] == list(range(1, n + 1))
+    assert [r.k for r in rows] == sorted(r.k for r in rows) and len({r.id for r in rows}) == n
+
+
+def test_row_index_orders_nulls_text_and_empty_tables(spark):
+    data = [(x, i) for i, x in enumerate(["b", None, "", "a", "é", None, "b"] * 300)]
+    rows = row_index(spark.createDataFrame(data, "k string, _range long").repartition(5), ["k", "_range"]).orderBy("row_index").collect()
+    want = sorted(data, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1]))
+    assert [(r.k, r._range) for r in rows] == want and [r.row_index for r in rows] == list(range(1, len(data) + 1))
+    assert row_index(spark.createDataFrame([], "k string"), ["k"]).collect() == []
