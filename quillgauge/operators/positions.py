@@ -28,8 +28,9 @@ def value_positions(
     sums: dict[str, Column] | None = None,
     weight: Column | None = None,
     ranges: int = 128,
+    mean: str | None = None,
 ) -> DataFrame:
-    """One row per (keys, distinct value): ``cnt``, ``before`` and the group's ``n``.
+    """One row per (keys, distinct value): ``cnt``, ``before`` and the group's ``n`` (and its ``mean``).
 
     ``before`` is the number of rows of the group with a smaller value. ``sums`` adds more
     totals per value (for two-sample ranks); ``weight`` counts a row that often. Rows
@@ -37,13 +38,14 @@ def value_positions(
     """
     if keys:  # as one struct, keys are never null: joins keep null groups, and plans share their exchange
         packed = df.withColumn("_group", F.struct(*keys)).drop(*keys)
-        found = _positions(packed, ["_group"], value, sums, weight, ranges)
+        found = _positions(packed, ["_group"], value, sums, weight, ranges, mean)
         return found.select(*[F.col(f"_group.{k}").alias(k) for k in keys], *[c for c in found.columns if c != "_group"])
-    return _positions(df, keys, value, sums, weight, ranges)
+    return _positions(df, keys, value, sums, weight, ranges, mean)
 
 
 def _positions(
-    df: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None, weight: Column | None, ranges: int
+    df: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None, weight: Column | None, ranges: int,
+    mean: str | None,
 ) -> DataFrame:
     extra = {name: F.sum(e).alias(name) for name, e in (sums or {}).items()}
     present = df.filter(F.col(value).isNotNull())
@@ -70,7 +72,8 @@ def _positions(
     ranged = cut.withColumn("_range", F.size(F.filter("_split", lambda s: s <= F.col(value)))).drop("_split")
 
     # at most `ranges` + 1 rows per group reach these two windows
-    totals = ranged.groupBy(*keys, "_range").agg(F.sum("cnt").alias("_t"))
+    weighed = [F.sum(F.col("cnt") * F.col(value)).alias("_w")] if mean else []
+    totals = ranged.groupBy(*keys, "_range").agg(F.sum("cnt").alias("_t"), *weighed)
     group = Window.partitionBy(*keys)
     offsets = totals.select(
         *keys,
@@ -79,6 +82,7 @@ def _positions(
             F.sum("_t").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("_offset"),
         F.sum("_t").over(group).alias("n"),
+        *([(F.sum("_w").over(group) / F.sum("_t").over(group)).alias(mean)] if mean else []),
     )
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
