@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import views
+from checks.lcs_sql import lcs
 from checks.pair_checks import _dot
 from checks.registry import RX_WS, check, sql_py_round, table, with_
 from quillgauge.operators import correspondence as co
@@ -131,13 +132,30 @@ def bleu(spark, sf):
     )
 
 
-@check("cor5_rouge_l")
+# by word
+TEXTS = ("texts", "select story_id, variant, code, h as x, r as y from j")
+LCS = lcs("texts", ["story_id", "variant"], "x", "y")
+ROUGE = (
+    "rouge",
+    "select story_id, variant, code, case when length(code) < 20 or len(x) + len(y) = 0 then 0::double "
+    "else 2 * lcs / (len(x) + len(y))::double end as rouge_l from texts join lcs using (story_id, variant)",
+)
+
+
+@check("cor5_rouge_l", with_(V, ST, J, TEXTS, *LCS, ROUGE, select=f"select story_id, variant, {sql_py_round('rouge_l', 4)} as rouge_l from rouge"))
 def rouge_l(spark, sf):
     return co.correspondence(views.variants(spark, sf), views.stories(spark, sf), metrics=("rouge_l",)).select(
         "story_id", "variant", "rouge_l"
     )
 
 
-@check("cor6_correspondence_table")
+@check(
+    "cor6_correspondence_table",
+    with_(V, ST, J, ("hg", _grams("h")), ("rg", _grams("r")), BLEU, TEXTS, *LCS, ROUGE,
+          select="select story_id, variant, null::double as similarity, "
+                 + sql_py_round(f"case when length(rouge.code) < 20 then 0::double else ({QUALITY.replace('code', 'rouge.code')})::double end", 2)
+                 + f" as quality, null::double as match_rate, {sql_py_round(_bleu_sql().replace('code', 'bl.code'), 4)} as bleu, "
+                 + f"{sql_py_round('rouge_l', 4)} as rouge_l from bl join rouge using (story_id, variant)"),
+)
 def correspondence_table(spark, sf):
     return co.correspondence(views.variants(spark, sf), views.stories(spark, sf))

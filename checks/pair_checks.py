@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import views
+from checks.lcs_sql import characters, lcs
 from checks.registry import RX_WORD, RX_WS, check, sql_np_round, sql_py_round, sql_strip, table, with_
 from quillgauge.operators import pairs as pz
 from quillgauge.sources import readers
@@ -77,6 +78,15 @@ WT = (
     f"""select story_id, variant, token, tf, idf * tf * {pz.BM25_K1 + 1}::double / (tf + {pz.BM25_K1}::double * (1 - {pz.BM25_B}::double
   + {pz.BM25_B}::double * dl / (select avg(len(tokens)) from tok))) as w from post join idf using (token)""",
 )
+# by character, of the stripped texts
+TEXTS = ("texts", f"select story_id, a, b, {characters(sql_strip('code_a'))} as x, {characters(sql_strip('code_b'))} as y from "
+                  "(select story_id, a, b, coalesce(code_a, '') as code_a, coalesce(code_b, '') as code_b from p)")
+LCS = lcs("texts", ["story_id", "a", "b"], "x", "y")
+LEV = (
+    "lev",
+    f"select story_id, a, b, {_ONE_EMPTY.format(a='len(x)', b='len(y)', x='2 * lcs / (len(x) + len(y))::double')} as levenshtein "
+    "from texts join lcs using (story_id, a, b)",
+)
 ALL_PARTS = (V, PAIRS, TOK, JAC, TERMS, TF, POST, RAW, IDF, WT, BM)
 
 
@@ -133,7 +143,10 @@ def jaccard(spark, sf):
     return _similarity(spark, sf, "jaccard").select("story_id", "a", "b", "jaccard")
 
 
-@check("sim3_edit_ratio")
+@check(
+    "sim3_edit_ratio",
+    with_(V, PAIRS, TEXTS, *LCS, LEV, select=f"select story_id, a, b, {sql_py_round('levenshtein', 4)} as levenshtein from lev"),
+)
 def edit_ratio(spark, sf):
     return _similarity(spark, sf, "levenshtein").select("story_id", "a", "b", "levenshtein")
 
@@ -199,7 +212,22 @@ def component_weighted(spark, sf):
     return _similarity(spark, sf, "jaccard", "tfidf", "bm25").select("story_id", "a", "b", "weighted")
 
 
-@check("sim9_pair_table")
+_FOUR = {"jaccard": 0.25, "levenshtein": 0.25, "tfidf": 0.3, "bm25": 0.1}  # fixed values: the report's weights
+_TABLE = (
+    "z",
+    f"select *, list_avg(list_filter([{', '.join(_FOUR)}], lambda x: x is not null)) as mean_, ("
+    + " + ".join(f"coalesce({n} * {w}::double, 0)" for n, w in _FOUR.items()) + ") / ("
+    + " + ".join(f"case when {n} is null then 0::double else {w}::double end" for n, w in _FOUR.items())
+    + ") as weighted_ from p join jac using (story_id, a, b) join lev using (story_id, a, b) join tf using (story_id, a, b) join bm using (story_id, a, b)",
+)
+
+
+@check(
+    "sim9_pair_table",
+    with_(*ALL_PARTS, TEXTS, *LCS, LEV, _TABLE, select="select story_id, model_group, a, b, "
+          + ", ".join(f"{sql_py_round(n, 4)} as {n}" for n in _FOUR)
+          + f", {sql_np_round('mean_', 4)} as mean, {sql_py_round('weighted_', 4)} as weighted from z"),
+)
 def pair_table(spark, sf):
     return _similarity(spark, sf, "jaccard", "levenshtein", "tfidf", "bm25")
 
