@@ -102,6 +102,14 @@ def sql_t_two_sided(t, df):
     return bound(df, "df", bound(f"atan(abs({t}) / sqrt(df))", "th", f"{scale} * {area}"))
 
 
+def sql_t_critical(df, alpha):
+    """The t that |T| exceeds with probability ``alpha``, by halving."""
+    middle = "(s[1] + s[2]) / 2"
+    tail = sql_t_two_sided("m", "df")
+    step = f"list_transform([{middle}], lambda m: case when {tail} > {alpha}::double then [m, s[2]] else [s[1], m] end)[1]"
+    return bound(df, "df", f"list_reduce(list_concat([[0::double, 64::double]], list_transform(generate_series(1, 56), lambda k: [0::double])), lambda s, k: {step})[1]")
+
+
 def sql_rank_sum_p(u, nx, ny, ties):
     """Normal approximation with tie and continuity correction."""
     z = (f"(greatest({u}, {nx}::double * {ny} - {u}) - {nx}::double * {ny} / 2 - 0.5) / "
@@ -475,19 +483,104 @@ def pair_moments(spark, sf):
     return rounded(stats.pair_moments(values), ["column", "metric", "n_all", "n_intra", "n_inter"], _PM)
 
 
-@check("agg5_pair_statistics")
+# All pairs of a conversation with their similarities as the report rounds them, one row per column of a pair.
+_PAIRS = (
+    "p",
+    "select x.story_id, x.variant as a, y.variant as b, x.code as code_a, y.code as code_b, "
+    "case when x.model_group = y.model_group then 'intra' else 'inter' end as kind from v x join v y "
+    "on x.story_id = y.story_id and x.variant < y.variant",
+)
+_WEIGHTS = {"jaccard": 0.25, "levenshtein": 0.25, "tfidf": 0.3}  # fixed values: the report's weights
+
+
+def _scores_sql(names):
+    """(a, b, kind, the metrics, their mean and weighted mean) for each pair."""
+    there = ", ".join(names)
+    weighted = " + ".join(f"coalesce({n} * {_WEIGHTS[n]}::double, 0)" for n in names)
+    total = " + ".join(f"case when {n} is null then 0::double else {_WEIGHTS[n]}::double end" for n in names)
+    tables = {"jaccard": "jac", "levenshtein": "lev", "tfidf": "tf"}
+    joins = " ".join(f"join {tables[n]} using (story_id, a, b)" for n in names)
+    return (
+        "select a, b, kind, " + ", ".join(f"{sql_py_round(n, 4)} as {n}" for n in names)
+        + f", {sql_np_round(f'list_avg(list_filter([{there}], lambda x: x is not null))', 4)} as mean, "
+        + f"{sql_py_round(f'({weighted}) / ({total})', 4)} as weighted from p {joins}"
+    )
+
+
+def _tested(names, metrics):
+    """Tables up to ``ps``: the pair statistics per (column, metric), not rounded."""
+    values = " union all ".join(f"select a, b, kind, '{m}' as metric, {m} as value from scores" for m in metrics)
+    parts = [pair_checks.V, _PAIRS, pair_checks.TOK, pair_checks.JAC]
+    if "tfidf" in names:
+        parts += [pair_checks.TERMS, pair_checks.TF]
+    if "levenshtein" in names:
+        parts += [pair_checks.TEXTS, *pair_checks.LCS, pair_checks.LEV]
+    w_p = f"case when w >= 1 then 1::double else {SHAPIRO_P} end"
+    d = "power_d"
+    shift = "power_d * sqrt(nx::double * ny / (nx + ny))"
+    return [
+        *parts, ("scores", _scores_sql(names)),
+        ("vals", f"select unnest([a, b]) as \"column\", metric, kind, value from ({values}) where value is not null"),
+        _PAIR_SQL,
+        # normality of all values and of either kind; these samples have more than eleven values
+        ("fea", """select "column" || '|' || metric || '|' || unnest(['all', kind]) as feature, value from vals"""),
+        *SW,
+        ("sp", f"select feature, case when d1 = 0 then 1::double else {w_p} end as p from (select sw.*, sg.d1 from sw join sg using (feature))"),
+        ("sam", """select "column" || '|' || metric as feature, kind = 'intra' as is_x, value from vals"""),
+        RANKS, UU, TI,
+        (
+            "ch",
+            """select pmo.*, nx, ny, a.p as shapiro_p, coalesce(n_intra >= 3 and n_inter >= 3 and i.p > 0.05 and e.p > 0.05, false) as normal,
+  n_intra >= 2 and n_inter >= 2 as testable, u, ties
+from pmo join uu on uu.feature = "column" || '|' || metric join ti using (feature)
+left join sp a on a.feature = uu.feature || '|all' left join sp i on i.feature = uu.feature || '|intra' left join sp e on e.feature = uu.feature || '|inter'""",
+        ),
+        (
+            "tests",
+            f"""select *, case when normal then cohen_d else delta end as effect, case when normal then welch_t else mwu_z end as stat,
+  case when normal then {sql_t_two_sided('welch_t', 'welch_df')} else mwu_p end as p
+from (select *, (u - nx * ny / 2) / sqrt(nx * ny * (nx + ny + 1) / 12) as mwu_z, 2 * u / (nx * ny) - 1 as delta,
+  {sql_rank_sum_p('u', 'nx', 'ny', 'ties')} as mwu_p from ch where testable)""",
+        ),
+        # power: P(|T'| > c) = 1 - sum over j of Poisson(j) P(Beta(j + 1/2, df / 2) <= x); each such
+        # probability is the one before less one term, and the first is 1 - alpha
+        ("pw", f"""select *, {shift} * {shift} / 2 as lam, c * c / (df + c * c) as x from (
+  select *, {sql_t_critical('df', 0.05)} as c from (select "column", metric, nx, ny, (nx + ny - 2)::double as df,
+    abs(effect) * case when normal then 1.0::double else 1.1::double end as {d} from tests where abs(effect) > 0))"""),
+        ("pj", """select "column", metric, j, exp(j * ln(lam) - lam - lgamma(j + 1::double)) as pois,
+  exp((j + 0.5) * ln(x) + df / 2 * ln(1 - x) - ln(j + 0.5::double) - lgamma(j + 0.5::double) - lgamma(df / 2) + lgamma(j + 0.5::double + df / 2)) as term
+from (select *, unnest(generate_series(0, (lam + 14 * sqrt(lam) + 60)::bigint)) as j from pw)"""),
+        ("power", """select "column", metric, 1 - sum(pois * inside) as power from (select *, 0.95::double - coalesce(sum(term) over (
+  partition by "column", metric order by j rows between unbounded preceding and 1 preceding), 0) as inside from pj) group by all"""),
+        ("ps", """select pmo."column", pmo.metric, upper(substr(pmo."column", 1, 3)) as model_group, pmo.n_all, pmo.n_intra, pmo.n_inter, pmo.mean, pmo.std_dev,
+  sa_.p as shapiro_p, t.stat as z_stat, t.p as p_value, t.effect as effect_size, power.power, t.mwu_p, pmo.ci_low, pmo.ci_high
+from pmo left join tests t using ("column", metric) left join power using ("column", metric)
+left join sp sa_ on sa_.feature = pmo."column" || '|' || pmo.metric || '|all'"""),
+    ]
+
+
+_FIVE = ["jaccard", "levenshtein", "tfidf", "mean", "weighted"]
+
+
+@check(
+    "agg5_pair_statistics",
+    with_(*_tested(_FIVE[:3], _FIVE), select='select "column", metric, model_group, n_all, n_intra, n_inter, ' + r6(**{c: c for c in _TABLE}) + " from ps"),
+)
 def pair_statistics(spark, sf):
     return stats.pair_statistics(
         _labelled(spark, sf, "jaccard", "levenshtein", "tfidf"), ["jaccard", "levenshtein", "tfidf", "mean", "weighted"]
     )
 
 
-@check("st12_t_power")
+@check("st12_t_power", with_(*_tested(["jaccard"], ["jaccard"]), select='select "column", ' + r6(effect_size="effect_size", power="power") + " from ps"))
 def t_power(spark, sf):
     return stats.pair_statistics(_labelled(spark, sf, "jaccard"), ["jaccard"]).select("column", "effect_size", "power")
 
 
-@check("st13_test_choice")
+@check(
+    "st13_test_choice",
+    with_(*_tested(["jaccard"], ["jaccard"]), select='select "column", ' + r6(**{c: c for c in ("z_stat", "p_value", "effect_size", "mwu_p")}) + " from ps"),
+)
 def test_choice(spark, sf):
     return stats.pair_statistics(_labelled(spark, sf, "jaccard"), ["jaccard"]).select(
         "column", "z_stat", "p_value", "effect_size", "mwu_p"
