@@ -90,3 +90,12 @@ def test_rank_sum_exact_against_enumeration():
         for u in range(math.ceil(nx * ny / 2), nx * ny + 1):
             expected = min(1.0, 2 * sum(s >= u for s in sums) / len(sums))
             assert tails.rank_sum_exact(u, nx, ny) == pytest.approx(expected)
+
+
+def test_rank_sum_exact_on_both_sides_of_the_switch(monkeypatch):
+    cases = [(nx, ny, int(nx * ny / 2 + z * (nx * ny * (nx + ny + 1) / 12) ** 0.5)) for nx, ny, z in ((9, 50_000, 1.7), (40, 20_000, 3.0), (200, 400, 0.3), (60, 5_000, 2.0))]
+    exact = [tails.rank_sum_exact(u, nx, ny) for nx, ny, u in cases]
+    monkeypatch.setattr(tails, "MOST_COEFFICIENTS", 1)
+    for (nx, ny, u), want in zip(cases, exact):
+        assert tails.rank_sum_exact(u, nx, ny) == pytest.approx(want, abs=1e-5)
+    assert 0 < tails.rank_sum_p(200 * 60_000 * 0.52, 200, 60_000, 0, "exact") < 1
