@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import RX_WORD, RX_WS, check, sql_py_round, sql_strip, table, with_
 from quillgauge.operators import prompts as pr
+from quillgauge.session import shared_folder
+from quillgauge.sources import readers
 
 
 def _list(values):
@@ -62,7 +66,11 @@ def _analysed(spark, sf):
 
 @check("src1_story_reader", with_(T, select="select doc_id + 1 as row_number, prompt from t"))
 def story_reader(spark, sf):
-    return _docs(spark, sf).select((F.col("doc_id") + 1).alias("row_number"), "prompt")
+    """The documents written as quoted CSV, in order over several files, and read again."""
+    folder = f"{shared_folder(spark)}/stories-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    docs.select("text").write.option("header", True).option("escape", '"').option("nullValue", "\u0000").csv(folder)
+    return readers.read_stories(spark, folder).select("row_number", "prompt")
 
 
 @check("prm1_words", with_(T, W, select="select doc_id, len(words)::bigint as n_words, array_to_string(words, ' ') as words from w"))

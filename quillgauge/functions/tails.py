@@ -99,7 +99,7 @@ def rank_sum_exact(u: float, nx: int, ny: int) -> float:
     The counts are the coefficients of the Gaussian binomial (nx + ny over nx), up to the one that
     is needed. Where they would be more than ``MOST_COEFFICIENTS``, ranks lie so close that U is, up
     to scale, a sum of ``small`` uniform numbers of its mean and variance (Irwin-Hall) if ``small`` is
-    at most 40, else normal with a term for its kurtosis; they differ by less than 2e-6 there.
+    at most 40, else normal with a term for its kurtosis; they differ by less than 1e-5 there.
     """
     small, large = min(nx, ny), max(nx, ny)
     size = int(nx * ny - u) + 1

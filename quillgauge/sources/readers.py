@@ -7,9 +7,11 @@ import logging
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgauge.operators.positions import row_index
 from quillgauge.operators.prompts import raw_prompt
+from quillgauge.sources.csv_records import read_records
 
 log = logging.getLogger(__name__)
 
@@ -23,16 +25,18 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def read_stories(spark: SparkSession, path: str) -> DataFrame:
     """Story CSV (header, quoted fields over several lines, optional BOM) -> (row_number, line parts, prompt).
 
-    Rows are numbered from 1 in file order. A quoted field may hold line breaks, so one file is one
-    task; keep large inputs in Parquet.
+    Rows are numbered from 1 by file name and place in the file. Large files are split, see
+    ``csv_records``; the fields are taken apart by Spark's CSV parser.
     """
-    df = (
-        spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
-        .option("encoding", "UTF-8").csv(path)
-    )
-    df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
-    prompts = df.withColumn("prompt", raw_prompt(df)).withColumn("_at", F.monotonically_increasing_id())
-    return row_index(prompts, ["_at"], "row_number").drop("_at").select("row_number", *df.columns, "prompt")
+    options = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "encoding": "UTF-8"}
+    names = [c.lstrip("\ufeff") for c in spark.read.options(**options).csv(path).columns]  # reads the first record
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    parsed = read_records(spark, path).withColumn("fields", F.from_csv("text", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options))
+    # a file's first record is its header
+    place = F.struct("file", "block", "n").alias("_at")
+    rows = parsed.filter((F.col("block") > 0) | (F.col("n") > 0)).select(place, *[F.col(f"fields.c{i}").alias(c) for i, c in enumerate(names)])
+    prompts = rows.withColumn("prompt", raw_prompt(rows.drop("_at")))
+    return row_index(prompts, ["_at"], "row_number").drop("_at").select("row_number", *[F.col(f"`{c}`") for c in names], "prompt")
 
 
 def to_long(wide: DataFrame, ids: list[str], columns: list[str] | None = None) -> DataFrame:
