@@ -13,7 +13,6 @@ from quillgauge.functions.counts import grams, matched, term_counts, total
 from quillgauge.functions.numbers import np_round, py_round
 from quillgauge.functions.sequences import text_lcs
 from quillgauge.functions.text import WORD, WS, fence, let, long_words, strip
-from quillgauge.operators.skew import salted_join
 
 # Component weights, vocabulary limit of TF-IDF, and the Okapi parameters.
 SIMILARITY_WEIGHTS = {"jaccard": 0.25, "levenshtein": 0.25, "tfidf": 0.30, "bm25": 0.10, "embedding": 0.10}
@@ -28,26 +27,27 @@ def pair_up(
 
     ``l`` and ``r`` are structs of the ``carry`` columns. The pairs are the operator's
     result, so their number is quadratic in the variants of one story; variants are the
-    columns of a report, which bounds it. The story sizes are checked first, from the key
-    columns alone (of ``source``, the frame ``df`` was derived from). With no story above
-    ``tile`` variants this is one self-join whose two sides share a single shuffle. Else
-    the large stories are cut into tiles by the hash of the name and joined tile by tile, so
-    no task receives a whole large story.
+    columns of a report, which bounds it. Stories are counted inside the plan, from the key
+    columns alone (of ``source``, the frame ``df`` was derived from); nothing runs before the
+    result is used. Stories of up to ``tile`` variants are one self-join whose two sides share
+    a single shuffle. Larger ones are cut into tiles by the hash of the name and joined tile by
+    tile, so no task receives all pairs of a large story; without any, AQE drops that branch.
     """
     large = (
         (df if source is None else source).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > tile)
         .select(*keys, F.ceil(F.col("_n") / tile).cast("int").alias("_tiles"))
     )
-    if large.isEmpty():
-        rows = df.select(*keys, F.col(name).alias("a"), F.struct(*carry).alias("l"))
-        joined = rows.join(rows.withColumnsRenamed({"a": "b", "l": "r"}), keys).filter(F.col("a") < F.col("b"))
-        return joined.select(*keys, "a", "b", "l", "r")
-    marked = salted_join(df, large, keys, F.col(name), how="left")
-    tiles = F.coalesce(F.col("_tiles"), F.lit(1))
+    rows = df.select(*keys, F.col(name).alias("a"), F.struct(*carry).alias("l"))
+    few = rows.join(large.select(*keys), keys, "left_anti")
+    joined = few.join(few.withColumnsRenamed({"a": "b", "l": "r"}), keys).filter(F.col("a") < F.col("b"))
+    return joined.select(*keys, "a", "b", "l", "r").unionByName(_tiled_pairs(rows.join(large, keys), keys))
+
+
+def _tiled_pairs(marked: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of the rows (keys, a, l, _tiles) of large stories, tile by tile."""
     side = marked.select(
-        *keys, F.col(name).alias("_name"), F.struct(*carry).alias("_row"), tiles.alias("_tiles"),
-        F.pmod(F.xxhash64(name), tiles).cast("int").alias("_tile"),
+        *keys, F.col("a").alias("_name"), F.col("l").alias("_row"), "_tiles", F.pmod(F.xxhash64("a"), F.col("_tiles")).cast("int").alias("_tile")
     )
     left = side.select(
         *keys, F.col("_name").alias("_ln"), F.col("_row").alias("_lr"), F.col("_tile").alias("_ti"),
