@@ -1,6 +1,7 @@
 """Missing values, null groups, ties and sizes that once changed results."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,18 @@ def test_row_index_orders_nulls_text_and_empty_tables(spark):
     want = sorted(data, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1]))
     assert [(r.k, r._range) for r in rows] == want and [r.row_index for r in rows] == list(range(1, len(data) + 1))
     assert row_index(spark.createDataFrame([], "k string"), ["k"]).collect() == []
+
+
+def test_density_equals_the_sum_of_all_kernels(spark):
+    rng = random.Random(9)
+    samples = {"normal": [rng.gauss(3, 2) for _ in range(400)], "far": [rng.random() for _ in range(300)] + [1e6], "ties": [1.0] * 50 + [2.0] * 3, None: [0.0, 1.0]}
+    rows = [(k, v) for k, vs in samples.items() for v in vs]
+    found = stats.density(spark.createDataFrame(rows, "feature string, value double"), ["feature"]).collect()
+    assert len(found) == 200 * len(samples)
+    for k, vs in samples.items():
+        n, mean = len(vs), sum(vs) / len(vs)
+        bw = n**-0.2 * math.sqrt(sum((v - mean) ** 2 for v in vs) / (n - 1))
+        height = 1 / (bw * math.sqrt(2 * math.pi))
+        for r in (r for r in found if r.feature == k):
+            want = sum(math.exp(-0.5 * ((r.x - v) / bw) ** 2) for v in vs) / n * height
+            assert abs(r.density - want) < 1e-9 * height
