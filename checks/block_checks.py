@@ -12,7 +12,7 @@ from checks.registry import RX_WS, check, sql_strip, table, with_
 from quillgauge.operators import blocks as bl
 from quillgauge.operators import code_metrics as cm
 from quillgauge.session import shared_folder
-from quillgauge.sources import readers, writers
+from quillgauge.sources import assets, readers, writers
 from quillgauge.streaming import prompts as streaming
 
 CELLS = ("cells", views.V_CELLS)
@@ -142,6 +142,19 @@ def asset_names(spark, sf):
     return bl.asset_names(paths, skip=("Brand#12",)).select("folder", "file")
 
 
+@check(
+    "src7_listed_assets",
+    "select distinct concat('folder=', p_brand) as folder, 'part-' as file from part where p_brand <> 'Brand#12'",
+)
+def listed_assets(spark, sf):
+    """A folder of files for each brand, written from the table and listed again."""
+    root = f"{shared_folder(spark)}/assets-{uuid.uuid4().hex}"
+    parts = table(spark, sf, "part").select(F.translate("p_brand", "#", "-").alias("folder"), F.col("p_name").alias("value"))
+    parts.repartition("folder").write.partitionBy("folder").text(root)
+    found = assets.list_assets(spark, root, extensions=("txt",), skip=("folder=Brand-12",))
+    return found.select(F.translate("folder", "-", "#").alias("folder"), F.substring("file", 1, 5).alias("file"))
+
+
 # --- readers ---------------------------------------------------------------------------
 
 
@@ -181,8 +194,14 @@ def invalid_range(spark, sf):
     "select 'l_discount' as feature, l_discount::double as value from lineitem union all select 'l_tax', l_tax::double from lineitem",
 )
 def suffix_features(spark, sf):
-    df = table(spark, sf, "lineitem")
-    return readers.to_features(df, readers.select_suffixes(df, ["_discount", "_tax", "_absent"]))
+    """Rules over a report folder that holds the table as CSV; files and columns that are not there are skipped."""
+    folder = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
+    table(spark, sf, "lineitem").write.option("header", True).csv(f"{folder}/lines.csv")
+    rules = {"statistics": [
+        {"file": "lines.csv", "columns": {"include": ["_discount", "_tax", "_absent"]}},
+        {"file": "absent.csv", "columns": {"include": ["_tax"]}},
+    ]}
+    return readers.features_by_rules(spark, folder, rules)["lines.csv"]
 
 
 SOURCES = [f"src{i}" for i in range(20)]

@@ -33,10 +33,11 @@ from (select v.*, pv.pe, sqrt({_dot('pv.pe', 'pv.pe')}) * sqrt({_dot('v.embeddin
 
 
 def _vector_rows(spark, sf):
-    """Each vector with the text of one of a hundred diagrams."""
-    number = "(story_id * 6 + cast(substring(variant, 4) as int)) % 100"
-    diagrams = views.diagrams(spark, sf).filter("story_id < 100").selectExpr("story_id as _d", "code")
-    rows = views.vectors(spark, sf).withColumn("_d", F.expr(number)).join(diagrams, "_d").drop("_d")
+    """Each vector with the text of one diagram: vectors go round all of them."""
+    all_diagrams = table(spark, sf, "documents").agg(F.count(F.lit(1))).scalar()
+    diagrams = views.diagrams(spark, sf).selectExpr("story_id as _d", "code")
+    number = F.expr("story_id * 6 + cast(substring(variant, 4) as int)") % all_diagrams
+    rows = views.vectors(spark, sf).withColumn("_d", number).join(diagrams, "_d").drop("_d")
     prompts = table(spark, sf, "embeddings").filter("vec_id % 6 = 0").selectExpr(
         "vec_id div 6 as story_id", "'prompt' as prompt", "embedding as pe"
     )
@@ -61,7 +62,7 @@ def quality(spark, sf):
 @check(
     "cor3_match_rate",
     with_(VEC, PV, COS, D, select=f"select c.story_id, c.variant, {sql_py_round(f's * ({QUALITY})', 4)} as match_rate from cosine c "
-          "join d on d.story_id = (c.story_id * 6 + substr(c.variant, 4)::int) % 100"),
+          "join d on d.story_id = (c.story_id * 6 + substr(c.variant, 4)::int) % (select count(*) from documents)"),
 )
 def match_rate(spark, sf):
     return _vector_rows(spark, sf).select("story_id", "variant", "match_rate")
