@@ -15,7 +15,6 @@ again, so no pair is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -62,7 +61,6 @@ def set_nodes(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix((total[ends] - total[ends - sizes]) + mix(sizes.astype(np.uint64)))
 
 
-@lru_cache(maxsize=None)
 def bands(top: int) -> list[int]:
     """Upper ends (exclusive) of the size bands up to ``top``."""
     out = [2]

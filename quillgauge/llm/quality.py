@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from quillgauge.llm.arrays import Texts, distinct_per_text, mix, running, slices
 from quillgauge.session import materialize
@@ -75,18 +75,23 @@ def with_counts(docs: DataFrame, into: str, text_col: str = "text", keep: list[s
     A null text counts as empty. ``keep`` names the columns that stay; all by default.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != into]
+    sent = [F.col(f"`{c}`") for c in keep]
+    # a text that stays is sent to Python once
+    at = keep.index(text_col) if text_col in keep and isinstance(docs.schema[text_col].dataType, StringType) else len(keep)
+    if at == len(keep):
+        sent.append(F.col(text_col).cast("string").alias("_text_"))
     struct = pa.struct([(c, pa.int64()) for c in COUNTS])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in slices(batch.column(batch.num_columns - 1)):
+            for texts in slices(batch.column(at)):
                 counts = text_counts(texts)
-                columns = [batch.column(i).slice(texts.first, len(texts)) for i in range(batch.num_columns - 1)]
+                columns = [batch.column(i).slice(texts.first, len(texts)) for i in range(len(keep))]
                 counted = pa.StructArray.from_arrays([pa.array(counts[c], pa.int64()) for c in COUNTS], fields=list(struct))
                 yield pa.RecordBatch.from_arrays([*columns, counted], names=[*keep, into])
 
     schema = StructType([docs.schema[c] for c in keep]).add(into, StructType.fromDDL(", ".join(f"{c} long" for c in COUNTS)))
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text_")).mapInArrow(count, schema)
+    return docs.select(*sent).mapInArrow(count, schema)
 
 
 def base_failed(q: Column) -> Column:
