@@ -6,6 +6,7 @@ Small numpy helpers that run inside Spark tasks. A word is a maximal run of byte
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -53,6 +54,15 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def release_memory() -> None:
+    """Give what numpy and Arrow have freed back to the system: a Python worker lives on beside the
+    JVM between tasks and stages, and keeps some 200 MB otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def running(x: np.ndarray) -> np.ndarray:
     """Sums of the first 0, 1, ... values."""
     out = np.zeros(len(x) + 1, np.uint64 if x.dtype == np.uint64 else np.int64)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgauge.llm.arrays import Texts, distinct_per_text, mix, mix_one, slices, whole_hashes
+from quillgauge.llm.arrays import Texts, distinct_per_text, mix, mix_one, release_memory, slices, whole_hashes
 from quillgauge.llm.components import components
 from quillgauge.llm.files import partition_number, stored
 from quillgauge.session import materialize
@@ -167,6 +167,7 @@ def _named(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(texts.first, len(texts)), pa.array(sizes, pa.int64()), nodes], names=["id", "n_shingles", "node"]
                 )
+            release_memory()
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return _texts(docs, id_col, text_col).mapInArrow(name, f"id {id_type}, n_shingles long, node long")
@@ -214,6 +215,7 @@ def _shared_signatures(docs: DataFrame, words: int, percent: int, id_col: str, t
                     [_long(np.concatenate([signature, nodes])), pa.array(np.concatenate([mine, numbers])), pa.array(np.concatenate([other, -2 - sure]))],
                     names=["key", "number", "other"],
                 )
+            release_memory()
 
     rows = _texts(docs, id_col, text_col).select("text").mapInArrow(sign, "key long, number long, other long")
     before = F.lag("number").over(Window.partitionBy("key", "other").orderBy("number"))
@@ -239,6 +241,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col:
                 ends = np.cumsum(sizes)
                 packed = [keys[ends[i] - sizes[i] : ends[i]].tobytes() for i in right.tolist()]
                 yield pa.RecordBatch.from_arrays([_long(nodes[right]), pa.array(packed, pa.binary())], names=["node", "shingles"])
+            release_memory()
 
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     picked = _texts(docs, id_col, text_col).join(F.broadcast(wanted) if few else wanted, "id").select("text", "node")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from quillgauge.llm.arrays import Texts, distinct_per_text, mix, running, slices
+from quillgauge.llm.arrays import Texts, distinct_per_text, mix, release_memory, running, slices
 from quillgauge.session import materialize
 
 REPEAT_WINDOW = 8
@@ -89,6 +89,7 @@ def with_counts(docs: DataFrame, into: str, text_col: str = "text", keep: list[s
                 columns = [batch.column(i).slice(texts.first, len(texts)) for i in range(len(keep))]
                 counted = pa.StructArray.from_arrays([pa.array(counts[c], pa.int64()) for c in COUNTS], fields=list(struct))
                 yield pa.RecordBatch.from_arrays([*columns, counted], names=[*keep, into])
+            release_memory()
 
     schema = StructType([docs.schema[c] for c in keep]).add(into, StructType.fromDDL(", ".join(f"{c} long" for c in COUNTS)))
     return docs.select(*sent).mapInArrow(count, schema)
