@@ -9,6 +9,21 @@ from quillgauge.session import materialize
 
 #: Rows of a table that is broadcast only after it was counted.
 BROADCAST_ROWS = 100_000
+#: Bytes of the strings of such a table, beside which the rest of a row is small.
+BROADCAST_BYTES = 16 << 20
+
+
+def is_small(table: DataFrame) -> bool:
+    """Whether a stored table may be broadcast, by its counted rows and the counted bytes of its strings."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in table.dtypes if kind == "string"]
+    size = sum(texts, F.lit(0)).cast("long")
+    rows, held = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and held <= BROADCAST_BYTES
+
+
+def if_small(table: DataFrame) -> DataFrame:
+    """The table, marked for broadcast where it is counted to be small."""
+    return F.broadcast(table) if is_small(table) else table
 
 
 def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -16,10 +16,12 @@ Documents without an entity are left as they are.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgauge.llm.distinct import BROADCAST_ROWS, one_of_each
+from quillgauge.llm.distinct import if_small, is_small, one_of_each
 from quillgauge.session import materialize
 
 #: Kinds in their order, and the patterns (fixed values). What follows a possessive quantifier can
@@ -35,6 +37,7 @@ KINDS = {
 TERM = "term"
 _QUICK = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 NEAR = 80
+BLOCK = 64
 _WORD_BREAK = r"[^\p{L}]+"
 SPAN = "array<struct<start: int, rank: int, end: int, kind: string, value: string>>"
 #: One-sided 90 percent: how far the Wilson interval goes below n(t, e) / n(e).
@@ -45,15 +48,58 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def running(items: str, value: str, merge: str, first: str = "0") -> str:
+    """SQL for (at, x) of every item x, in order: ``at`` merges ``first`` and ``value`` of the items before.
+
+    ``value`` is SQL over x, ``merge`` over a and v. Items are walked in blocks of 64 and those in blocks of
+    64, so an array that grows by a copy stays short and the whole is linear but for one copy in 4,096 items.
+    """
+
+    def blocks(of: str, summed: str) -> str:
+        total = f"aggregate(x, {first}, (a, y) -> transform(array({summed}), v -> {merge})[0])"
+        cut = f"transform(sequence(0, (size(r) - 1) div {BLOCK}), i -> slice(r, i * {BLOCK} + 1, {BLOCK}))"
+        cut = f"if(size(r) = 0, slice(array(r), 1, 0), {cut})"
+        return f"transform(array({of}), r -> transform({cut}, x -> named_struct('rows', x, 'value', {total})))[0]"
+
+    def walk(of: str, at: str, summed: str, row: str) -> str:
+        none = f"transform(slice(w, 1, 0), y -> named_struct('at', {first}, 'x', {row}))"
+        merged = f"transform(array({summed}), v -> transform(array(s.at), a -> {merge})[0])[0]"
+        step = f"named_struct('at', {merged}, 'out', concat(s.out, array(named_struct('at', s.at, 'x', {row}))))"
+        return f"transform(array({of}), w -> aggregate(w, named_struct('at', {at}, 'out', {none}), (s, y) -> {step}, s -> s.out))[0]"
+
+    own = re.sub(r"\bx\b", "y", value)
+    inner = blocks(items, own)
+    top = walk(blocks(inner, "y.value"), first, "y.value", "y.rows")
+    middle = f"flatten(transform({top}, o -> {walk('o.x', 'o.at', 'y.value', 'y.rows')}))"
+    return f"flatten(transform({middle}, o -> {walk('o.x', 'o.at', own, 'y')}))"
+
+
 def located(text: str, pattern: str, kind: str, rank: int) -> str:
     """SQL for all matches with their places: what lies between matches gives the lengths before."""
-    return f"""aggregate(
-        zip_with(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0), (g, f) -> named_struct('gaps', g, 'found', f)),
-        named_struct('at', 0, 'out', cast(array() as {SPAN})),
-        (s, x) -> named_struct('at', s.at + length(x.gaps) + coalesce(length(x.found), 0), 'out',
-            if(x.found is null, s.out, concat(s.out, array(named_struct('start', s.at + length(x.gaps), 'rank', {rank},
-                'end', s.at + length(x.gaps) + length(x.found), 'kind', '{kind}', 'value', x.found))))),
-        s -> s.out)"""
+    items = f"""zip_with(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0), (g, f) ->
+        named_struct('gap', length(g), 'step', length(g) + coalesce(length(f), 0), 'value', f))"""
+    return f"""transform(filter({running(items, 'x.step', 'a + v')}, m -> m.x.value is not null), m -> named_struct(
+        'start', m.at + m.x.gap, 'rank', {rank}, 'end', m.at + m.x.step, 'kind', '{kind}', 'value', m.x.value))"""
+
+
+def _chunks(text: str) -> str:
+    """SQL for the text in pieces of ``NEAR`` code points: places in them cost the same anywhere in the text."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{NEAR}}}', 0)"
+
+
+def _piece(start: str, end: str) -> str:
+    """SQL for the code points [start, end) of the text whose chunks are ``c``."""
+    n = NEAR
+    return f"""if({end} <= {start}, '', if({start} div {n} = ({end} - 1) div {n},
+        substring(get(c, {start} div {n}), {start} % {n} + 1, {end} - {start}),
+        concat(substring(get(c, {start} div {n}), {start} % {n} + 1),
+            array_join(slice(c, {start} div {n} + 2, ({end} - 1) div {n} - {start} div {n} - 1), ''),
+            substring(get(c, ({end} - 1) div {n}), 1, ({end} - 1) % {n} + 1))))"""
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``value``, computed once, under ``name``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
 def _valid(kind: str) -> str:
@@ -90,9 +136,12 @@ def joined(spans: str) -> Column:
 
 def _near_terms() -> Column:
     """(entity, terms near it) of every span, from the text with the base spans blanked out."""
-    around = "regexp_replace(concat(substring(_body, greatest(1, s.start + 1 - {n}), least(s.start, {n})), ' ', substring(_body, s.end + 1, {n})), '[0-9@]+[^ ]*|[^ ]*@[^ ]*', ' ')".format(n=NEAR)
+    before = _piece("greatest(0, s.start - {0})".format(NEAR), "s.start")
+    after = _piece("s.end", "least(n, s.end + {0})".format(NEAR))
+    around = f"regexp_replace(concat({before}, ' ', {after}), '[0-9@]+[^ ]*|[^ ]*@[^ ]*', ' ')"
     terms = f"array_distinct(filter(split(lower({around}), {_literal(_WORD_BREAK)}), t -> length(t) >= 3))"
-    return F.expr(f"transform(_base, s -> struct(lower(concat(s.kind, ':', s.value)) as entity, {terms} as terms))")
+    found = f"transform(_base, s -> named_struct('entity', lower(concat(s.kind, ':', s.value)), 'terms', {terms}))"
+    return F.expr(f"transform(array(named_struct('c', {_chunks('_body')}, 'n', length(_body))), k -> {_let('c', 'k.c', _let('n', 'k.n', found))})[0]")
 
 
 def lower_bound(hits: Column, of: Column, z: float = SURE) -> Column:
@@ -102,7 +151,7 @@ def lower_bound(hits: Column, of: Column, z: float = SURE) -> Column:
 
 
 def disclosing_terms(found: DataFrame, docs_words: DataFrame, share: float) -> DataFrame:
-    """(entity, terms): terms that disclose an entity, by counts over all distinct texts.
+    """(entity, term): terms that disclose an entity, by counts over all distinct texts.
 
     ``found`` has the distinct texts with a base span (_key, _body, _base), ``docs_words`` the
     distinct texts of all documents (_body), so that all counts are of the same population.
@@ -112,14 +161,12 @@ def disclosing_terms(found: DataFrame, docs_words: DataFrame, share: float) -> D
     pairs = F.expr("array_distinct(flatten(transform(_near, x -> transform(x.terms, t -> struct(x.entity as entity, t as term)))))")
     together = near.select(F.explode(pairs).alias("x")).groupBy("x.entity", "x.term").agg(F.count(F.lit(1)).alias("n_te"))
     n_entity = materialize(n_entity)
-    few_entities = n_entity.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    together = materialize(together.join(F.broadcast(n_entity) if few_entities else n_entity, "entity"))
+    together = materialize(together.join(if_small(n_entity), "entity"))
     candidates = materialize(together.select("term").distinct())
-    few = candidates.limit(BROADCAST_ROWS + 1).count()
-    if few == 0:
-        return together.groupBy("entity").agg(F.collect_list("term").alias("terms"))
+    if candidates.isEmpty():
+        return together.select("entity", "term")
     words = docs_words.select(F.explode(F.array_distinct(F.split(F.lower("_body"), _WORD_BREAK))).alias("term"))
-    if few <= BROADCAST_ROWS:
+    if is_small(candidates):
         n_term = words.join(F.broadcast(candidates), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     else:
         n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(candidates, "term")
@@ -127,7 +174,7 @@ def disclosing_terms(found: DataFrame, docs_words: DataFrame, share: float) -> D
     scored = together.join(n_term, "term").withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one")
     gain = F.log(F.col("n_all") * lower_bound(F.col("n_te"), F.col("n_e")) / F.col("n_t"))
     own = F.log(F.col("n_all") / F.col("n_e"))
-    return scored.filter((own > 0) & (gain >= share * own)).groupBy("entity").agg(F.collect_list("term").alias("terms"))
+    return scored.filter((own > 0) & (gain >= share * own)).select("entity", "term")
 
 
 def private_spans(
@@ -152,28 +199,33 @@ def private_spans(
     if terms.isEmpty():
         return rows.select(*keep, F.col("_base").alias(into))
     mentions = evidence_rows.select("_key", F.explode(F.expr("array_distinct(transform(_base, s -> lower(concat(s.kind, ':', s.value))))")).alias("entity"))
-    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    told = (
-        mentions.join(F.broadcast(terms) if few else terms, "entity").groupBy("_key")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("_terms"))
-    )
-    pattern = "concat('(?iu)(?<!\\\\p{L})(?:', array_join(_terms, '|'), ')(?!\\\\p{L})')"
-    more = located("_body", pattern, TERM, len(KINDS))
-    outside = f"filter({more}, x -> not exists(_base, b -> b.start < x.end and x.start < b.end))"
-    told = materialize(told)
-    few_told = told.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    some = with_some.withColumn("_key", F.xxhash64("_body")).join(F.broadcast(told) if few_told else told, "_key", "left")
-    spans = F.expr(f"if(_terms is null, _base, array_sort(concat(_base, {outside})))")
+    wanted = mentions.join(terms, "entity").select("_key", "term").distinct()
+    # words of the texts that mention an entity with terms, each with its place
+    places = F.explode(F.expr(located("_body", _literal(r"\p{L}{3,}+"), TERM, len(KINDS)))).alias("place")
+    words = evidence_rows.select("_key", places).withColumn("term", F.lower("place.value"))
+    told = words.join(wanted, ["_key", "term"]).groupBy("_key").agg(F.collect_list("place").alias("_more"))
+    told = materialize(evidence_rows.select("_key", "_base").join(told, "_key").select("_key", F.expr(_outside("_base", "_more")).alias("_more")))
+    some = with_some.withColumn("_key", F.xxhash64("_body")).join(told, "_key", "left")
+    spans = F.expr("if(_more is null, _base, array_sort(concat(_base, _more)))")
     none = rows.filter(F.size("_base") == 0)
     return some.select(*keep, spans.alias(into)).union(none.select(*keep, F.col("_base").alias(into)))
 
 
+def _outside(base: str, more: str) -> str:
+    """SQL for the spans of ``more`` that no span of ``base`` overlaps, by the furthest end before and the next start after."""
+    after = running(f"reverse(array_sort(concat({base}, {more})))", f"if(x.rank < {len(KINDS)}, x.start, 2147483647)", "least(a, v)", "2147483647")
+    before = running(f"transform(reverse({after}), y -> named_struct('next', y.at, 's', y.x))", f"if(x.s.rank < {len(KINDS)}, x.s.end, 0)", "greatest(a, v)")
+    free = f"m -> m.x.s.rank = {len(KINDS)} and m.at <= m.x.s.start and m.x.next >= m.x.s.end"
+    return f"transform(filter({before}, {free}), m -> m.x.s)"
+
+
 def _generalised(text: str, spans: str) -> str:
     """SQL for a text with its spans replaced; overlapping spans are one and its first kind stands for it."""
-    return f"""aggregate({spans}, named_struct('at', 0, 'out', ''),
-        (s, x) -> if(x.end <= s.at, s, named_struct('at', x.end, 'out', concat(s.out, substring({text}, s.at + 1, greatest(x.start - s.at, 0)),
-            if(x.start < s.at or x.kind = '{TERM}', '', concat('[', upper(x.kind), ']'))))),
-        s -> concat(s.out, substring({text}, s.at + 1)))"""
+    pieces = f"""transform(filter({running(spans, 'x.end', 'greatest(a, v)')}, m -> m.x.end > m.at), m -> concat(
+        {_piece('m.at', 'm.x.start')}, if(m.x.start < m.at or m.x.kind = '{TERM}', '', concat('[', upper(m.x.kind), ']'))))"""
+    last = f"array_max(transform({spans}, x -> x.end))"
+    rest = _let("z", last, _let("n", f"length({text})", _piece("z", "n")))
+    return _let("c", _chunks(text), f"concat(array_join({pieces}, ''), {rest})")
 
 
 def sanitised(docs: DataFrame, text_col: str = "text", share: float = 0.8) -> DataFrame:

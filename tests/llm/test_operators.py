@@ -278,6 +278,37 @@ def test_base_spans_at_random(spark):
     assert [got[i] for i in range(len(texts))] == [brute.base_spans(t) for t in texts]
 
 
+def test_spans_of_a_text_with_very_many(spark):
+    """Work and result stay in proportion: 60,000 addresses in one text, then replaced."""
+    text = "".join(f"h{i % 7}é 10.0.{i % 256}.{i // 256} " for i in range(60_000))
+    row = spark.createDataFrame([(text,)], "text string").withColumn("spans", pii.base_spans("text"))
+    got = row.select("text", "spans", F.expr(pii._generalised("text", "spans")).alias("clean")).first()
+    assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in got.spans) == brute.base_spans(text)
+    assert got.clean == "".join(f"h{i % 7}é [IP] " for i in range(60_000))
+
+
+def test_span_arithmetic_at_random(spark):
+    """Replacing, and terms outside base spans, against plain Python, over and at the block borders."""
+    rng = random.Random(21)
+    rows = []
+    for n in (0, 1, 2, 63, 64, 65, 200, 4097):
+        text = "".join(rng.choice("abé🙂 \n") for _ in range(3 * n + 5))
+        spans = sorted((a, rng.randint(0, 4), a + rng.randint(1, 9)) for a in (rng.randint(0, len(text) - 1) for _ in range(n)))
+        kinds = [*pii.KINDS, pii.TERM]
+        rows.append((n, text, [(a, k, min(e, len(text)), kinds[k], "") for a, k, e in spans]))
+    table = spark.createDataFrame(rows, f"n int, text string, spans {pii.SPAN}").withColumn("spans", F.array_sort("spans"))
+    base, more = (f"filter(spans, s -> s.kind {sign} 'term')" for sign in ("<>", "="))
+    table = table.select("*", F.expr(base).alias("base"), F.expr(more).alias("more"))
+    for r in table.select("*", F.expr(pii._generalised("text", "spans")).alias("clean"), F.expr(pii._outside("base", "more")).alias("free")).collect():
+        at, out = 0, ""
+        for s in r.spans:
+            if s.end > at:
+                out += r.text[at : s.start] + ("" if s.start < at or s.kind == "term" else f"[{s.kind.upper()}]")
+                at = s.end
+        assert r.clean == out + r.text[at:]
+        assert r.free == [m for m in r.more if not any(b.start < m.end and m.start < b.end for b in r.base)]
+
+
 def test_disclosing_terms(spark):
     rng = random.Random(9)
     rows = [(i, f"{sentence(rng, 20)} Kowalski {rng.choice(['wrote', 'said', 'sent'])} {sentence(rng, 3)} jan@mail.example the {sentence(rng, 9)}") for i in range(6)]
