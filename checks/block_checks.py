@@ -9,8 +9,10 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from checks import code_checks, prompt_checks, views
 from checks.registry import RX_WS, check, sql_strip, table, with_
+from quillgauge.functions.numbers import np_round
 from quillgauge.operators import blocks as bl
 from quillgauge.operators import code_metrics as cm
+from quillgauge.plans import reports
 from quillgauge.session import shared_folder
 from quillgauge.sources import assets, readers, writers
 from quillgauge.streaming import prompts as streaming
@@ -281,3 +283,42 @@ def distinct_sets(spark, sf):
         "story_id", F.size("a").cast("long").alias("distinct_a"), F.size(F.array_intersect("a", "b")).cast("long").alias("shared"),
         F.size(F.array_union("a", "b")).cast("long").alias("united"),
     )
+
+
+# --- whole reports ---------------------------------------------------------------------
+
+
+@check(
+    "plan_diagram_report",
+    with_(CELLS, TEXT, B, SY, select="select variant as column_name, count(*) as diagrams, "
+          + ", ".join(f"count(*) filter (where syntax = '{kind}') as {kind.replace('-', '_')}" for kind in bl.SYNTAX_TYPES)
+          + ", count(distinct concat(story_id, ':', diagram_index)) as files, (select count(*) from tx) as total_cells, (select count(*) from tx where cell <> '') as cells_with_content "
+          "from sy group by variant"),
+)
+def diagram_report(spark, sf):
+    paths = reports.diagram_report(_sheet(spark, sf), _folder(spark, "diagrams"))
+    files = spark.read.parquet(paths["manifest"]).groupBy("column_name").agg(F.count_distinct("file_name").alias("files"))
+    counts = spark.read.parquet(paths["counts"]).select(F.struct("total_cells", "cells_with_content").alias("c")).scalar()
+    return spark.read.parquet(paths["columns"]).join(files, "column_name").withColumns(
+        {"total_cells": counts["total_cells"], "cells_with_content": counts["cells_with_content"]}
+    )
+
+
+@check(
+    "plan_analysis_report",
+    "select 'customers.csv' as file, 'ACC' as grp, count(*) as n, round_even(avg(c_acctbal), 6) + 0.0 as average from customer "
+    "union all select 'customers.csv', 'NAT', count(*), round_even(avg(c_nationkey), 6) + 0.0 from customer "
+    "union all select 'parts.csv', 'ABA', 2 * count(*), round_even((avg(p_size) + avg(p_retailprice)) / 2, 6) + 0.0 from part",
+)
+def analysis_report(spark, sf):
+    root = _folder(spark, "analysis")
+    parts = table(spark, sf, "part").selectExpr("p_partkey as row_id", "p_size as ABA001_score", "p_retailprice as ABA002_score")
+    customers = table(spark, sf, "customer").selectExpr("c_acctbal as prompt_ACC_match_rate", "c_nationkey as prompt_NAT_match_rate")
+    writers.write_report(parts, f"{root}/parts.csv")
+    writers.write_report(customers, f"{root}/customers.csv")
+    rules = {"statistics": [
+        {"file": "parts.csv", "columns": {"include": ["_score"]}}, {"file": "customers.csv", "columns": {"include": ["_match_rate"]}},
+        {"file": "absent.csv", "columns": {"include": ["_score"]}},
+    ]}
+    found = reports.analysis_report(spark, root, rules, ("customers.csv",))
+    return found.select("file", "grp", "n", np_round(F.col("average"), 6).alias("average"))

@@ -173,6 +173,29 @@ def bm25(spark, sf):
     return _similarity(spark, sf, "bm25").select("story_id", "a", "b", "bm25")
 
 
+# The Okapi formula with the two texts as the corpus, token by token.
+_PAIR_OKAPI = (
+    "ok",
+    """select *, list_sum(list_transform(x, lambda t: case when list_contains(y, t)
+   then idf * len(list_filter(y, lambda u: u = t)) * 2.5::double / (len(list_filter(y, lambda u: u = t)) + 1.5::double * (0.25::double + 0.75::double * len(y) / mean)) else 0::double end)) as s12,
+ list_sum(list_transform(y, lambda t: case when list_contains(x, t)
+   then idf * len(list_filter(x, lambda u: u = t)) * 2.5::double / (len(list_filter(x, lambda u: u = t)) + 1.5::double * (0.25::double + 0.75::double * len(x) / mean)) else 0::double end)) as s21
+from (select p.story_id, p.a, p.b, x.tokens as x, y.tokens as y, (len(x.tokens) + len(y.tokens)) / 2::double as mean,
+  0.25::double * (ln(0.5::double) - ln(2.5::double)) * len(list_intersect(list_distinct(x.tokens), list_distinct(y.tokens)))
+    / greatest(len(list_distinct(x.tokens || y.tokens)), 1) as idf
+  from p join tok x on x.story_id = p.story_id and x.variant = p.a join tok y on y.story_id = p.story_id and y.variant = p.b)""",
+)
+
+
+@check(
+    "sim5_bm25_of_pair",
+    with_(V, PAIRS, TOK, _PAIR_OKAPI, select="select story_id, a, b, " + _ONE_EMPTY.format(
+        a="len(x)", b="len(y)", x="greatest(0::double, least(1::double, (s12 + s21) / (2 * greatest(s12, s21, 1e-9::double))))") + " as bm25 from ok"),
+)
+def bm25_of_pair(spark, sf):
+    return pz.pair_similarity(views.variants(spark, sf), metrics=("bm25",), bm25_corpus="pair").select("story_id", "a", "b", "bm25")
+
+
 def _dot(x, y):
     return f"list_sum(list_transform(list_zip({x}, {y}), lambda z: z[1]::double * z[2]::double))"
 

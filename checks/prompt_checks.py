@@ -216,3 +216,19 @@ def standard_prompt(spark, sf):
     )
     clean = marked.withColumn("prompt", pr.strip(F.col("prompt")))
     return pr.standard_prompt(pr.analyze(clean), label="label").select("row_number", "standard_prompt")
+
+
+@check(
+    "prm9_standard_table",
+    with_(TB, W, A, select=f"""select doc_id + 1 as row_number, prompt as original_prompt, {_STANDARD} as ai_enhanced_activity_prompt,
+  '{pr.MODEL_METHOD}' as ai_analysis_method, array_to_string(entities[1:5], ', ') as detected_entities,
+  array_to_string(verbs[1:3], ', ') as detected_actions, length(prompt) as character_count, 'success' as processing_status, true as stamped
+from (select a.*, {_LABEL} as label from a left join labels l using (doc_id)) where not ({_BAD})"""),
+)
+def standard_table(spark, sf):
+    marked = pr.with_label(
+        _broken(spark, sf), _labels(spark, sf).selectExpr("doc_id + 1 as row_number", "quality_label"), "row_number", "quality_label"
+    )
+    # the stamp is the time of the run: checked for its form
+    form = F.rlike("processing_timestamp", F.lit(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"))
+    return pr.standard_prompt_table(marked, label="label").withColumn("stamped", form).drop("processing_timestamp")

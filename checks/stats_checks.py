@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import pair_checks, views
@@ -11,6 +13,8 @@ from quillgauge.functions.numbers import Z_975, np_round
 from quillgauge.operators import pairs as pz
 from quillgauge.operators import ranking, selection, stats
 from quillgauge.operators.positions import quantiles, row_index
+from quillgauge.plans import reports
+from quillgauge.session import shared_folder
 
 FEA = ("fea", views.V_FEATURES)
 EV = ("ev", "select event_type as metric, value from events")
@@ -813,3 +817,17 @@ def strata_union(spark, sf):
         F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean")
     )
     return rounded(grouped, ["stratum", "n"], ["mean"])
+
+
+@check(
+    "plan_selected_prompts",
+    with_(SC, STRATA, SEL, select="select sel.*, n_selected, n_population, " + r6(selection_mean="sm", selection_std="ss", population_std="ps")
+          + ", abs(pm - sm) < 0.1 * ps as representative from sel, (select count(*) as n_selected, avg(score) as sm, stddev_samp(score) as ss from sel), "
+          "(select count(*) as n_population, avg(score) as pm, stddev_samp(score) as ps from sc)"),
+)
+def selected_prompts(spark, sf):
+    paths = reports.selection_report(views.scores(spark, sf), f"{shared_folder(spark)}/selection-{uuid.uuid4().hex}")
+    facts = spark.read.parquet(paths["selection_check"]).select(F.struct("*").alias("c")).scalar()
+    names = ["n_selected", "n_population", "selection_mean", "selection_std", "population_std", "representative"]
+    rows = spark.read.parquet(paths["selected_prompts"]).withColumns({n: facts[n] for n in names})
+    return rounded(rows, ["id", "score", "stratum", "n_selected", "n_population", "representative"], names[2:5])

@@ -9,6 +9,7 @@ from quillgauge.functions.text import WORD, WS, fence, let, strip
 from quillgauge.operators.skew import even_join
 
 SEPARATOR = "/"
+SYNTAX_TYPES = ("activity-legacy", "activity-modern", "unknown")
 
 
 def blocks(cell: Column) -> Column:

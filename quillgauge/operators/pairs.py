@@ -206,6 +206,15 @@ def bm25_similarity(left: Column, right: Column, left_size: Column, right_size:
     return _when_empty(left_size, right_size, let(matched(left, right), combine))
 
 
+def bm25_of_pair(left_size: Column, right_size: Column) -> Column:
+    """Two-way BM25 whose corpus is just the pair: 1 when both texts are empty, else 0.
+
+    A token of one of two texts has the idf ln(1.5 / 1.5) = 0, a shared one a negative idf, for which
+    a quarter of the mean idf stands, negative too. No score is above 0, so the clamp gives 0.
+    """
+    return _when_empty(left_size, right_size, F.lit(0.0))
+
+
 def mean_of(components: list[Column]) -> Column:
     """Mean of the components that are not null."""
     present = F.filter(F.array(*components), lambda v: v.isNotNull())
@@ -228,11 +237,15 @@ def pair_similarity(
     vector: str | None = None,
     code: str = "code",
     limit: int | None = None,
+    bm25_corpus: str = "all",
 ) -> DataFrame:
     """Similarity of every pair inside ``within``: the components, their mean and weighted mean.
 
-    Null code counts as empty. ``vector`` names a supplied embedding column.
+    Null code counts as empty. ``vector`` names a supplied embedding column. ``bm25_corpus`` is
+    ``all`` (document frequencies of the whole table) or ``pair`` (of the two texts alone).
     """
+    if bm25_corpus not in ("all", "pair"):
+        raise ValueError(f"bm25_corpus must be 'all' or 'pair', not {bm25_corpus!r}")
     text = F.coalesce(F.col(code), F.lit(""))
     extra = [vector] if vector else []
     base = variants.select("story_id", "model_group", "variant", text.alias("_code"), *extra)
@@ -244,7 +257,7 @@ def pair_similarity(
         )
     ready = fence(base, columns)
     carry = ["model_group", *columns, *extra]
-    if "bm25" in metrics:
+    if "bm25" in metrics and bm25_corpus == "all":
         ids = ["story_id", "variant"]
         # unique on both sides, so the join back has no hot key
         ready = ready.join(bm25_weights(base, ids, "_tokens"), ids, "left").withColumn(
@@ -264,7 +277,9 @@ def pair_similarity(
         values["levenshtein"] = edit_ratio(of("l", "_text"), of("r", "_text"))
     if "tfidf" in metrics:
         values["tfidf"] = tfidf_cosine(of("l", "_terms"), of("r", "_terms"), limit)
-    if "bm25" in metrics:
+    if "bm25" in metrics and bm25_corpus == "pair":
+        values["bm25"] = bm25_of_pair(of("l", "_nt"), of("r", "_nt"))
+    elif "bm25" in metrics:
         values["bm25"] = bm25_similarity(of("l", "_bm25"), of("r", "_bm25"), of("l", "_nt"), of("r", "_nt"))
     if vector:
         values["embedding"] = (vector_cosine(of("l", vector), of("r", vector)) + 1.0) / 2.0

@@ -265,6 +265,26 @@ def standard_prompt(df: DataFrame, text: str = "prompt", label: str | None = Non
     return df.filter(~is_invalid(F.col(text))).withColumn("standard_prompt", built)
 
 
+def standard_prompt_table(df: DataFrame, text: str = "prompt", label: str | None = None) -> DataFrame:
+    """The standard-prompt report: a row for each valid prompt, stamped; invalid ones have no row.
+
+    The other columns of ``df``, such as ``row_number``, come first; they are those of the whole
+    table, so a dropped prompt leaves a gap.
+    """
+    clean = df.withColumn(text, strip(F.coalesce(F.col(text), F.lit("nan")))).filter(~is_invalid(F.col(text)))
+    built = standard_prompt(analyze(clean, text), text, label)
+    return stamp(built.select(
+        *[c for c in df.columns if c not in (text, label)],
+        F.col(text).alias("original_prompt"),
+        F.col("standard_prompt").alias("ai_enhanced_activity_prompt"),
+        F.col("analysis_method").alias("ai_analysis_method"),
+        F.array_join(F.slice("entities", 1, 5), ", ").alias("detected_entities"),
+        F.array_join(F.slice("verbs", 1, 3), ", ").alias("detected_actions"),
+        "character_count",
+        F.lit("success").alias("processing_status"),
+    ))
+
+
 def with_label(df: DataFrame, labels: DataFrame, key: str, label: str, default: str = "NEUTRAL") -> DataFrame:
     """Attach a supplied label per text; texts without one get the default.
 

@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgauge.operators import blocks as bl
 from quillgauge.operators import code_metrics as cm
 from quillgauge.operators import correspondence as co
 from quillgauge.operators import pairs as pz
 from quillgauge.operators import prompts as pr
-from quillgauge.operators import ranking, stats
-from quillgauge.sources.readers import grouped_variants, slice_rows
+from quillgauge.operators import ranking, selection, stats
+from quillgauge.sources.readers import features_by_rules, grouped_variants, slice_rows
 from quillgauge.sources.writers import write_tables
 
 
 def prompt_report(stories: DataFrame, text: str = "prompt") -> dict[str, DataFrame]:
     """Scored prompts, standard prompts and the run counters."""
     scored = pr.stamp(pr.score_prompts(stories, text))
-    clean = stories.withColumn(text, pr.strip(F.coalesce(F.col(text), F.lit("nan"))))
     return {
         "scored_prompts": scored,
-        "standard_prompts": pr.standard_prompt(pr.analyze(clean, text), text),
+        "standard_prompts": pr.standard_prompt_table(stories, text),
         "run_counts": pr.run_counts(stories, text),
     }
 
@@ -106,3 +108,53 @@ def statistics_report(reports: dict[str, DataFrame], prompted: tuple[str, ...] =
         "summary": summary,
         "summary_lines": ranking.summary_lines(summary),
     }
+
+
+def selection_report(
+    scored: DataFrame, root: str, score: str = "score", key: str = "id", samples: int = 9, seed: int = 42
+) -> dict[str, str]:
+    """A stratified sample for human assessment, its summary and its check, below ``root``.
+
+    The sample (key, score, stratum) is written first; summary and check read it back, so the
+    strata are found once. The check compares mean and sample deviation with those of all rows.
+    """
+    spark = scored.sparkSession
+    written = write_tables({"selected_prompts": selection.stratified_sample(scored, score, key, samples, seed)}, root)
+    chosen = spark.read.parquet(written["selected_prompts"])
+    facts = chosen.agg(F.struct(F.count(F.lit(1)).alias("n"), F.stddev_samp(score).alias("std")).alias("s")).scalar()
+    total = scored.agg(F.count(F.lit(1)).alias("n")).scalar()
+    check = selection.representativeness(scored, chosen, score).withColumns(
+        {"selection_std": facts["std"], "n_selected": facts["n"], "n_population": total}
+    )
+    return written | write_tables(
+        {"selection_summary": selection.selection_summary(chosen, score), "selection_check": check}, root
+    )
+
+
+def diagram_report(cells: DataFrame, root: str, folder: str = "jpg") -> dict[str, str]:
+    """The manifest of all diagrams with their target files, its counters and its columns, below ``root``.
+
+    ``cells`` are long cells (sheet, row_index, col_index, column_name, cell). The manifest is the
+    work list of a renderer: every block with syntax, stamp, format and path. The blocks of the cells
+    are found once for it; the column table reads it back.
+    """
+    spark = cells.sparkSession
+    listed = pr.stamp(bl.manifest(cells, folder), "listed_at").withColumn("output_format", F.lit("JPEG"))
+    written = write_tables({"manifest": listed, "counts": bl.cell_counts(cells)}, root)
+    of = {kind: F.count(F.when(F.col("syntax") == kind, 1)).alias(kind.replace("-", "_")) for kind in bl.SYNTAX_TYPES}
+    columns = spark.read.parquet(written["manifest"]).groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("diagrams"), *of.values()
+    )
+    return written | write_tables({"columns": columns}, root)
+
+
+def analysis_report(spark: SparkSession, report_dir: str, rules: dict, prompted: tuple[str, ...] = ()) -> DataFrame | None:
+    """Averages of the columns that the rules name in each report file: (file, grp, n, average).
+
+    ``prompted`` names the prompt-code files. Null when no file has a column that fits.
+    """
+    parts = [
+        long.select(F.lit(file).alias("file"), stats.feature_group(F.col("feature"), file in prompted).alias("grp"), "value")
+        for file, long in features_by_rules(spark, report_dir, rules).items()
+    ]
+    return stats.report_averages(reduce(DataFrame.unionByName, parts), ["file", "grp"]) if parts else None

@@ -129,6 +129,33 @@ def test_pair_similarity_properties(spark):
             assert r[m] is None or 0.0 <= r[m] <= 1.0
 
 
+def test_bm25_with_the_pair_as_corpus(spark):
+    """Against the Okapi formula, counted token by token."""
+    rng = random.Random(5)
+    texts = ["", "", "aa", "aa aa", *[" ".join(rng.choice(["aa", "bb", "cc", "dd", "ee"]) for _ in range(rng.randint(1, 9))) for _ in range(12)]]
+    rows = [(1, "G", f"v{i:02}", t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "story_id long, model_group string, variant string, code string")
+
+    def score(query, doc, idf, mean):
+        return sum(idf[t] * doc.count(t) * 2.5 / (doc.count(t) + 1.5 * (0.25 + 0.75 * len(doc) / mean)) for t in query)
+
+    def okapi(x, y):
+        if not x or not y:
+            return float(not x and not y)
+        idf = {t: math.log(2 - n + 0.5) - math.log(n + 0.5) for t in {*x, *y} for n in [(t in x) + (t in y)]}
+        mean = sum(idf.values()) / len(idf)
+        idf = {t: 0.25 * mean if v < 0 else v for t, v in idf.items()}
+        length = (len(x) + len(y)) / 2
+        forth, back = score(x, y, idf, length), score(y, x, idf, length)
+        return min(1.0, max(0.0, (forth + back) / (2 * max(forth, back, 1e-9))))
+
+    got = pz.pair_similarity(table, metrics=("bm25",), bm25_corpus="pair").collect()
+    assert len(got) == len(texts) * (len(texts) - 1) // 2
+    assert all(r.bm25 == okapi(texts[int(r.a[1:])].split(), texts[int(r.b[1:])].split()) for r in got)
+    with pytest.raises(ValueError):
+        pz.pair_similarity(table, bm25_corpus="other")
+
+
 def _tfidf(a, b, limit):
     def terms(t):
         w = [x for x in t.lower().split() if len(x) > 1]

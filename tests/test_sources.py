@@ -90,6 +90,48 @@ def test_whole_reports(spark, tmp_path):
     assert pytest.approx(1.0) == summary["groups"].agg(F.min("ranking")).first()[0]
 
 
+def test_selection_and_diagram_reports(spark, tmp_path):
+    scored = spark.createDataFrame([(i, float(i % 37)) for i in range(200)] + [(200, None)], "id long, score double")
+    paths = reports.selection_report(scored, str(tmp_path / "selection"))
+    chosen = spark.read.parquet(paths["selected_prompts"]).toPandas()
+    assert chosen.groupby("stratum").size().to_dict() == {"Low": 2, "Medium": 4, "High": 3}
+    summary = {r.stratum: r for r in spark.read.parquet(paths["selection_summary"]).collect()}
+    assert set(summary) == {"Low", "Medium", "High", "TOTAL"} and summary["TOTAL"].n == 9
+    check = spark.read.parquet(paths["selection_check"]).first()
+    assert (check.n_selected, check.n_population) == (9, 201) and check.selection_std == pytest.approx(chosen.score.std())
+    none = reports.selection_report(scored.limit(0), str(tmp_path / "none"))
+    assert spark.read.parquet(none["selected_prompts"]).isEmpty() and spark.read.parquet(none["selection_check"]).first().n_selected == 0
+
+    cell = "@startuml\nstart\n:a;\nstop\n@enduml\ntext\n@startuml\nfork\nend fork\n@enduml"
+    rows = [("s", 1, 1, "m1", cell), ("s", 2, 1, "m1", " "), ("s", 1, 2, "m 2", None), ("s", 2, 2, "m 2", "a -> b")]
+    cells = spark.createDataFrame(rows, "sheet string, row_index int, col_index int, column_name string, cell string")
+    paths = reports.diagram_report(cells, str(tmp_path / "diagrams"))
+    manifest = spark.read.parquet(paths["manifest"]).collect()
+    assert len({r.file_name for r in manifest}) == 3 and {r.output_format for r in manifest} == {"JPEG"}
+    assert {tuple(r) for r in spark.read.parquet(paths["columns"]).collect()} == {("m1", 2, 1, 1, 0), ("m 2", 1, 0, 0, 1)}
+    assert tuple(spark.read.parquet(paths["counts"]).first()) == (4, 2, 3, 2)
+
+
+def test_analysis_report_by_file_and_group(spark, tmp_path):
+    a = spark.createDataFrame([(1, "2", "x"), (3, None, "y")], "GBT001_score int, GBT002_score string, other string")
+    b = spark.createDataFrame([(0.5,), (1.5,)], "prompt_CLD001_rate double")
+    for name, df in (("a.csv", a), ("b.csv", b)):
+        df.write.option("header", True).csv(str(tmp_path / name))
+    rules = {"statistics": [{"file": f, "columns": {"include": ["_score", "_rate"]}} for f in ("a.csv", "b.csv", "none.csv")]}
+    got = {tuple(r) for r in reports.analysis_report(spark, str(tmp_path), rules, ("b.csv",)).collect()}
+    assert got == {("a.csv", "GBT", 3, 2.0), ("b.csv", "CLD", 2, 1.0)}
+    assert reports.analysis_report(spark, str(tmp_path), {"statistics": []}) is None
+
+
+def test_standard_prompt_table(spark):
+    rows = [(1, "Start the order and stop the system"), (2, " "), (3, None), (4, "nan"), (5, " Check it ")]
+    got = pr.standard_prompt_table(spark.createDataFrame(rows, "row_number long, prompt string")).orderBy("row_number").collect()
+    assert [(r.row_number, r.original_prompt, r.character_count, r.processing_status) for r in got] == [
+        (1, rows[0][1], 35, "success"), (5, "Check it", 8, "success")
+    ]
+    assert len(got[0]) == 9 and all(f'"{r.original_prompt}"' in r.ai_enhanced_activity_prompt for r in got)
+
+
 @pytest.mark.parametrize("size", [64, 1000, 10_000_000])
 def test_split_csv_equals_the_reader_of_whole_files(spark, tmp_path, size):
     rng = random.Random(size)
