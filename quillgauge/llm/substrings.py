@@ -1,11 +1,14 @@
 """Duplicate passages by relative Lempel-Ziv parsing of every document against all others.
 
-Documents are factored greedily into copies of reference text. A factor has to be long enough to
-hold a whole window of ``window`` words, so the reference index keeps, for every window of every
-document, the least hash of the word groups in it: documents that share a window share that hash,
-and one document in about twenty words has a new one. Windows whose hash only one document has
-can begin no factor. The others are looked up in full: the smallest document that has a window's
-word sequence is its reference, and neighbouring windows with one reference grow into one factor.
+Documents are factored greedily into copies of reference text: a factor is a place in a document,
+a place in a reference and a length, and it grows word by word while both places go on together.
+A factor has to be long enough to hold a whole window of ``window`` words. The reference index is
+built in two steps. First it keeps, for every window of every document, the least hash of the word
+groups in it: documents that share a window share that hash, and one document in about twenty words
+has a new one. Windows whose hash only one document has can begin no factor. The others enter the
+index in full, each with the smallest document that has its word sequence and the place there.
+Where a factor ends, the copies that begin inside it or at its end are checked as well, since a
+window across the border may be a copy of other text; the one that reaches farthest is the next.
 """
 
 from __future__ import annotations
@@ -49,37 +52,40 @@ def duplicate_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     """Every document with its words in factors removed.
 
     Returns id, n_words, n_removed, kept (the words that stay, joined by one space) and factors:
-    first word, number of words and reference id. A word goes if a window of ``window`` words over
+    first word, number of words, reference id and the word there at which the copied text begins.
+    Factors may overlap at their borders, each is a whole copy of its reference. A word goes if a window of ``window`` words over
     it also starts in a document of a smaller id; windows are judged on the input. Null and empty
-    texts have no words. Rows of one id do not count against each other; a row without an id stays
-    whole and is nobody's reference; an empty table gives no rows. Words are compared by 64-bit
-    hashes.
+    texts have no words. Rows of one id do not count against each other, each is factored by its own
+    text, and as a reference the id stands for any of them; a row without an id stays whole and is
+    nobody's reference; an empty table gives no rows. Words are compared by 64-bit hashes.
     """
     id_type = docs.schema[id_col].dataType
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))  # a new name: the shuffle of texts is then used again
+    body = F.col(text_col).cast("string")
+    # rows are told apart by id and text, as an id may repeat; new names: the shuffle of texts is then used again
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("row"), body.alias("body"))
     known = base.filter("id is not null")
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in slices(batch.column(1)):
+            for texts in slices(batch.column(2)):
                 long_enough = np.flatnonzero(np.diff(texts.word_offsets) >= window)
                 whole = whole_hashes(texts.word_hashes, texts.word_offsets)[long_enough]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(long_enough + texts.first)), pa.array(_signed(whole))], names=["id", "whole"])
+                ids, rows = (batch.column(i).take(pa.array(long_enough + texts.first)) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids, rows, pa.array(_signed(whole))], names=["id", "row", "whole"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in slices(batch.column(1)):
+            for texts in slices(batch.column(2)):
                 _, owner, least = block_marks(texts, window)
                 marks, owner = distinct_per_text(least, owner)
                 whole = whole_hashes(texts.word_hashes, texts.word_offsets)[owner]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(owner + texts.first)), pa.array(_signed(marks)), pa.array(_signed(whole))], names=["id", "mark", "whole"]
-                )
+                ids, rows = (batch.column(i).take(pa.array(owner + texts.first)) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids, rows, pa.array(_signed(marks)), pa.array(_signed(whole))], names=["id", "row", "mark", "whole"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = batch.column(2)
-            for texts in slices(batch.column(1)):
+            shared = batch.column(3)
+            for texts in slices(batch.column(2)):
                 starts, owner, least = block_marks(texts, window)
                 _, hashes = texts.windows(window)
                 lists = shared.slice(texts.first, len(texts))
@@ -89,35 +95,36 @@ def duplicate_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
                 starts, owner, hashes = starts[pick], owner[pick], hashes[pick]
                 _, first = np.unique(_pair(owner, _signed(hashes)), return_index=True)  # once for each document
                 starts, owner, hashes = starts[first], owner[first], hashes[first]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(hashes)), batch.column(0).take(pa.array(owner + texts.first)), pa.array((starts - texts.word_offsets[owner]).astype(np.int32))],
-                    names=["hash", "id", "start"],
-                )
+                ids, rows = (batch.column(i).take(pa.array(owner + texts.first)) for i in (0, 1))
+                places = (starts - texts.word_offsets[owner]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(hashes)), ids, rows, pa.array(places)], names=["hash", "id", "row", "start"])
 
     id_name = id_type.simpleString()
     # a document whose whole word sequence a smaller one has is one factor; only the smallest is looked into
-    named = known.mapInArrow(name, f"id {id_name}, whole long")
+    named = known.mapInArrow(name, f"id {id_name}, row long, whole long")
     same = named.groupBy("whole").agg(F.min("id").alias("copy_of"), F.max("id").alias("high")).filter("copy_of < high").select("whole", "copy_of")
-    copies = materialize(named.join(same, "whole").filter("copy_of < id").groupBy("id").agg(F.min("copy_of").alias("copy_of")))
-    marks = known.mapInArrow(mark, f"id {id_name}, mark long, whole long")
+    copies = materialize(named.join(same, "whole").filter("copy_of < id").groupBy("id", "row").agg(F.min("copy_of").alias("copy_of")))
+    marks = known.mapInArrow(mark, f"id {id_name}, row long, mark long, whole long")
     several = marks.groupBy("mark").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).filter("low < high").select("mark")
-    shared = marks.select("id", "mark").join(several, "mark").groupBy("id").agg(F.collect_list("mark").alias("marks"))
-    marked = materialize(shared.join(copies, "id", "left_anti"))
+    shared = marks.select("id", "row", "mark").join(several, "mark").groupBy("id", "row").agg(F.collect_set("mark").alias("marks"))
+    marked = materialize(shared.join(copies, ["id", "row"], "left_anti"))
 
-    windows = known.join(marked, "id").select("id", "body", "marks").mapInArrow(look, f"hash long, id {id_name}, start int")
-    owners = windows.groupBy("hash").agg(F.min("id").alias("reference"), F.max("id").alias("high")).filter("reference < high").select("hash", "reference")
-    repeats = windows.join(owners, "hash").filter("reference < id")
-    repeats = repeats.groupBy("id").agg(F.collect_list(F.struct("start", "reference")).alias("repeats")).join(copies, "id", "full")
+    windows = known.join(marked, ["id", "row"]).select("id", "row", "body", "marks").mapInArrow(look, f"hash long, id {id_name}, row long, start int")
+    index = windows.groupBy("hash").agg(F.min("id").alias("reference"), F.max("id").alias("high"), F.min_by("start", "id").alias("place"))
+    index = index.filter("reference < high").select("hash", "reference", "place")
+    repeats = windows.join(index, "hash").filter("reference < id")
+    repeats = repeats.groupBy("id", "row").agg(F.collect_set(F.struct("start", "reference", "place")).alias("repeats"))
+    repeats = repeats.join(copies, ["id", "row"], "full")
 
-    factor = StructType().add("first_word", "long").add("n_words", "long").add(StructField("reference", id_type))
+    factor = StructType().add("first_word", "long").add("n_words", "long").add(StructField("reference", id_type)).add("reference_word", "long")
     schema = StructType([StructField("id", id_type)]).add("n_words", "long").add("n_removed", "long")
     schema = schema.add(StructField("kept", StringType())).add(StructField("factors", ArrayType(factor)))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in slices(batch.column(1)):
-                lists = batch.column(2).slice(texts.first, len(texts))
-                copy_of = batch.column(3).slice(texts.first, len(texts)).to_pylist()
+            for texts in slices(batch.column(2)):
+                lists = batch.column(3).slice(texts.first, len(texts))
+                copy_of = batch.column(4).slice(texts.first, len(texts)).to_pylist()
                 firsts, lasts = texts.words
                 n_words, n_removed, kept, factors = np.diff(texts.word_offsets), np.zeros(len(texts), np.int64), [], []
                 starts, hashes = texts.windows(window)
@@ -127,26 +134,26 @@ def duplicate_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
                     a, b = int(texts.word_offsets[i]), int(texts.word_offsets[i + 1])
                     stay, found = np.ones(b - a, bool), []
                     if copy_of[i] is not None and b - a >= window:
-                        found = [(0, b - a, copy_of[i])]
+                        found = [(0, b - a, copy_of[i], 0)]
                     elif lists[i].is_valid:
                         found = _factors(lists[i].values, starts[per_text[i] : per_text[i + 1]] - a, hashes[per_text[i] : per_text[i + 1]], window)
-                    for start, length, _ in found:
+                    for start, length, _, _ in found:
                         stay[start : start + length] = False
                     n_removed[i] = (b - a) - int(stay.sum())
                     kept.append(_join(raw, firsts[a:b], lasts[a:b], stay))
-                    factors.append([{"first_word": s, "n_words": n, "reference": r} for s, n, r in found])
+                    factors.append([{"first_word": s, "n_words": n, "reference": r, "reference_word": p} for s, n, r, p in found])
                 columns = [batch.column(0).slice(texts.first, len(texts)), pa.array(n_words, pa.int64()), pa.array(n_removed),
                            pa.array(kept, pa.binary()).cast(pa.string()), pa.array(factors, _arrow_factors(batch.schema.field(0).type))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_removed", "kept", "factors"])
 
-    with_repeats = known.join(repeats, "id", "left").select("id", "body", "repeats", "copy_of")
+    with_repeats = known.join(repeats, ["id", "row"], "left").select("id", "row", "body", "repeats", "copy_of")
     nothing = [F.lit(None).cast(repeats.schema[c].dataType).alias(c) for c in ("repeats", "copy_of")]
-    without_id = base.filter("id is null").select("id", "body", *nothing)
+    without_id = base.filter("id is null").select("id", "row", "body", *nothing)
     return with_repeats.union(without_id).mapInArrow(parse, schema).withColumnRenamed("id", id_col)
 
 
 def _arrow_factors(id_type: pa.DataType) -> pa.DataType:
-    return pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("reference", id_type)]))
+    return pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("reference", id_type), ("reference_word", pa.int64())]))
 
 
 def _pair(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -154,20 +161,27 @@ def _pair(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
     return value.astype(np.int64).view(np.uint64) ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _factors(repeats: pa.StructArray, starts: np.ndarray, hashes: np.ndarray, window: int) -> list[tuple[int, int, object]]:
-    """Greedy parse: neighbouring repeated windows of one reference are one factor."""
+def _factors(repeats: pa.StructArray, starts: np.ndarray, hashes: np.ndarray, window: int) -> list[tuple[int, int, object, int]]:
+    """Greedy parse: a factor grows while its place here and its place in the reference go on together."""
     first = repeats.field("start").to_numpy(zero_copy_only=False)
     values = hashes[np.searchsorted(starts, first)]
     order = np.argsort(values)
     at = np.minimum(np.searchsorted(values[order], hashes), len(order) - 1)
     hit = values[order][at] == hashes
     begins, source = starts[hit], order[at][hit]
-    reference = repeats.field("reference").to_pylist()
-    codes = {r: i for i, r in enumerate(dict.fromkeys(reference))}
-    code = np.array([codes[r] for r in reference])[source]
-    cut = np.flatnonzero(np.concatenate([[True], (begins[1:] != begins[:-1] + 1) | (code[1:] != code[:-1])]))
-    ends = np.append(cut[1:], len(begins)) - 1
-    return [(int(begins[i]), int(begins[j] - begins[i]) + window, reference[int(source[i])]) for i, j in zip(cut, ends)]
+    reference = repeats.field("reference")
+    code = reference.dictionary_encode().indices.to_numpy()[source]
+    place = repeats.field("place").to_numpy(zero_copy_only=False)[source].astype(np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], (np.diff(begins) != 1) | (np.diff(code) != 0) | (np.diff(place) != 1)]))
+    heads = begins[cut]
+    tails = begins[np.append(cut[1:], len(begins)) - 1] + window  # the word after each grown copy; ascending as heads are
+    out, i = [], 0
+    while i < len(cut):
+        k = cut[i]
+        out.append((int(heads[i]), int(tails[i] - heads[i]), reference[int(source[k])].as_py(), int(place[k])))
+        # of the copies that begin in this factor or at its end the farthest; else the next one
+        i = max(int(np.searchsorted(heads, tails[i], side="right")) - 1, i + 1)
+    return out
 
 
 def _join(raw: bytes, firsts: np.ndarray, lasts: np.ndarray, stay: np.ndarray) -> bytes:

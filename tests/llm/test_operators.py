@@ -384,9 +384,36 @@ def test_substrings(docs, rows, none):
         for r in got:
             covered = {i for f in r.factors for i in range(f.first_word, f.first_word + f.n_words)}
             assert len(covered) == r.n_removed and all(f.n_words >= size and f.reference < r.doc_id for f in r.factors)
+        texts = {}
+        for d, t, *_ in rows:
+            texts.setdefault(d, []).append(brute.words(t))
+        for r in got:
+            own = [t for t in texts[r.doc_id] if len(t) == r.n_words]
+            for f in r.factors:  # a factor is a copy of its reference, word by word
+                copies = [t[f.reference_word : f.reference_word + f.n_words] for t in texts[f.reference]]
+                assert any(t[f.first_word : f.first_word + f.n_words] in copies for t in own)
+            ends = [f.first_word + f.n_words for f in r.factors]
+            assert ends == sorted(set(ends)) and all(a >= b for a, b in zip([f.first_word for f in r.factors][2:], ends))  # none lies within its neighbours
     assert substrings.duplicate_factors(none).collect() == []
 
 
+def test_factors_keep_their_places(spark):
+    rng = random.Random(21)
+    a, b, own = (sentence(rng, n).split(" ") for n in (200, 90, 40))
+    rows = [(1, a), (2, own[:5] + b), (3, own + a[20:100] + own + a[130:190] + b[10:80]), (4, a[60:120] + a[110:180]), (5, ["x"] * 300), (6, ["x"] * 200),
+            (7, a), (7, own), (8, b[:60] + own[:1] + ["x"] * 49)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = {(r.doc_id, r.n_words): [tuple(f) for f in r.factors] for r in substrings.duplicate_factors(docs).collect()}
+    assert found[3, 290] == [(40, 80, 1, 20), (160, 60, 1, 130), (220, 70, 2, 15)]
+    assert found[4, 130] == [(0, 60, 1, 60), (60, 70, 1, 110)]
+    # 49 words, or words that go on in another place, are no factor
+    assert found[8, 110] == [(0, 60, 2, 5)]
+    # every window of a text of one word is the same: places do not go on, four copies cover it
+    assert found[6, 200] == [(0, 50, 5, 0), (50, 50, 5, 0), (100, 50, 5, 0), (150, 50, 5, 0)]
+    # two rows of one id: one a whole copy, the other stays
+    assert found[7, 200] == [(0, 200, 1, 0)] and found[7, 40] == []
+
+
 def page_rows():
     rng = random.Random(11)
     rows = []
