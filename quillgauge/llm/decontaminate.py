@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from quillgauge.llm.arrays import Texts, slices
+from quillgauge.llm.names import fresh, quoted
 
 #: Words of a piece that are looked up; a piece that occurs has its first words there too.
 SEED = 4
@@ -192,9 +193,10 @@ def drop_leaking(
 ) -> DataFrame:
     """The documents that hold no benchmark item, with their columns as they were; no shuffle."""
     out, columns = docs, docs.columns
+    extra = fresh("_lowered_text_", columns)
     for items in _blocks(benchmark, item_col, item_text_col, percent):
-        lowered = out.select(*columns, F.lower(F.col(text_col).cast("string")).alias("_lowered_text_"))
-        out = lowered.mapInArrow(_keep(items), StructType([*docs.schema.fields, StructField("_lowered_text_", lowered.schema[-1].dataType)])).select(*columns)
+        lowered = out.select(*quoted(columns), F.lower(F.col(text_col).cast("string")).alias(extra))
+        out = lowered.mapInArrow(_keep(items), StructType([*docs.schema.fields, StructField(extra, lowered.schema[-1].dataType)])).select(*quoted(columns))
     return out
 
 

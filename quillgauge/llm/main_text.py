@@ -20,6 +20,7 @@ from pyspark.sql.types import StructField, StructType
 
 from quillgauge.llm.dom import BLOCK, RAW, Element, Page
 from quillgauge.llm.distinct import one_of_each
+from quillgauge.llm.names import fresh, quoted
 from quillgauge.session import materialize
 
 #: Elements that are never part of an article.
@@ -224,9 +225,9 @@ def main_text(
     to the host ''; pages with no article give the empty text; an empty table gives no rows.
     """
     keep = [c for c in pages.columns if c not in (html_col, into)]
-    source = F.col(html_col).cast("string").alias("_html_")
-    rows = pages.select(*keep, host_of(F.col(url_col)).alias("_host_"), source)
-    tree = style_tree(rows, "_host_", "_html_")
+    host, html, gone = (fresh(c, pages.columns) for c in ("_host_", "_html_", "_low_"))
+    rows = pages.select(*quoted(keep), host_of(F.col(url_col)).alias(host), F.col(html_col).cast("string").alias(html))
+    tree = style_tree(rows, host, html)
     is_low = (F.col("n_pages") >= min_pages) & (F.col("presentation") < threshold) & (F.col("content") < threshold)
     tree = materialize(tree.groupBy("host").agg(F.max("n_pages").alias("n"), F.collect_list(F.when(is_low, F.col("path"))).alias("_low_")))
     hosts = tree.filter(~F.col("host").startswith("*."))
@@ -236,7 +237,8 @@ def main_text(
     own = hosts.filter(F.col("n") >= min_pages).select(F.col("host").alias("_host_"), "_low_")
     low = materialize(own.union(taken).filter(F.size("_low_") > 0))
     few = low.limit(10_001).count() <= 10_000 and (low.agg(F.sum(F.size("_low_"))).first()[0] or 0) <= 1_000_000
-    joined = rows.join(F.broadcast(low) if few else low, "_host_", "left").select(*keep, "_html_", "_low_")
+    low = low.select(F.col("_host_").alias(host), F.col("_low_").alias(gone))
+    joined = rows.join(F.broadcast(low) if few else low, host, "left").select(*quoted(keep), html, gone)
     schema = StructType([pages.schema[c] for c in keep]).add(into, "string")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

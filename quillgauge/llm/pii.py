@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgauge.llm.distinct import if_small, is_small, one_of_each
+from quillgauge.llm.names import fresh, quoted
 from quillgauge.session import materialize
 
 #: Kinds in their order, and the patterns (fixed values). What follows a possessive quantifier can
@@ -189,7 +190,8 @@ def private_spans(
     before they are shuffled. An empty table gives no rows.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != into]
-    rows = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_body"))
+    # the columns that stay are one struct: no name of a step's column meets theirs
+    rows = docs.select(F.struct(*quoted(keep)).alias("_row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_body"))
     rows = rows.withColumn("_base", base_spans("_body"))
     with_some = rows.filter(F.size("_base") > 0)
     found = with_some.select(F.xxhash64("_body").alias("_key"), "_body", "_base")
@@ -197,7 +199,7 @@ def private_spans(
     bodies = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_body")).withColumn("_key", F.xxhash64("_body"))
     terms = materialize(disclosing_terms(evidence_rows, one_of_each(bodies, ["_key"]), share))
     if terms.isEmpty():
-        return rows.select(*keep, F.col("_base").alias(into))
+        return rows.select("_row.*", F.col("_base").alias(into))
     mentions = evidence_rows.select("_key", F.explode(F.expr("array_distinct(transform(_base, s -> lower(concat(s.kind, ':', s.value))))")).alias("entity"))
     wanted = mentions.join(terms, "entity").select("_key", "term").distinct()
     # words of the texts that mention an entity with terms, each with its place
@@ -208,7 +210,7 @@ def private_spans(
     some = with_some.withColumn("_key", F.xxhash64("_body")).join(told, "_key", "left")
     spans = F.expr("if(_more is null, _base, array_sort(concat(_base, _more)))")
     none = rows.filter(F.size("_base") == 0)
-    return some.select(*keep, spans.alias(into)).union(none.select(*keep, F.col("_base").alias(into)))
+    return some.select("_row.*", spans.alias(into)).union(none.select("_row.*", F.col("_base").alias(into)))
 
 
 def _outside(base: str, more: str) -> str:
@@ -234,9 +236,9 @@ def sanitised(docs: DataFrame, text_col: str = "text", share: float = 0.8) -> Da
     What shows only after that, such as a card number that stood next to an IP address, is
     generalised too. Other columns stay; texts without a span, null ones too, stay as they are.
     """
-    into, once, rest = "_private_spans_", "_private_once_", "_private_rest_"
+    into, once, rest = (fresh(f"_private_{c}_", docs.columns) for c in ("spans", "once", "rest"))
     found = private_spans(docs, text_col, into, share)
     first = F.when(F.size(into) > 0, F.expr(_generalised(f"`{text_col}`", into)))
     found = found.withColumn(once, first).withColumn(rest, F.when(F.col(once).isNotNull(), base_spans(once)))
-    text = F.coalesce(F.when(F.size(rest) > 0, F.expr(_generalised(once, rest))), F.col(once), F.col(text_col)).alias(text_col)
-    return found.select(*(text if c == text_col else F.col(c) for c in docs.columns))
+    text = F.coalesce(F.when(F.size(rest) > 0, F.expr(_generalised(once, rest))), F.col(once), F.col(f"`{text_col}`")).alias(text_col)
+    return found.select(*(text if c == text_col else F.col(f"`{c}`") for c in docs.columns))
