@@ -3,7 +3,8 @@
 Every measure of a text is an integer. Its sketch is a histogram of buckets whose width grows with
 the value (at most 1/32 of it), so sketches of any parts merge by adding counts and the result does
 not depend on how the rows were dealt. A stratum (language and source) with few documents takes
-the merged sketch of its language, a language with few documents that of the corpus.
+the merged sketch of its language, a language with few documents that of the corpus. A limit is a rate
+out of the sketch; how far one text may stray from it follows from the text's length alone.
 """
 
 from __future__ import annotations
@@ -17,14 +18,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from quillgauge.llm.arrays import Texts, distinct_per_text, mix, release_memory, running, slices
+from quillgauge.llm.names import fresh, quoted
 from quillgauge.session import materialize
 
 REPEAT_WINDOW = 8
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_echo_words", "n_capitals"]
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
-#: Room beyond the quartiles' fence, in the unit of each measure, and whether low values are judged too.
-MEASURES = {"symbol_rate": (20, False), "word_length": (60, True), "dup_line_rate": (400, False), "echo_rate": (80, False), "capital_rate": (250, False)}
+#: Each measure is a count over a size, per so many of it; and whether low values are judged too.
+MEASURES = {
+    "symbol_rate": ("n_symbols", "word_chars", 1000, False), "word_length": ("word_chars", "n_words", 100, True),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 1000, False), "echo_rate": ("n_echo_words", "n_words", 1000, False),
+    "capital_rate": ("n_capitals", "word_chars", 1000, False),
+}
+#: Quartile ranges between a quartile and its fence; standard deviations of a count that are chance.
+FENCE, CHANCE = 3, 4
 
 
 def text_counts(texts: Texts) -> dict[str, np.ndarray]:
@@ -79,7 +87,7 @@ def with_counts(docs: DataFrame, into: str, text_col: str = "text", keep: list[s
     # a text that stays is sent to Python once
     at = keep.index(text_col) if text_col in keep and isinstance(docs.schema[text_col].dataType, StringType) else len(keep)
     if at == len(keep):
-        sent.append(F.col(text_col).cast("string").alias("_text_"))
+        sent.append(F.col(text_col).cast("string").alias(fresh("_text_", keep)))
     struct = pa.struct([(c, pa.int64()) for c in COUNTS])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,15 +109,7 @@ def base_failed(q: Column) -> Column:
 
 def measures(q: Column) -> dict[str, Column]:
     """Integer measures: per mille, and hundredths of a character for the word length."""
-
-    def rate(a: str, b: str, unit: int = 1000) -> Column:
-        return F.floor(unit * q[a] / F.greatest(q[b], F.lit(1)))
-
-    return {
-        "symbol_rate": rate("n_symbols", "word_chars"), "word_length": rate("word_chars", "n_words", 100),
-        "dup_line_rate": rate("n_dup_lines", "n_lines"), "echo_rate": rate("n_echo_words", "n_words"),
-        "capital_rate": rate("n_capitals", "word_chars"),
-    }
+    return {m: F.floor(unit * q[count] / F.greatest(q[size], F.lit(1))) for m, (count, size, unit, _) in MEASURES.items()}
 
 
 def bucket(value: Column) -> Column:
@@ -121,9 +121,11 @@ def bucket(value: Column) -> Column:
 def limits(counted: DataFrame, into: str, lang_col: str, source_col: str, enough: int = 100) -> DataFrame:
     """The limits of each (language, source): columns ``<measure>_high`` and ``word_length_low``.
 
-    Only texts that pass the base rules are sketched. The high limit is Q3 + 3 (Q3 - Q1) and some
-    room; no stratum's limit is above its language's by more than four times that room, so that
-    a source of mostly bad texts does not set its own standard.
+    Only texts that pass the base rules are sketched. The high limit is the fence Q3 + 3 (Q3 - Q1),
+    or the mean where that is higher: where three quarters of the texts have none of something,
+    both quartiles are 0. A minority at one high rate stays above the mean that it raises. The low
+    limit is Q1 - 3 (Q3 - Q1). A stratum of ``enough`` texts has its own limits, whatever its
+    language has.
     """
     q = F.col(into)
     values = F.array(*(F.struct(F.lit(m).alias("m"), v.alias("v")) for m, v in measures(q).items()))
@@ -141,12 +143,14 @@ def limits(counted: DataFrame, into: str, lang_col: str, source_col: str, enough
             F.max("all").alias("all"),
             F.min(F.when(4 * F.col("upto") >= F.col("all"), F.col("b"))).alias("q1"),
             F.min(F.when(4 * F.col("upto") >= 3 * F.col("all"), F.col("b"))).alias("q3"),
+            (F.sum(F.col("b") * F.col("n")) / F.max("all")).alias("mean"),
         )
-        spread = 3 * (F.col("q3") - F.col("q1"))
+        spread = FENCE * (F.col("q3") - F.col("q1"))
         cells = []
-        for m, (room, _) in MEASURES.items():
-            cells.append(F.max(F.when(F.col("m") == m, F.col("q3") + spread + room)).alias(f"{name}_{m}_high"))
-        cells.append(F.max(F.when(F.col("m") == "word_length", F.col("q1") - spread - MEASURES["word_length"][0])).alias(f"{name}_word_length_low"))
+        for m, (*_, low) in MEASURES.items():
+            cells.append(F.max(F.when(F.col("m") == m, F.greatest(F.col("q3") + spread, F.col("mean")))).alias(f"{name}_{m}_high"))
+            if low:
+                cells.append(F.max(F.when(F.col("m") == m, F.greatest(F.col("q1") - spread, F.lit(0)))).alias(f"{name}_{m}_low"))
         return found.groupBy(*keys).agg(F.max("all").alias(f"{name}_n"), *cells)
 
     sketch = materialize(sketch)
@@ -156,32 +160,35 @@ def limits(counted: DataFrame, into: str, lang_col: str, source_col: str, enough
     table = own.join(lang, F.col("_lang").eqNullSafe(F.col("_lang2"))).withColumn("_one", F.lit(1)).join(whole, "_one")
     few, few_lang = F.col("own_n") < enough, F.col("lang_n") < enough
     columns = []
-    for m, (room, _) in MEASURES.items():
-        above = F.when(few_lang, F.col(f"whole_{m}_high")).otherwise(F.col(f"lang_{m}_high"))
-        columns.append(F.when(few, above).otherwise(F.least(F.col(f"own_{m}_high"), above + 4 * room)).alias(f"{m}_high"))
-    above = F.when(few_lang, F.col("whole_word_length_low")).otherwise(F.col("lang_word_length_low"))
-    room = MEASURES["word_length"][0]
-    columns.append(F.when(few, above).otherwise(F.greatest(F.col("own_word_length_low"), above - 4 * room)).alias("word_length_low"))
+    for limit in [f"{m}_high" for m in MEASURES] + [f"{m}_low" for m, (*_, low) in MEASURES.items() if low]:
+        above = F.when(few_lang, F.col(f"whole_{limit}")).otherwise(F.col(f"lang_{limit}"))
+        columns.append(F.when(few, above).otherwise(F.col(f"own_{limit}")).alias(limit))
     return table.select("_lang", "_source", *columns)
 
 
 def judge(counted: DataFrame, limits_: DataFrame, into: str, lang_col: str, source_col: str, verdict: str) -> DataFrame:
-    """Add the verdict: base rules hold and every measure is within its stratum's limits.
+    """Add the verdict: base rules hold and every count is within its stratum's limits.
 
-    The limits are one row for each language and source. They are joined, not broadcast by hint,
+    At a limit's rate a text of its size would have some expected count e; the text fails where its
+    count is off by more than 4 sqrt(e + 1), so that a short text does not fail by chance. The limits are one row for each language and source. They are joined, not broadcast by hint,
     unless they were counted and are few.
     """
     few = limits_.limit(50_001).count() <= 50_000
+    at = fresh("_limits_", [*counted.columns, verdict])
+    limits_ = limits_.select(F.struct("*").alias(at))  # one column: no name of a limit meets a column of the documents
     joined = counted.join(
         F.broadcast(limits_) if few else limits_,
-        F.col(lang_col).eqNullSafe(F.col("_lang")) & F.col(source_col).eqNullSafe(F.col("_source")), "left",
+        F.col(lang_col).eqNullSafe(F.col(f"{at}._lang")) & F.col(source_col).eqNullSafe(F.col(f"{at}._source")), "left",
     )
     q = F.col(into)
     good = ~base_failed(q)
-    for m, value in measures(q).items():
-        good = good & (value <= F.col(f"{m}_high"))
-    good = good & (measures(q)["word_length"] >= F.col("word_length_low"))
-    return joined.withColumn(verdict, F.coalesce(good, F.lit(False))).select(*counted.columns, verdict)
+    for m, (count, size, unit, low) in MEASURES.items():
+        most, least = (F.col(f"{at}.{m}_{end}") * q[size] / unit for end in ("high", "low"))
+        good = good & (q[count] <= most + CHANCE * F.sqrt(most + 1))
+        if low:
+            good = good & (q[count] >= least - CHANCE * F.sqrt(least + 1))
+    stay = [c for c in counted.columns if c.lower() != verdict.lower()]
+    return joined.select(*quoted(stay), F.coalesce(good, F.lit(False)).alias(verdict))
 
 
 def judge_documents(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -198,8 +205,8 @@ def judge_documents(docs: DataFrame, lang_col: str = "lang", source_col: str = "
 
 def keep_good(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The documents that pass, with their columns as they were."""
-    into, verdict = "_quality_counts_", "_quality_kept_"
+    into, verdict = fresh("_quality_counts_", docs.columns), fresh("_quality_kept_", docs.columns)
     counted = with_counts(docs, into, text_col, [lang_col, source_col])
     found = materialize(limits(counted, into, lang_col, source_col))
     judged = judge(with_counts(docs, into, text_col), found, into, lang_col, source_col, verdict)
-    return judged.filter(verdict).select(*docs.columns)
+    return judged.filter(verdict).select(*quoted(docs.columns))

@@ -173,6 +173,49 @@ def test_limits_follow_the_stratum(spark):
     assert kept == set(range(150))
 
 
+def test_limits_of_a_source_are_its_own(spark):
+    """A source rich in symbols keeps its texts, where its language has none; few bad texts do not raise its limit to theirs."""
+    rng = random.Random(15)
+
+    def cells(n):
+        return " ".join(f"{w} |" for w in sentence(rng, n).split(" "))
+
+    rows = [(i, sentence(rng, 60), "en", "prose") for i in range(800)]
+    rows += [(1000 + i, cells(rng.randint(40, 50)) + sentence(rng, 20), "en", "tables") for i in range(150)]
+    rows += [(2000 + i, cells(50), "en", "prose") for i in range(30)]
+    rows += [(3000 + i, cells(50), "en", "few") for i in range(20)]
+    rows += [(4000, sentence(rng, 25) + " *", "en", "prose")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
+    assert {d for d in kept if d < 2000} == {r[0] for r in rows if r[0] < 2000}
+    assert not {d for d in kept if 2000 <= d < 4000} and 4000 in kept
+
+
+INTERNAL = [
+    "_lang", "_source", "symbol_rate_high", "word_length_low", "_limits_", "_quality_counts_", "_quality_kept_", "_text_", "_lowered_text_", "_body", "_base",
+    "_key", "_more", "_near", "_terms", "_one", "_row", "_private_spans_", "_private_once_", "_private_rest_", "_host_", "_HTML_", "_low_", "row", "body",
+]
+
+
+def test_columns_named_like_internal_ones(spark, docs):
+    """Columns that an operator would use itself come through as they were."""
+    extra = [F.lit(f"user {c}").alias(c) for c in INTERNAL]
+    wide = docs.select("doc_id", "text", "lang", "source", *extra)
+    bench = spark.createDataFrame([(1, "nothing of this kind is anywhere in these texts at all")], "item_id long, text string")
+    for got in (quality.keep_good(wide), decontaminate.drop_leaking(wide, bench), pii.sanitised(wide), jaccard.one_of_each_class(wide)):
+        assert got.columns == wide.columns
+        found = got.collect()
+        assert found and all(r[c] == f"user {c}" for r in found for c in INTERNAL)
+    spans = pii.private_spans(wide).collect()
+    assert len(spans) == wide.count() and all(r[c] == f"user {c}" for r in spans for c in INTERNAL)
+    judged = quality.judge_documents(wide.withColumn("kept", F.lit("mine")), keep=["doc_id", "kept", "_lang"])
+    assert judged.columns.count("kept") == 1 and {r._lang for r in judged.collect()} == {"user _lang"}
+    assert substrings.duplicate_factors(wide).count() == wide.count()
+    pages = spark.createDataFrame([(1, "http://h/x", "<article><p>one</p></article>")], "page_id long, url string, html string").select("*", *extra)
+    found = main_text.main_text(pages).collect()
+    assert [r.main_text for r in found] == ["one"] and all(r[c] == f"user {c}" for r in found for c in INTERNAL)
+
+
 def test_jaccard(docs, rows, none, monkeypatch):
     for words, percent in ((4, 85), (5, 80)):
         pairs = [(r[0], r[1]) for r in rows]

@@ -23,7 +23,8 @@ def measures(text):
     lines = sum(1 for x in text.split("\n") if brute.WORD.search(x))
     capitals = sum("A" <= c <= "Z" for c in text)
     echo = sum(a == b for a, b in zip(w, w[1:]))
-    return {
+    counts = {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_lines": lines, "n_echo_words": echo, "n_capitals": capitals}
+    return counts, {
         "symbol_rate": 1000 * symbols // max(chars, 1), "word_length": 100 * chars // max(n, 1), "dup_line_rate": 1000 * dup // max(lines, 1),
         "echo_rate": 1000 * echo // max(n, 1), "capital_rate": 1000 * capitals // max(chars, 1),
     }
@@ -36,26 +37,24 @@ def fails_base(text):
 
 def good(rows):
     """Ids of (id, text, lang, source) rows that pass the rules."""
-    sound = [(r, measures(r[1])) for r in rows if not fails_base(r[1] or "")]
+    sound = [(r, *measures(r[1])) for r in rows if not fails_base(r[1] or "")]
 
     def fences(part):
         out = {}
-        for m, (room, low) in MEASURES.items():
-            values = sorted(v >> max(v.bit_length() - 6, 0) << max(v.bit_length() - 6, 0) for v in (x[1][m] for x in part))
+        for m in MEASURES:
+            values = sorted(v >> max(v.bit_length() - 6, 0) << max(v.bit_length() - 6, 0) for v in (x[2][m] for x in part))
             q1, q3 = values[-(-len(values) // 4) - 1], values[-(-3 * len(values) // 4) - 1]
-            out[m] = q3 + 3 * (q3 - q1) + room, q1 - 3 * (q3 - q1) - room if low else None
+            out[m] = max(q3 + 3 * (q3 - q1), sum(values) / len(values)), max(q1 - 3 * (q3 - q1), 0)
         return out
 
     keep = set()
-    for row, found in sound:
+    for row, counts, _ in sound:
         own = [x for x in sound if x[0][2:4] == row[2:4]]
         lang = [x for x in sound if x[0][2] == row[2]]
-        above = fences(lang if len(lang) >= 100 else sound)
-        mine = fences(own)
-        for m, (room, low) in MEASURES.items():
-            high = above[m][0] if len(own) < 100 else min(mine[m][0], above[m][0] + 4 * room)
-            least = None if not low else above[m][1] if len(own) < 100 else max(mine[m][1], above[m][1] - 4 * room)
-            if found[m] > high or low and found[m] < least:
+        limits = fences(own if len(own) >= 100 else lang if len(lang) >= 100 else sound)
+        for m, (count, size, unit, low) in MEASURES.items():
+            most, least = (x * counts[size] / unit for x in limits[m])
+            if counts[count] > most + 4 * (most + 1) ** 0.5 or low and counts[count] < least - 4 * (least + 1) ** 0.5:
                 break
         else:
             keep.add(row[0])
