@@ -261,6 +261,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int)
                 common = int((both[1:] == both[:-1]).sum())
                 good[i] = 100 * common >= percent * (len(one) + len(two) - common)
             yield batch.select(["a", "b"]).filter(pa.array(good))
+            del batch, x, y
+            release_memory()
 
     a, b = sizes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na")), sizes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"))
     near = pairs.join(a, "a").join(b, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
