@@ -225,7 +225,7 @@ def _generalised(text: str, spans: str) -> str:
     """SQL for a text with its spans replaced; overlapping spans are one and its first kind stands for it."""
     pieces = f"""transform(filter({running(spans, 'x.end', 'greatest(a, v)')}, m -> m.x.end > m.at), m -> concat(
         {_piece('m.at', 'm.x.start')}, if(m.x.start < m.at or m.x.kind = '{TERM}', '', concat('[', upper(m.x.kind), ']'))))"""
-    last = f"array_max(transform({spans}, x -> x.end))"
+    last = f"coalesce(array_max(transform({spans}, x -> x.end)), 0)"
     rest = _let("z", last, _let("n", f"length({text})", _piece("z", "n")))
     return _let("c", _chunks(text), f"concat(array_join({pieces}, ''), {rest})")
 
