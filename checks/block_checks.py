@@ -264,7 +264,7 @@ _STREAM_SQL = prompt_checks.SCORED_SQL.replace("doc_id + 1 as row_number", "doc_
 def streamed_scores(spark, sf):
     schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
     root = _folder(spark, "stream")
-    documents = streaming.read_prompt_stream(spark, sf, schema, pattern="documents.parquet")
+    documents = streaming.read_prompt_stream(spark, f"{sf.rstrip('/')}/{{documents.parquet}}", schema)
     query = streaming.score_prompt_stream(documents, f"{root}/scores", f"{root}/checkpoint", text="text")
     query.awaitTermination()
     return spark.read.parquet(f"{root}/scores")

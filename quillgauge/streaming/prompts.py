@@ -15,7 +15,10 @@ from quillgauge.operators.prompts import score_prompts
 
 def read_prompt_stream(spark: SparkSession, folder: str, schema: StructType, fmt: str = "parquet", files: int = 100,
                        pattern: str | None = None) -> DataFrame:
-    """New files of a folder, at most ``files`` per batch; ``pattern`` limits the names."""
+    """New files of a folder, at most ``files`` per batch; ``pattern`` limits the names of the files.
+
+    ``folder`` may be a glob: ``in/{prompts.parquet}`` reads that table whether it is one file or a folder of files.
+    """
     reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_module
 from quillgauge.operators import prompts as pr
 from quillgauge.plans import reports
 from quillgauge.sources import assets, readers, writers
@@ -63,6 +64,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pr.score_prompts(rows).collect()))
 
 
+def test_streamed_scores_of_a_table_in_one_file_and_in_a_folder(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"The System creates Item {i}") for i in range(40)] + [(99, None)], "doc_id long, text string")
+    rows.repartition(4).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    part = next((tmp_path / "one").glob("part-*.parquet"))
+    (tmp_path / "file").mkdir()
+    part.rename(tmp_path / "file" / "documents.parquet")
+    expected = sorted(map(tuple, pr.score_prompts(rows, "text").collect()))
+    for kind in ("folder", "file"):
+        assert sorted(map(tuple, entry_module.queries()["snk3_streamed_scores"](spark, str(tmp_path / kind)).collect())) == expected
+
+
 def test_whole_reports(spark, tmp_path):
     code = "@startuml\nstart\n:step {};\n:then wait;\nstop\n@enduml"
     variants = spark.createDataFrame(
