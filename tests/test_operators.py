@@ -225,6 +225,14 @@ def test_bleu_and_rouge_against_brute_force(spark):
         assert r.rouge_l == pytest.approx(2 * row[-1] / (len(h) + len(p)), abs=6e-5)
 
 
+def test_only_texts_travel_to_the_join_of_prompts(spark):
+    variants = spark.createDataFrame([(1, "ABA000", "a b c d e f g h i j k l")], "story_id long, variant string, code string")
+    stories = spark.createDataFrame([(1, "a b c d x f g h i j k l")], "story_id long, prompt string")
+    plan = co.correspondence(variants, stories)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan[: plan.index("Join ")], plan[plan.index("Join "):]
+    assert "map_from_arrays" in above and "map_from_arrays" not in below and "split(" not in below
+
+
 def _skewed(n=3000, seed=4):
     random.seed(seed)
     return [("hot", 7.0) for _ in range(n // 3)] + [
