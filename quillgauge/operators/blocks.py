@@ -161,7 +161,8 @@ def match_prefix(files: DataFrame, stems: DataFrame, exact: bool = False, existi
             files.withColumn("_n", F.explode(lengths)).filter(F.col("_n") <= F.length("file"))
             .withColumn("stem", F.substr(F.col("file"), F.lit(1), F.col("_n"))).drop("_n")
         )
-    found = even_join(offered, unique, ["stem"], F.struct("folder", "file")).select(
+    # the offers are many times what Spark reckons from the files; a semi join never broadcasts its left side
+    found = even_join(offered, unique, ["stem"], F.struct("folder", "file"), how="left_semi").select(
         "stem", "folder", "file", F.concat_ws(" ", "folder", "file").alias("target")
     )
     return found if existing is None else found.join(existing, ["stem", "target"], "left_anti")

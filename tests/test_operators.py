@@ -362,6 +362,15 @@ def test_prefix_match_collision(spark):
     assert bl.match_prefix(files, stems, exact=True).count() == 2
 
 
+def test_offered_prefixes_are_never_broadcast(spark, tmp_path):
+    spark.createDataFrame([("a", "Row12_x.jpg"), ("b", "Row3_y.jpg")], "folder string, file string").write.parquet(str(tmp_path / "files"))
+    spark.createDataFrame([(f"Row{i}",) for i in range(500)], "stem string").write.parquet(str(tmp_path / "stems"))
+    found = bl.match_prefix(spark.read.parquet(str(tmp_path / "files")), spark.read.parquet(str(tmp_path / "stems")))
+    got = sorted((r.stem, r.target) for r in found.collect())
+    assert got == [("Row1", "a Row12_x.jpg"), ("Row12", "a Row12_x.jpg"), ("Row3", "b Row3_y.jpg")]
+    assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_supplied_encoder(spark):
     df = spark.createDataFrame([("ab",), (None,), ("abcd",)], "t string")
     got = {r.t: r.v for r in with_embedding(df, "t", lambda texts: [[float(len(t)), 1.0] for t in texts], "v").collect()}
