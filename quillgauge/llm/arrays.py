@@ -7,6 +7,8 @@ Small numpy helpers that run inside Spark tasks. A word is a maximal run of byte
 from __future__ import annotations
 
 import ctypes
+import sys
+import types
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -16,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+#: For work that needs some hundred bytes for each byte of text: a slice takes a few ten MB at most.
+SMALL_SLICE = 1 << 18
 _WORD_BASE, _SEQUENCE_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -45,7 +49,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 and their inverses, at least ``n`` of each."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + 4096)
+        size = max(n, (SMALL_SLICE if n <= SMALL_SLICE + 4096 else SLICE_BYTES) + 4096)
         up, down = np.full(size, np.uint64(base)), np.full(size, np.uint64(pow(base, -1, 2**64)))
         up[0] = down[0] = 1
         have = (np.multiply.accumulate(up), np.multiply.accumulate(down))
@@ -54,6 +58,22 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def lasting() -> dict[str, object]:
+    """What this Python worker keeps between tasks.
+
+    Code of this library travels to the workers by value, so a worker's lasting state is kept
+    in a module of its own.
+    """
+    return sys.modules.setdefault("_quillgauge_worker", types.ModuleType("_quillgauge_worker")).__dict__
+
+
+def forget_lasting() -> None:
+    """For tasks that need none of it: what other operators left in this worker is dropped."""
+    kept = lasting()
+    for name in [k for k in kept if not k.startswith("__")]:
+        del kept[name]
+
+
 def release_memory() -> None:
     """Give what numpy and Arrow have freed back to the system: a Python worker lives on beside the
     JVM between tasks and stages, and keeps some 200 MB otherwise."""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgauge.llm.arrays import Texts, distinct_per_text, mix, mix_one, release_memory, slices, whole_hashes
+from quillgauge.llm.arrays import SMALL_SLICE, Texts, distinct_per_text, forget_lasting, mix, mix_one, release_memory, slices, whole_hashes
 from quillgauge.llm.components import components
 from quillgauge.llm.files import partition_number, stored
 from quillgauge.session import materialize
@@ -30,7 +30,6 @@ from quillgauge.session import materialize
 BAND_RATIO = 1.5
 #: Partitionings that a set with too many empty partitions goes through.
 ROUNDS = 4
-SLICE = 1 << 20
 #: Sets with one signature that are compared with one another at once; larger groups take another exact way.
 GROUP = 16
 #: Documents whose texts are picked by a broadcast; more are joined by a shuffle.
@@ -159,8 +158,9 @@ def _named(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
     """id, n_shingles and the name of the set (null for the empty set)."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_lasting()
         for batch in batches:
-            for texts in slices(batch.column(1), lower=True):
+            for texts in slices(batch.column(1), lower=True, limit=SMALL_SLICE):
                 keys, owners = text_sets(texts, words)
                 sizes = np.bincount(owners, minlength=len(texts))
                 nodes = pa.array(set_nodes(keys, sizes).view(np.int64), mask=sizes == 0)
@@ -189,10 +189,11 @@ def _shared_signatures(docs: DataFrame, words: int, percent: int, id_col: str, t
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_lasting()
         seen: set[int] = set()
         number = partition_number() << 32
         for batch in batches:
-            for texts in slices(batch.column(0), lower=True, limit=SLICE):
+            for texts in slices(batch.column(0), lower=True, limit=SMALL_SLICE):
                 keys, owners = text_sets(texts, words)
                 sizes = np.bincount(owners, minlength=len(texts))
                 nodes = set_nodes(keys, sizes)
@@ -232,8 +233,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col:
     """The sorted shingle hashes (packed) of the sets ``wanted`` (id of a document with it, node)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_lasting()
         for batch in batches:
-            for texts in slices(batch.column(0), lower=True):
+            for texts in slices(batch.column(0), lower=True, limit=SMALL_SLICE):
                 keys, owners = text_sets(texts, words)
                 sizes = np.bincount(owners, minlength=len(texts))
                 nodes = set_nodes(keys, sizes)
@@ -252,6 +254,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int)
     """The pairs (a, b) whose sets are similar enough; sizes alone rule out some."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_lasting()
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
             good = np.zeros(batch.num_rows, bool)

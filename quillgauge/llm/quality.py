@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from quillgauge.llm.arrays import Texts, distinct_per_text, mix, release_memory, running, slices
+from quillgauge.llm.arrays import SMALL_SLICE, Texts, distinct_per_text, forget_lasting, mix, release_memory, running, slices
 from quillgauge.llm.names import fresh, quoted
 from quillgauge.session import materialize
 
@@ -91,8 +91,9 @@ def with_counts(docs: DataFrame, into: str, text_col: str = "text", keep: list[s
     struct = pa.struct([(c, pa.int64()) for c in COUNTS])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_lasting()
         for batch in batches:
-            for texts in slices(batch.column(at)):
+            for texts in slices(batch.column(at), limit=SMALL_SLICE):
                 counts = text_counts(texts)
                 columns = [batch.column(i).slice(texts.first, len(texts)) for i in range(len(keep))]
                 counted = pa.StructArray.from_arrays([pa.array(counts[c], pa.int64()) for c in COUNTS], fields=list(struct))

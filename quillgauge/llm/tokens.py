@@ -10,13 +10,11 @@ distinct piece once per Python worker; equal pieces are found by a 64-bit hash o
 from __future__ import annotations
 
 import os
-import sys
-import types
 
 import numpy as np
 from tokenizers import Tokenizer
 
-from quillgauge.llm.arrays import Texts, ranges
+from quillgauge.llm.arrays import Texts, lasting, ranges
 
 #: Distinct pieces a worker remembers before it starts anew; bounds its memory, not the results.
 REMEMBERED = 600_000
@@ -119,12 +117,8 @@ class PieceEncoder:
 
 
 def encoder(path: str) -> PieceEncoder:
-    """The encoder of this Python worker; what it has learned serves all its tasks.
-
-    Code of this library travels to the workers by value, so a worker's lasting state is kept
-    in a module of its own.
-    """
-    lasting = sys.modules.setdefault("_quillgauge_worker", types.ModuleType("_quillgauge_worker")).__dict__
-    if path not in lasting:
-        lasting[path] = PieceEncoder(path)
-    return lasting[path]
+    """The encoder of this Python worker; what it has learned serves all its tasks."""
+    kept = lasting()
+    if path not in kept:
+        kept[path] = PieceEncoder(path)
+    return kept[path]

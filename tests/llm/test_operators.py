@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillgauge.llm import decontaminate, jaccard, licenses, main_text, packing, pii, quality, substrings, token_files, warc
-from quillgauge.llm.arrays import slices
+from quillgauge.llm.arrays import lasting, slices
 from quillgauge.llm.files import make_folder
-from quillgauge.llm.tokens import PieceEncoder
+from quillgauge.llm.tokens import PieceEncoder, encoder
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, spans string, id string, counts long, node long, marks string"
@@ -544,3 +545,31 @@ def test_warc(spark, tmp_path):
         assert sorted(found, key=key) == sorted(want, key=key)
     empty = warc.write_warc(warc.revisits(pages.limit(0)), folder)
     assert warc.read_warc(spark, empty).collect() == []
+
+
+class Caught:
+    """Stands for a table; gives back the function that its rows would go through."""
+
+    def __init__(self, df):
+        self.schema, self.columns = df.schema, df.columns
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, function, _):
+        return function
+
+
+def test_tasks_hold_little_beside_their_texts(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    rows = [" ".join(f"w{(i * 31 + k) % 5000}" for k in range(400)) for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows)], names=["doc_id", "text"])
+    for function in (jaccard._named(Caught(docs), 5, "doc_id", "text"), quality.with_counts(Caught(docs), "counts")):
+        encoder(path)
+        tracemalloc.start()
+        counted = sum(part.num_rows for part in function(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert counted == len(rows) and peak < 60e6
+        assert path not in lasting()  # what an encoder learned in this worker is not for these tasks
