@@ -178,14 +178,14 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _shared_signatures(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, a, b): sets a and b, by name, follow one another among the sets with signature ``key``.
-
-    The rows of a key chain up all its sets. A task chains the sets of a signature that it sees
-    itself and passes on only the first of them, so a signature that many sets share reaches the
-    shuffle as a row for each slice of texts. In the shuffle a set goes by a running number of its
-    task, which packs well; ``other`` is -1 for what is passed on, -2 and less where a number gets
-    its name. The second table has (node, sure): how many signatures a set surely shares with any
-    similar one.
+    """Rows (key, node, n): the sets, by name, with a signature ``key`` that ``n`` sets have, two or more.
+
+    Sets of a signature that meet within a slice of texts need no look at others; only the first of
+    them is compared with those of other slices, so a signature that many sets share meets in one
+    place as a row for each slice. In the shuffle a set goes by a running number of its task, which
+    packs well; ``other`` is -1 for those first ones, a number for sets that met, -2 and less where
+    a number gets its name. The second table has (node, sure): how many signatures a set surely
+    shares with any similar one.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,22 +210,20 @@ def _shared_signatures(docs: DataFrame, words: int, percent: int, id_col: str, t
                 signature, mine = signature[order], numbers[owner[order]]
                 more = np.zeros(len(order), bool)
                 more[1:] = signature[1:] == signature[:-1]
-                other = np.full(len(order), -1)
-                other[more] = mine[np.flatnonzero(more) - 1]
-                yield pa.RecordBatch.from_arrays(
-                    [_long(np.concatenate([signature, nodes])), pa.array(np.concatenate([mine, numbers])), pa.array(np.concatenate([other, -2 - sure]))],
-                    names=["key", "number", "other"],
-                )
+                other = np.where(more, mine, -1)
+                met = np.flatnonzero(more[1:] & ~more[:-1])  # the first of several: also a row of its own
+                key, mine = np.concatenate([signature, signature[met], nodes]), np.concatenate([mine, mine[met], numbers])
+                other = np.concatenate([other, mine[met], -2 - sure])
+                yield pa.RecordBatch.from_arrays([_long(key), pa.array(mine), pa.array(other)], names=["key", "number", "other"])
             release_memory()
 
     rows = _texts(docs, id_col, text_col).select("text").mapInArrow(sign, "key long, number long, other long")
-    before = F.lag("number").over(Window.partitionBy("key", "other").orderBy("number"))
-    chained = rows.select("key", "number", F.when(F.col("other") == -1, before).otherwise(F.col("other")).alias("other"))
-    chained = stored(chained.filter("other is not null"), "chained")
-    names = chained.filter("other <= -2").select("number", F.col("key").alias("node"), (-2 - F.col("other")).alias("sure"))
-    a = names.select(F.col("number"), F.col("node").alias("a"))
-    b = names.select(F.col("number").alias("other"), F.col("node").alias("b"))
-    shared = chained.filter("other >= 0").join(a, "number").join(b, "other").filter("a <> b").select("key", "a", "b")
+    times = F.count(F.lit(1)).over(Window.partitionBy("key", "other"))
+    kept = stored(rows.select("key", "number", "other", times.alias("times")).filter("other <> -1 or times > 1").drop("times"), "shared")
+    names = kept.filter("other <= -2").select("number", F.col("key").alias("node"), (-2 - F.col("other")).alias("sure"))
+    shared = kept.filter("other >= -1").select("key", "number").join(names.select("number", "node"), "number").select("key", "node")
+    # one shuffle for both: equal sets of several tasks become one, then a signature's sets are counted
+    shared = shared.repartition("key").distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
     return shared, names.groupBy("node").agg(F.min("sure").alias("sure"))
 
 
@@ -289,37 +287,67 @@ def _small_group_pairs(members: DataFrame, need: DataFrame) -> DataFrame:
     return pairs.filter("n >= need_a and n >= need_b").select("a", "b")
 
 
-def _rare_shingle_pairs(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets of different components that may be similar, by their rarest shingles.
+def _rare_shingles(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(shingle, node, size, at): the rarest shingles of the sets ``nodes``, ``at`` counts the rarer ones.
 
-    The finest partition of the feature domain, a shingle in each part, for the sets (node,
-    component) whose signatures are mostly those of large groups. Ordered from rare to frequent,
-    the first shingle that two similar sets share leaves enough others in both.
+    The finest partition of the feature domain, a shingle in each part, for sets whose signatures
+    are mostly those of large groups. Ordered from rare to frequent, the first shingle that two
+    similar sets share leaves enough others in both. Shingles of one set alone are counted only.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                arrays = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+                arrays = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
                 sizes = np.array([len(x) for x in arrays])
                 owner = pa.array(np.repeat(np.arange(len(arrays)), sizes))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(owner), part.column(1).take(owner), pa.array(np.concatenate(arrays)), pa.array(np.repeat(sizes, sizes))],
-                    names=["node", "component", "shingle", "size"],
+                    [part.column(0).take(owner), pa.array(np.concatenate(arrays)), pa.array(np.repeat(sizes, sizes).astype(np.int32))],
+                    names=["node", "shingle", "size"],
                 )
 
-    rows = sets.join(nodes, "node").select("node", "component", "shingles").mapInArrow(spread, "node long, component long, shingle long, size long")
+    rows = sets.join(nodes, "node", "left_semi").select("node", "shingles").mapInArrow(spread, "node long, shingle long, size int")
     rows = stored(rows, "rare")
-    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
-    ranked = rows.join(often, "shingle").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("times", "shingle")) - 1)
-    first = ranked.filter(((100 * (F.col("size") - F.col("at"))) >= percent * F.col("size")) & (F.col("times") > 1)).drop("times")
-    first = stored(first.select("shingle", "node", "component", "size", "at"), "first")
-    mixed = first.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("shingle")
-    first = first.join(mixed, "shingle")
-    left, right = first.toDF("shingle", "a", "ca", "na", "ia"), first.toDF("shingle", "b", "cb", "nb", "ib")
-    fits = (100 + percent) * F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= percent * (F.col("na") + F.col("nb"))
-    pairs = left.join(right, "shingle").filter(F.col("ca") < F.col("cb")).filter(fits)
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    of_set = Window.partitionBy("node")
+    ranked = rows.join(often, "shingle").withColumn(
+        "at", F.col("size") - F.count(F.lit(1)).over(of_set) + F.row_number().over(of_set.orderBy("times", "shingle")) - 1
+    )
+    return ranked.filter((100 * (F.col("size") - F.col("at"))) >= percent * F.col("size")).select("shingle", "node", "size", "at")
+
+
+def _may_be_similar(percent: int):
+    """Of rows (na, ia) and (nb, ib) that share a shingle: what follows it in both may be enough."""
+    return (100 + percent) * F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= percent * (F.col("na") + F.col("nb"))
+
+
+def _hub_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """Each set with one other of each of its rare shingles: that with the fewest rarer ones.
+
+    Of the sets with a shingle it may be similar to most. So a large family of near copies is joined
+    by a pair or so for each set, before the sets that are still apart are compared.
+    """
+    hub = rare.groupBy("shingle").agg(F.min(F.struct("at", "node", "size")).alias("hub"))
+    hub = hub.select("shingle", F.col("hub.node").alias("b"), F.col("hub.size").alias("nb"), F.col("hub.at").alias("ib"))
+    pairs = rare.toDF("shingle", "a", "na", "ia").join(hub, "shingle").filter("a <> b").filter(_may_be_similar(percent))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _pairs_across(rare: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of different components that may be similar, by their rarest shingles.
+
+    Of each shingle the component with the most sets is not compared within itself.
+    """
+    placed = rare.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = stored(placed.select("shingle", "node", "size", "at", "component"), "placed")
+    parts = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("shingle").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts"))
+    mixed = placed.join(main.filter("parts > 1").select("shingle", F.col("most.component").alias("main")), "shingle")
+    mixed = stored(mixed.select("shingle", "node", "size", "at", "component", (F.col("component") == F.col("main")).alias("most")), "mixed")
+    left = mixed.filter("not most").drop("most").toDF("shingle", "a", "na", "ia", "ca")
+    right = mixed.toDF("shingle", "b", "nb", "ib", "cb", "most")
+    pairs = left.join(right, "shingle").filter("most or ca < cb").filter(_may_be_similar(percent))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -402,11 +430,9 @@ def similar_classes(
     sizes = materialize(
         named.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("times"))
     )
-    shared, sure = _shared_signatures(docs, words, percent, id_col, text_col)
-    shared = stored(shared, "shared")
-    members = stored(shared.select("key", F.col("a").alias("node")).union(shared.select("key", "b")).distinct(), "members")
-    large = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select("key"))
-    in_large = stored(members.join(large, "key"), "large")
+    members, sure = _shared_signatures(docs, words, percent, id_col, text_col)
+    members = stored(members, "members")
+    in_large = members.filter(F.col("n") > GROUP)
     n_large = in_large.groupBy("node").agg(F.count(F.lit(1)).alias("n_large"))
     need = materialize(
         members.select("node").distinct().join(sure, "node").join(n_large, "node", "left")
@@ -414,22 +440,19 @@ def similar_classes(
     )
     # sets with need <= 0 may share nothing but signatures of large groups with a similar set
     stubborn = need.filter("need <= 0").join(in_large.select("node").distinct(), "node", "left_semi").select("node")
-    pairs = shared.join(large, "key").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stored(pairs.union(_small_group_pairs(members.join(large, "key", "left_anti"), need)).distinct(), "pairs")
+    pairs = stored(_small_group_pairs(members.filter(F.col("n") <= GROUP).select("key", "node"), need), "pairs")
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(stubborn).distinct()
     sets = stored(_sets(docs, materialize(involved.join(sizes, "node").select("id", "node")), words, id_col, text_col), "sets")
+    rare = stored(_rare_shingles(sets, stubborn, percent), "first")
+    pairs = stored(pairs.union(_hub_pairs(rare, percent)).distinct(), "pairs")
     links = materialize(_verified(pairs, sets, sizes, percent))
     labels = components(links)
-    # large groups that their chains left in several components
-    placed = in_large.join(stubborn, "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    left_over = materialize(placed.join(mixed, "key").select("node", "component").distinct())
-    if not left_over.isEmpty():
-        more = _rare_shingle_pairs(sets, left_over, percent).join(pairs, ["a", "b"], "left_anti")
-        more = materialize(_verified(more, sets, sizes, percent))
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
+    # stubborn sets that have a rare shingle in common and are still apart
+    more = _pairs_across(rare, labels, percent).join(pairs, ["a", "b"], "left_anti")
+    more = materialize(_verified(more, sets, sizes, percent))
+    if not more.isEmpty():
+        links = links.union(more)
+        labels = components(links)
     counts = _link_counts(labels, sets, sizes, percent) if with_links else labels.select("node", F.lit(0).cast("long").alias("n"))
     tops = labels.join(sizes, "node").groupBy("component").agg(F.min("id").alias("component_id"))
     reached = labels.join(tops, "component").join(counts, "node", "left").select("node", "component_id", "n")

@@ -268,6 +268,31 @@ def test_every_link_is_counted(spark, monkeypatch):
     assert jaccard._common(left, right, columns=1).tolist() == [[2], [0]]
 
 
+def test_pairs_of_a_family_grow_with_its_sets(spark, monkeypatch):
+    rng, n, rows, seen = random.Random(5), 500, [], []
+    base = [f"w{i}" for i in range(150)]
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(len(base)), rng.randint(0, 6)):
+            words[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(words)))
+    verified = jaccard._verified
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    got = jaccard.similar_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85).collect()
+    sets = [{tuple(text.split()[k : k + 4]) for k in range(147)} for _, text in rows]
+    links = {i: [j for j in range(n) if j != i and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])] for i in range(n)}
+    lowest = {i: i for i in links}
+    for _ in range(20):
+        lowest = {i: min([lowest[i], *(lowest[j] for j in links[i])]) for i in links}
+    assert {r.doc_id: (r.component_id, r.n_links) for r in got} == {i: (lowest[i], len(links[i])) for i in links}
+    assert sum(map(len, links.values())) / 2 > 30 * n and sum(seen) < 10 * n, seen
+
+
 def test_signatures_lose_no_pair():
     rng = random.Random(3)
     for _ in range(1500):
