@@ -29,11 +29,12 @@ from functools import cached_property, partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillgauge.llm.arrays import ranges, slices
+from quillgauge.llm.arrays import SMALL_SLICE, ranges, release_memory, slices
 from quillgauge.llm.tokens import PieceEncoder
 
 #: Characters of a leaf; texts of up to twice as many are not cut.
@@ -41,7 +42,7 @@ LEAF = 8192
 #: Windows may end inside a word only if it has more tokens than this, and that far from its start.
 LONG_WORD = 64
 #: Characters given to the library at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def _bytes_of_marks() -> dict[str, int]:
@@ -122,7 +123,7 @@ class Vocabulary:
 
     def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of normalised texts, one after the other, and their number in each, in runs of texts."""
-        for part in slices(pa.array(texts, pa.large_string())):
+        for part in slices(pa.array(texts, pa.large_string()), limit=SMALL_SLICE):
             yield self.pieces.encode(part)
 
     def halves(self, texts: list[str]) -> list[Half]:
@@ -321,11 +322,11 @@ def _encode_long(rows: DataFrame, row_type: str, path: str, leaf: int) -> DataFr
     return joined.select("row", "ids", F.explode(F.expr("sequence(1L, copies)")).alias("_copy")).drop("_copy")
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``BLOCK`` characters."""
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(pc.utf8_length(texts).to_pylist()):
+        size += n
         if size >= BLOCK:
             yield start, i + 1
             start, size = i + 1, 0
@@ -337,23 +338,23 @@ def _encode_short(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
     words = lasting(Vocabulary, path)
     normalised = words.whole.normalizer.normalize_str
     for batch in batches:
-        texts = batch.column("body").to_pylist()
-        for a, b in _blocks(texts):
+        for a, b in _blocks(batch.column("body")):
             row = batch.column("row").slice(a, b - a)
-            for ids, counts in words.encoded([normalised(t) for t in texts[a:b]]):
+            for ids, counts in words.encoded([normalised(t) for t in batch.column("body").slice(a, b - a).to_pylist()]):
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64) * 4
                 made = pa.LargeBinaryArray.from_buffers(
                     pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))]
                 )
                 yield pa.RecordBatch.from_arrays([row.slice(0, len(counts)), made.cast(pa.binary())], names=["row", "ids"])
                 row = row.slice(len(counts))
+        release_memory()
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, leaf: int) -> Iterator[pa.RecordBatch]:
     words = lasting(Vocabulary, path)
     for batch in batches:
-        for i, text in enumerate(batch.column("body").to_pylist()):
-            out = []
+        for i in range(batch.num_rows):
+            text, out = batch.column("body")[i].as_py(), []
             for section, (part, special) in enumerate(words.sections(text)):
                 if special is not None:
                     out.append((section, 0, special, ""))
@@ -366,6 +367,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, leaf: int) -> Iterator[pa
                  *[pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.string()))]],
                 names=["row", "key", "section", "leaf", "special", "part"],
             )
+        release_memory()
 
 
 HALF = pa.struct([
@@ -381,10 +383,9 @@ def _width(words: Vocabulary) -> str:
 def _encode_leaf(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     words = lasting(Vocabulary, path)
     for batch in batches:
-        parts = batch.column("part").to_pylist()
-        for a, b in _blocks(parts):
+        for a, b in _blocks(batch.column("part")):
             rows = batch.slice(a, b - a)
-            halves = words.halves(parts[a:b])
+            halves = words.halves(rows.column("part").to_pylist())
             made = [
                 {"section": section, "leaf": leaf, "special": special, "ids": h.ids.astype(_width(words)).tobytes(), "lead": h.lead, "trail": h.trail}
                 for h, section, leaf, special in zip(halves, *[rows.column(c).to_pylist() for c in ("section", "leaf", "special")])
@@ -392,6 +393,7 @@ def _encode_leaf(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays(
                 [*[rows.column(c) for c in ("row", "key", "copies")], pa.array(made, HALF)], names=["row", "key", "copies", "half"]
             )
+        release_memory()
 
 
 def _join_tree(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -415,6 +417,7 @@ def _join_tree(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Reco
                 [batch.column("row").slice(i, 1), batch.column("copies").slice(i, 1), pa.array([flat.astype("<u4").tobytes()], pa.binary())],
                 names=["row", "copies", "ids"],
             )
+        release_memory()
 
 
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -434,13 +437,13 @@ def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", into: str = "dec
 
 
 #: Ids decoded at once.
-DECODE_BLOCK = 1 << 18
+DECODE_BLOCK = 1 << 16
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     words = lasting(Decoder, path)
     for batch in batches:
-        seqs = [np.frombuffer(raw, "<u4") for raw in batch.column("seq").to_pylist()]
+        seqs = [np.frombuffer(raw.as_buffer(), "<u4") if len(raw.as_buffer()) else np.zeros(0, "<u4") for raw in batch.column("seq")]
         counts = np.array([len(x) for x in seqs], np.int64)
         start = 0
         while start < len(seqs):
@@ -453,3 +456,4 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
                 made = words.decoded(np.concatenate(seqs[start:end]), counts[start:end])
             yield pa.RecordBatch.from_arrays([batch.column("row").slice(start, end - start), made], names=["row", "made"])
             start = end
+        release_memory()

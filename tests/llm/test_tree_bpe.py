@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -100,3 +102,22 @@ def test_edges(spark):
     assert row.row.ids == "i" and row.row.part == "p" and row.ids == "a</w> b</w>" and row.n_tokens == 2
     with pytest.raises(ValueError):
         tree_bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_tasks_hold_little_beside_their_texts(words, monkeypatch):
+    monkeypatch.setattr(tree_bpe, "lasting", lambda kind, path: words if kind is tree_bpe.Vocabulary else kind(path))
+    texts = [" ".join(f"w{(i * 31 + k) % 5000}" for k in range(400)) for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([{"doc_id": i} for i in range(len(texts))]), pa.array(texts)], names=["row", "body"])
+    list(tree_bpe._encode_short(iter([batch.slice(0, 200)]), PATH))  # the library's own tables are there before
+    tracemalloc.start()
+    encoded = [part.column("ids") for part in tree_bpe._encode_short(iter([batch]), PATH)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ids = pa.chunked_array(encoded).combine_chunks()
+    assert len(ids) == len(texts) and peak < 50e6
+    monkeypatch.setattr(tree_bpe, "lasting", lambda kind, path, made=tree_bpe.Decoder(PATH): made)
+    tracemalloc.start()
+    rows = sum(part.num_rows for part in tree_bpe._decode(iter([pa.RecordBatch.from_arrays([batch.column("row"), ids], names=["row", "seq"])]), PATH))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < 20e6
